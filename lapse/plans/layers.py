@@ -42,3 +42,20 @@ def analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lapse.functions.columns import tenure_band
     return cleaned(spark, sf_dir).select("*", tenure_band("tenure").alias("tenure_band"),
                                          FE.service_count().alias("service_count"))
+
+
+DISPLAY_SCORE_COLS = ["churn_probability", "churn_predicted", "revenue_at_risk", "risk_rank", "scoring_model",
+                      "risk_tier", "value_tier", "is_high_value", "segment_label", "segment_priority",
+                      "recommended_action", "segment_color", "service_count", "tenure_band", "is_autopay",
+                      "is_longterm_contract", "avg_monthly_revenue", "charges_delta", "clv_estimate"]
+
+
+def display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readable cleaned rows left-joined with whichever score columns exist (one shuffle on the id)."""
+    from lapse.functions.columns import tenure_band
+    sc = scored(spark, sf_dir)
+    avail = [c for c in DISPLAY_SCORE_COLS if c in sc.columns]
+    out = cleaned(spark, sf_dir).join(sc.select("customerID", *avail), "customerID", "left")
+    if "tenure_band" not in avail:
+        out = out.withColumn("tenure_band", tenure_band("tenure"))
+    return out
