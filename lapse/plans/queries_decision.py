@@ -238,3 +238,37 @@ register("g27_segments_present", "select distinct segment_label from scored")(
     lambda spark, sf: SG.segments_present(L.scored(spark, sf)))
 register("g27_customer_ids_segment", "select customerID from scored where segment_label = 'Nurture & Upsell'")(
     lambda spark, sf: SG.segment_ids(L.scored(spark, sf), "Nurture & Upsell"))
+
+# ---------------------------------------------------------------- G16, G17
+from lapse.operators import profile as PR  # noqa: E402
+from lapse.operators import similar as SIM  # noqa: E402
+
+register("g17_similar_customers", """
+select q.customerID, s.customerID as similar_id,
+  row_number() over (partition by q.customerID order by s.revenue_at_risk desc, s.customerID) as similar_rank,
+  s.churn_probability, s.MonthlyCharges, s.revenue_at_risk
+from scored q join scored s on s.segment_label = q.segment_label and s.customerID <> q.customerID
+  and s.MonthlyCharges between q.MonthlyCharges * 0.85::double and q.MonthlyCharges * 1.15::double
+qualify similar_rank <= 8""")(
+    lambda spark, sf: SIM.similar_customers(L.scored(spark, sf)).withColumn("similar_rank",
+                                                                            F.col("similar_rank").cast("bigint")))
+
+
+def _profile_sql() -> str:
+    from lapse.plans.layers import DISPLAY_SCORE_COLS
+
+    def txt(f):
+        if f in PR.PCT_FIELDS:
+            return f"printf('%.1f%%', cast(floor(({f}) * 100.0 * 10.0 + 0.5) / 10.0 as double))"
+        if f in PR.MONEY_FIELDS:
+            return f"'$' || format('{{:,.2f}}', cast(floor(({f}) * 100.0 + 0.5) / 100.0 as double))"
+        return f"cast({f} as varchar)"
+    parts = [f"select customerID, '{g}' as profile_group, '{PR.attribute_label(f)}' as attribute, "
+             f"coalesce({txt(f)}, '—') as value from display"
+             for g, fields in PR.PROFILE_GROUPS for f in fields]
+    disp = (", display as (select c.*, " + ", ".join("s." + x for x in DISPLAY_SCORE_COLS)
+            + " from cleaned c left join scored s using (customerID))\n")
+    return disp + "\nunion all\n".join(parts)
+
+
+register("g16_customer_profile", _profile_sql())(lambda spark, sf: PR.customer_profile(L.display(spark, sf)))
