@@ -38,4 +38,4 @@ def oracle_sql() -> dict[str, str]:
 
 def _load() -> None:
     # importing the query modules fills REGISTRY
-    from lapse.plans import queries_core, queries_decision, queries_eval, queries_models  # noqa: F401
+    from lapse.plans import queries_core, queries_decision, queries_eval, queries_io, queries_models  # noqa: F401
