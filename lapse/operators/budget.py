@@ -22,7 +22,10 @@ from lapse.config import (DEFAULT_BUDGET, DEFAULT_INTERVENTION_COST, DEFAULT_LIF
 from lapse.operators.ordered import global_rank
 
 TOPN_DIRECT = 200_000
-_ROI_ORDER = [F.col("roi_score").desc(), F.col(ID_COL).asc()]
+
+
+def _roi_order():
+    return [F.col("roi_score").desc(), F.col(ID_COL).asc()]
 
 
 def compute_roi(df: DataFrame, save_rate: float = DEFAULT_SAVE_RATE,
@@ -39,7 +42,7 @@ def roi_ranked(df: DataFrame, save_rate: float = DEFAULT_SAVE_RATE,
                lifetime_months: int = DEFAULT_LIFETIME_MONTHS) -> DataFrame:
     """compute_roi + unique roi_rank over the whole table (distributed global rank)."""
     roi = compute_roi(df, save_rate, intervention_cost, lifetime_months)
-    return global_rank(roi, _ROI_ORDER, "roi_rank").withColumn("roi_rank", F.col("roi_rank").cast("int"))
+    return global_rank(roi, _roi_order(), "roi_rank").withColumn("roi_rank", F.col("roi_rank").cast("int"))
 
 
 def top_n_by_roi(roi: DataFrame, n: int) -> DataFrame:
@@ -47,10 +50,10 @@ def top_n_by_roi(roi: DataFrame, n: int) -> DataFrame:
     if n <= 0:
         return roi.limit(0).withColumn("roi_rank", F.lit(0))
     if n <= TOPN_DIRECT:
-        top = roi.orderBy(*_ROI_ORDER).limit(n)
+        top = roi.orderBy(*_roi_order()).limit(n)
         # at most n rows: the window runs over a bounded table
-        return top.withColumn("roi_rank", F.row_number().over(Window.orderBy(*_ROI_ORDER)))
-    return global_rank(roi, _ROI_ORDER, "roi_rank").where(F.col("roi_rank") <= n)
+        return top.withColumn("roi_rank", F.row_number().over(Window.orderBy(*_roi_order())))
+    return global_rank(roi, _roi_order(), "roi_rank").where(F.col("roi_rank") <= n)
 
 
 def _max_targets(budget: float, cost: float) -> int:

@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from lapse.config import CLV_MONTHS  # noqa: F401  (documented constant family)
 from lapse.functions.columns import round_half_up
 
-_STATUS = F.when(F.col("Churn") == 1, "Churned").otherwise("Retained")
+
+
+def _status():
+    return F.when(F.col("Churn") == 1, "Churned").otherwise("Retained")
 
 
 def overall_churn_rate(df: DataFrame) -> DataFrame:
@@ -49,7 +52,7 @@ def charges_histogram(df: DataFrame, nbins: int = 40, col: str = "MonthlyCharges
     lo, hi = mm["lo"], mm["hi"]
     width = (hi - lo) / float(nbins)
     binned = df.select(F.least(F.floor((F.col(col) - lo) / width).cast("int"), F.lit(nbins - 1)).alias("bin"),
-                       _STATUS.alias("status"))
+                       _status().alias("status"))
     return (binned.groupBy("bin", "status").agg(F.count(F.lit(1)).alias("customers"))
             .select("bin", "status", "customers", (lo + F.col("bin") * width).alias("bin_start"),
                     (lo + (F.col("bin") + 1) * width).alias("bin_end")))
@@ -117,7 +120,7 @@ def insight_table(df: DataFrame) -> DataFrame:
 
 
 def churned_vs_retained(df: DataFrame) -> DataFrame:
-    return df.groupBy(_STATUS.alias("Status")).agg(
+    return df.groupBy(_status().alias("Status")).agg(
         F.count("customerID").alias("Customers"),
         round_half_up(F.avg("MonthlyCharges"), 2).alias("Avg_Monthly"),
         round_half_up(F.avg("tenure"), 1).alias("Avg_Tenure"),

@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from lapse.config import ID_COL
 from lapse.operators.ordered import global_rank, running_sums
 
-_ORDER = [F.col("revenue_at_risk").desc(), F.col(ID_COL).asc()]
+def _order():
+    return [F.col("revenue_at_risk").desc(), F.col(ID_COL).asc()]
 
 
 def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: float = 1.15,
@@ -49,7 +50,7 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
     base = rows.join(idx.select("seg", "c", "i"), ["seg", "c"])
     leveled = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("lvl")) \
         .withColumn("blk", F.expr("shiftright(i, lvl)"))
-    w = Window.partitionBy("seg", "lvl", "blk").orderBy(*_ORDER)
+    w = Window.partitionBy("seg", "lvl", "blk").orderBy(*_order())
     lists = (leveled.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep)
              .drop("_n", "i").withColumnRenamed("c", "nc"))
 
@@ -79,7 +80,7 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
     cover = cover.where(~((p_lo >= F.col("lo")) & (p_hi <= F.col("hi")))).select("seg", "c", "lvl", "blk")
 
     cand = cover.join(lists, ["seg", "lvl", "blk"])
-    wc = Window.partitionBy("seg", "c").orderBy(*_ORDER)
+    wc = Window.partitionBy("seg", "c").orderBy(*_order())
     answers = (cand.withColumn("_n", F.row_number().over(wc)).where(F.col("_n") <= keep)
                .select("seg", "c", F.col(ID_COL).alias("similar_id"), F.col("nc").alias(charge_col), "revenue_at_risk",
                        *extra_cols))

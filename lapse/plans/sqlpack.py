@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 from lapse.config import ADOPTION_SERVICES
 from lapse.functions.columns import rate_pct, round_half_up, tenure_band_sql
 
-_CHURNED = F.sum(F.when(F.col("Churn") == "Yes", 1).otherwise(0))
+
+
+def _churned():
+    return F.sum(F.when(F.col("Churn") == "Yes", 1).otherwise(0))
 
 
 def overall_churn(c: DataFrame) -> DataFrame:
-    return c.agg(F.count(F.lit(1)).alias("total_customers"), _CHURNED.cast("long").alias("churned"),
-                 rate_pct(_CHURNED, F.count(F.lit(1)), 2).alias("churn_rate_pct"))
+    return c.agg(F.count(F.lit(1)).alias("total_customers"), _churned().cast("long").alias("churned"),
+                 rate_pct(_churned(), F.count(F.lit(1)), 2).alias("churn_rate_pct"))
 
 
 def revenue_at_risk_actual(c: DataFrame) -> DataFrame:
@@ -30,16 +33,16 @@ def revenue_at_risk_actual(c: DataFrame) -> DataFrame:
 
 def churn_by(c: DataFrame, key: str, digits: int = 2) -> DataFrame:
     """customers, churned, churn_rate_pct per value of `key`, highest rate first."""
-    return (c.groupBy(key).agg(F.count(F.lit(1)).alias("customers"), _CHURNED.cast("long").alias("churned"),
-                               rate_pct(_CHURNED, F.count(F.lit(1)), digits).alias("churn_rate_pct"))
+    return (c.groupBy(key).agg(F.count(F.lit(1)).alias("customers"), _churned().cast("long").alias("churned"),
+                               rate_pct(_churned(), F.count(F.lit(1)), digits).alias("churn_rate_pct"))
             .orderBy(F.col("churn_rate_pct").desc(), F.col(key)))
 
 
 def churn_by_tenure_band(c: DataFrame) -> DataFrame:
     return (c.withColumn("tenure_band", tenure_band_sql("tenure"))
             .groupBy("tenure_band")
-            .agg(F.count(F.lit(1)).alias("customers"), _CHURNED.cast("long").alias("churned"),
-                 rate_pct(_CHURNED, F.count(F.lit(1)), 2).alias("churn_rate_pct"), F.min("tenure").alias("_o"))
+            .agg(F.count(F.lit(1)).alias("customers"), _churned().cast("long").alias("churned"),
+                 rate_pct(_churned(), F.count(F.lit(1)), 2).alias("churn_rate_pct"), F.min("tenure").alias("_o"))
             .orderBy("_o").drop("_o"))
 
 
@@ -74,8 +77,8 @@ def high_value_churners(c: DataFrame, top: int = 20, pct: float = 0.75) -> DataF
 def cohort_matrix(c: DataFrame) -> DataFrame:
     return (c.withColumn("tenure_band", tenure_band_sql("tenure"))
             .groupBy("Contract", "tenure_band")
-            .agg(F.count(F.lit(1)).alias("customers"), _CHURNED.cast("long").alias("churned"),
-                 rate_pct(_CHURNED, F.count(F.lit(1)), 1).alias("churn_rate_pct"), F.min("tenure").alias("_o"))
+            .agg(F.count(F.lit(1)).alias("customers"), _churned().cast("long").alias("churned"),
+                 rate_pct(_churned(), F.count(F.lit(1)), 1).alias("churn_rate_pct"), F.min("tenure").alias("_o"))
             .orderBy("Contract", "_o").drop("_o"))
 
 
@@ -92,6 +95,6 @@ def senior_comparison(c: DataFrame) -> DataFrame:
     return (c.groupBy("SeniorCitizen")
             .agg(F.count(F.lit(1)).alias("customers"),
                  round_half_up(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges"),
-                 rate_pct(_CHURNED, F.count(F.lit(1)), 2).alias("churn_rate_pct"))
+                 rate_pct(_churned(), F.count(F.lit(1)), 2).alias("churn_rate_pct"))
             .select(F.when(F.col("SeniorCitizen") == 1, "Senior").otherwise("Non-Senior").alias("segment"),
                     "customers", "avg_monthly_charges", "churn_rate_pct"))
