@@ -32,7 +32,7 @@ class Profile:
     gbt_rounds: int = K.GBT_ROUNDS
     lr_max_iter: int = K.LOGISTIC_MAX_ITER
     cv_folds: int = K.CV_FOLDS
-    parallelism: int = 6  # concurrent fits (CV folds and final models), as CrossValidator(parallelism=...)
+    parallelism: int = 4  # concurrent fits (CV folds and final models), as CrossValidator(parallelism=...)
 
     @staticmethod
     def reference() -> "Profile":
@@ -56,11 +56,11 @@ def build_pipelines(feature_cols: list[str], n_train: int, profile: Profile) ->
                             standardization=False, maxIter=profile.lr_max_iter, tol=1e-6)
     rf = RandomForestClassifier(featuresCol="features_raw", labelCol="label", weightCol="weight",
                                 numTrees=profile.rf_trees, maxDepth=K.RF_DEPTH, minInstancesPerNode=K.RF_MIN_LEAF,
-                                featureSubsetStrategy="sqrt", seed=K.SEED)
+                                featureSubsetStrategy="sqrt", seed=K.SEED, maxMemoryInMB=64)
     gbt = GBTClassifier(featuresCol="features_raw", labelCol="label", weightCol="gbt_weight",
                         maxIter=profile.gbt_rounds, maxDepth=K.GBT_DEPTH, stepSize=K.GBT_STEP,
                         subsamplingRate=K.GBT_SUBSAMPLE, featureSubsetStrategy=str(K.GBT_COLSAMPLE),
-                        minInstancesPerNode=K.GBT_MIN_CHILD, seed=K.SEED)
+                        minInstancesPerNode=K.GBT_MIN_CHILD, seed=K.SEED, maxMemoryInMB=64)
     return {"logistic": Pipeline(stages=[asm, scaler, lr]),
             "random_forest": Pipeline(stages=[asm, rf]),
             "gbt": Pipeline(stages=[asm, gbt])}
