@@ -75,17 +75,18 @@ def allocate_budget(scored: DataFrame, budget: float = DEFAULT_BUDGET,
     n = _max_targets(budget, intervention_cost)
     roi = compute_roi(working, save_rate, intervention_cost, lifetime_months)
     targets = top_n_by_roi(roi, n).withColumn("cumulative_cost", F.col("roi_rank") * F.lit(float(intervention_cost)))
-    do_nothing = scored.select(F.sum("revenue_at_risk")).scalar()
     picked = targets.agg(F.count(F.lit(1)).alias("n_targeted"),
                          F.coalesce(F.sum("expected_save_value"), F.lit(0.0)).alias("expected_revenue_saved"))
-    cost_total = F.col("n_targeted") * F.lit(float(intervention_cost))
-    summary = picked.select(
-        F.lit(float(budget)).alias("budget"), "n_targeted", cost_total.alias("total_cost"),
-        "expected_revenue_saved", do_nothing.alias("do_nothing_revenue_loss"),
-        F.when(cost_total > 0, F.col("expected_revenue_saved") / cost_total).otherwise(0.0).alias("roi_multiple"),
-        F.when(do_nothing > 0, F.col("expected_revenue_saved") / do_nothing).otherwise(0.0).alias("pct_risk_covered"),
-        F.when(do_nothing > 0, F.col("expected_revenue_saved") / (do_nothing * float(lifetime_months)))
-        .otherwise(0.0).alias("pct_risk_covered_horizon"))
+    # one scalar subquery, referenced as a column afterwards
+    loss = picked.select("*", scored.select(F.sum("revenue_at_risk")).scalar().alias("do_nothing_revenue_loss"),
+                         (F.col("n_targeted") * F.lit(float(intervention_cost))).alias("total_cost"))
+    saved, dn, cost_total = F.col("expected_revenue_saved"), F.col("do_nothing_revenue_loss"), F.col("total_cost")
+    summary = loss.select(
+        F.lit(float(budget)).alias("budget"), "n_targeted", "total_cost", "expected_revenue_saved",
+        "do_nothing_revenue_loss",
+        F.when(cost_total > 0, saved / cost_total).otherwise(0.0).alias("roi_multiple"),
+        F.when(dn > 0, saved / dn).otherwise(0.0).alias("pct_risk_covered"),
+        F.when(dn > 0, saved / (dn * float(lifetime_months))).otherwise(0.0).alias("pct_risk_covered_horizon"))
     return targets, summary
 
 
@@ -145,13 +146,15 @@ def budget_scenarios(scored: DataFrame, budgets: list[float], costs: list[float]
     roi = base.withColumn("roi_score", F.col("_base"))
     ranked = top_n_by_roi(roi, max(r[4] for r in rows))
     sums = _prefix_at(ranked, [r[4] for r in rows], "_base")
-    do_nothing = scored.select(F.sum("revenue_at_risk")).scalar()
     grid = spark.createDataFrame(rows, "budget double, intervention_cost double, save_rate double, "
                                        "lifetime_months int, n int")
     saved = F.coalesce(F.col("top_sum"), F.lit(0.0)) * F.col("save_rate") * F.col("lifetime_months")
     n_t = F.coalesce(F.col("top_rows"), F.lit(0))
     cost_total = n_t * F.col("intervention_cost")
-    return (grid.join(sums, "n", "left").select(
+    joined = grid.join(sums, "n", "left").select(
+        "*", scored.select(F.sum("revenue_at_risk")).scalar().alias("_dn"))
+    do_nothing = F.col("_dn")
+    return (joined.select(
         "budget", "intervention_cost", "save_rate", "lifetime_months", n_t.cast("long").alias("n_targeted"),
         cost_total.alias("total_cost"), saved.alias("expected_revenue_saved"),
         do_nothing.alias("do_nothing_revenue_loss"),
