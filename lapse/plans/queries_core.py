@@ -182,3 +182,71 @@ select driver, count(*) as customers, cast(sum(Churn) as bigint) as churned, avg
   avg(Churn) / max(base_rate) as lift_vs_base
 from flags, base group by driver""".replace("\n, base", ", base", 1))(
     lambda spark, sf: CO.driver_lift(L.analysis(spark, sf)))
+
+# ---------------------------------------------------------------- per-step cleaning / feature operators
+from lapse.operators import clean as CL  # noqa: E402
+from lapse.operators import features as FEAT  # noqa: E402
+from lapse.sources import fixture as FX  # noqa: E402
+
+register("b01_coerce_total_charges", """
+select customerID, try_cast(trim(TotalCharges) as double) as TotalCharges from customers""")(
+    lambda spark, sf: CL.coerce_total_charges(FX.customers(spark, sf)).select("customerID", "TotalCharges"))
+register("b02_impute_total_charges", """
+select customerID, coalesce(try_cast(trim(TotalCharges) as double), MonthlyCharges) as TotalCharges from customers""")(
+    lambda spark, sf: CL.impute_total_charges(CL.coerce_total_charges(FX.customers(spark, sf)))
+    .select("customerID", "TotalCharges"))
+register("b03_binary_target", """
+select customerID, cast(case when Churn = 'Yes' then 1 else 0 end as integer) as Churn from customers""")(
+    lambda spark, sf: CL.binary_target(FX.customers(spark, sf)).select("customerID", "Churn"))
+register("b05_strip_strings", """
+select regexp_replace(customerID, '^\\s+|\\s+$', '', 'g') as customerID,
+  regexp_replace(PaymentMethod, '^\\s+|\\s+$', '', 'g') as PaymentMethod,
+  regexp_replace(TotalCharges, '^\\s+|\\s+$', '', 'g') as TotalCharges from customers""")(
+    lambda spark, sf: CL.strip_strings(FX.customers(spark, sf).select("customerID", "PaymentMethod", "TotalCharges")))
+register("b06_outlier_flags", """
+, q as (select quantile_cont(MonthlyCharges, 0.25) as q1, quantile_cont(MonthlyCharges, 0.75) as q3 from customers)
+select customerID, MonthlyCharges, cast(case when MonthlyCharges < q1 - 3 * (q3 - q1) or MonthlyCharges > q3 + 3 * (q3 - q1)
+  then 1 else 0 end as integer) as is_charges_outlier from customers, q""".replace("\n, q", ", q", 1))(
+    lambda spark, sf: CL.flag_outliers(FX.customers(spark, sf).select("customerID", "MonthlyCharges")))
+
+register("c01_tenure_band", "select customerID, tenure, tenure_band from features")(
+    lambda spark, sf: L.features(spark, sf).select("customerID", "tenure", "tenure_band"))
+register("c05_service_count", "select customerID, service_count from features")(
+    lambda spark, sf: L.features(spark, sf).select("customerID", "service_count"))
+register("c11_high_value_flag", "select customerID, MonthlyCharges, is_high_value from features")(
+    lambda spark, sf: L.features(spark, sf).select("customerID", "MonthlyCharges", "is_high_value"))
+
+
+def _one_hot_cols():
+    from lapse.config import one_hot_columns
+    return one_hot_columns()
+
+
+register("c13_one_hot", "select customerID, " + ", ".join(f'"{c}"' for c in _one_hot_cols()) + " from features")(
+    lambda spark, sf: L.features(spark, sf).select("customerID", *[F.col(f"`{c}`") for c in _one_hot_cols()]))
+
+
+def _model_matrix(spark, sf):
+    f = L.features(spark, sf)
+    return f.select("customerID", *[F.col(f"`{c}`") for c in FEAT.model_columns(f)])
+
+
+register("c14_model_matrix", """
+select customerID, SeniorCitizen, tenure, MonthlyCharges, TotalCharges, Partner, Dependents, PhoneService,
+  PaperlessBilling, OnlineSecurity, OnlineBackup, DeviceProtection, TechSupport, StreamingTV, StreamingMovies,
+  MultipleLines, avg_monthly_revenue, charges_delta, clv_estimate, service_count, is_autopay, is_longterm_contract,
+  has_internet, is_fiber, is_senior, """ + ", ".join(f'"{c}"' for c in _one_hot_cols()) + " from features")(_model_matrix)
+
+
+def _assembled(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+    f = L.features(spark, sf)
+    cols = FEAT.model_columns(f)
+    v = VectorAssembler(inputCols=cols, outputCol="x").transform(f)
+    arr = vector_to_array("x")
+    return v.select("customerID", F.size(arr).alias("n_features"),
+                    F.aggregate(arr, F.lit(0.0), lambda a, b: a + b).alias("row_sum"))
+
+
+register("c15_assembled_vectors")(_assembled)

@@ -106,3 +106,44 @@ def _arrivals(spark, sf) -> DataFrame:
 
 
 register("g25_score_new")(_arrivals)
+
+
+def _model_test_scores(name):
+    def build(spark, sf):
+        t = trained(spark, sf)
+        test = t.features.join(t.split.where(F.col("split") == "test").select(K.ID_COL), K.ID_COL)
+        return T.long_scores(t.models[name], test, name)
+    return build
+
+
+register("f03_logistic_test_scores")(_model_test_scores("logistic"))
+register("f04_random_forest_test_scores")(_model_test_scores("random_forest"))
+register("f05_gbt_test_scores")(_model_test_scores("gbt"))
+
+
+def _results_json(spark, sf):
+    from lapse.sources import files as IO
+    path = IO.scratch_path(spark, "model-results")
+    IO.write_model_results(trained(spark, sf).results, path)
+    return IO.read_model_results(spark, path)
+
+
+register("a06_model_results_json")(_results_json)
+
+
+def _models_roundtrip(spark, sf):
+    """Save every fitted model, load back only those present, score the test split with each."""
+    from lapse.sources import files as IO
+    t = trained(spark, sf)
+    root = IO.scratch_path(spark, "models")
+    IO.save_models(t.models, root)
+    loaded = IO.load_models(spark, root)
+    test = t.features.join(t.split.where(F.col("split") == "test").select(K.ID_COL), K.ID_COL)
+    out = None
+    for name, m in sorted(loaded.items()):
+        part = T.long_scores(m, test, name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+register("a08_model_roundtrip")(_models_roundtrip)
