@@ -6,8 +6,10 @@ partition; each row gets its local position (and local running sums), the
 per-partition totals (one row per partition, so bounded by the partition
 count, never by the data) are turned into offsets and broadcast back.
 
-The ranged table is checkpointed into the shared checkpoint folder between
-the two passes, so partition contents are fixed even if executors are lost.
+The ranged table (with its partition id and local position as columns) is
+written as a Parquet table in the shared checkpoint folder between the two
+passes, so positions are fixed even if executors are lost, and the second pass
+is an ordinary columnar scan.
 The sort key must be a total order (append the id as a tie-break) for ranks to
 be deterministic.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.session import cut_lineage, default_parallelism
+from lapse.session import default_parallelism, materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -46,9 +48,9 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
                 partitions: int | None = None) -> DataFrame:
     """Add a 1-based, gap-free rank along `order` (row_number semantics)."""
     ranged = _range_sorted(df, order, partitions).withColumn("_mid", F.monotonically_increasing_id())
-    ranged = cut_lineage(ranged.select(
+    ranged = materialize(ranged.select(
         *df.columns, F.shiftright("_mid", 33).cast("int").alias("_pid"),
-        (F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1).alias("_pos")))
+        (F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)) + 1).alias("_pos")), "ranked")
     offs = _offsets(ranged, [])
     return (ranged.join(F.broadcast(offs), "_pid")
                   .select(*df.columns, (F.col("_off_n") + F.col("_pos")).cast("long").alias(rank_col)))
@@ -101,7 +103,7 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
                     carry[c] = float(cs.iloc[-1])
             yield pdf
 
-    local = cut_lineage(ranged.mapInPandas(local_pass, out_schema))
+    local = materialize(ranged.mapInPandas(local_pass, out_schema), "running")
     totals = local.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(f"_t_{c}") for c in sums])
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off_n"),

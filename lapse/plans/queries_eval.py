@@ -13,7 +13,6 @@ from lapse.operators import evaluate as EV
 from lapse.operators import split as SP
 from lapse.plans import layers as L
 from lapse.plans.registry import register
-from lapse.sources import fixture
 
 
 def _r(expr: str, d: int = 2) -> str:
@@ -47,14 +46,13 @@ best as (select model, case when f1 > 0 then threshold else 0.5 end as threshold
 
 
 def _val_scores(spark, sf):
-    split = SP.stratified_split(L.cleaned(spark, sf))
-    return fixture.model_scores(spark, sf).join(split.select("customerID", "split"), "customerID")
+    return L.eval_scores(spark, sf)
 
 
 # ---------------------------------------------------------------- F1, F2, F6, F16
 register("f01_stratified_split", _SPLIT + """
 select customerID, Churn, split, class_pos from sp""")(
-    lambda spark, sf: SP.stratified_split(L.cleaned(spark, sf)).withColumn("class_pos", F.col("class_pos").cast("long")))
+    lambda spark, sf: L.split(spark, sf).withColumn("class_pos", F.col("class_pos").cast("long")))
 
 register("f02_class_weights", _SPLIT + f"""
 , tr as (select * from sp where split = 'train')
@@ -62,12 +60,12 @@ select Churn, count(*) as n_c, cast((select count(*) from tr) as double) / (2.0
   {_r("cast((select count(*) from tr where Churn = 0) as double) / (select count(*) from tr where Churn = 1)")} as scale_pos_weight
 from tr group by Churn""")(
     lambda spark, sf: SP.class_weights(
-        L.cleaned(spark, sf).join(SP.stratified_split(L.cleaned(spark, sf)).where(F.col("split") == "train")
+        L.cleaned(spark, sf).join(L.split(spark, sf).where(F.col("split") == "train")
                                   .select("customerID"), "customerID")))
 
 register("f06_cv_folds", _SPLIT + """
 select customerID, cast((class_pos - 1) % 5 as integer) as fold from sp where split = 'train'""")(
-    lambda spark, sf: SP.cv_folds(SP.stratified_split(L.cleaned(spark, sf))))
+    lambda spark, sf: SP.cv_folds(L.split(spark, sf)))
 
 register("f16_seeded_sample", """
 select customerID, MonthlyCharges, Churn from features order by md5(customerID || '#42'), customerID limit 500""")(
@@ -159,7 +157,7 @@ group by c.model, c.actual, c.predicted""")(
 register("a09_holdout", _SPLIT + """
 select f.customerID, f.Churn, f.MonthlyCharges, f.tenure from features f join sp using (customerID) where sp.split = 'test'""")(
     lambda spark, sf: L.features(spark, sf).join(
-        SP.stratified_split(L.cleaned(spark, sf)).where(F.col("split") == "test").select("customerID"), "customerID")
+        L.split(spark, sf).where(F.col("split") == "test").select("customerID"), "customerID")
     .select("customerID", "Churn", "MonthlyCharges", "tenure"))
 
 _DISPLAY_COLS = ["churn_probability", "churn_predicted", "revenue_at_risk", "risk_rank", "scoring_model", "risk_tier",

@@ -29,8 +29,8 @@ _MEMO: dict = {}
 
 class Trained:
     def __init__(self, spark: SparkSession, sf: str, profile: T.Profile):
-        self.features = L.features(spark, sf).persist()
-        self.split = SP.stratified_split(L.cleaned(spark, sf)).persist()
+        self.features = L.features(spark, sf)
+        self.split = L.split(spark, sf)
         self.feature_cols = FE.model_columns(self.features)
         self.models, results, _ = T.train_all(self.features, self.split, self.feature_cols, profile)
         self.results = results.persist()
