@@ -250,3 +250,17 @@ def _assembled(spark, sf):
 
 
 register("c15_assembled_vectors")(_assembled)
+
+register("b04_senior_int", "select customerID, cast(SeniorCitizen as integer) as SeniorCitizen from customers")(
+    lambda spark, sf: CL.senior_int(FX.customers(spark, sf)).select("customerID", "SeniorCitizen"))
+register("c02_revenue_features", """
+select customerID, avg_monthly_revenue, charges_delta, clv_estimate from features""")(
+    lambda spark, sf: L.features(spark, sf).select("customerID", "avg_monthly_revenue", "charges_delta", "clv_estimate"))
+register("c06_binary_flags", """
+select customerID, is_autopay, is_longterm_contract, has_internet, is_fiber, is_senior from features""")(
+    lambda spark, sf: L.features(spark, sf).select("customerID", "is_autopay", "is_longterm_contract", "has_internet",
+                                                   "is_fiber", "is_senior"))
+_BIN = ["Partner", "Dependents", "PhoneService", "PaperlessBilling", "OnlineSecurity", "OnlineBackup",
+        "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies", "MultipleLines"]
+register("c12_binary_encoding", f"select customerID, {', '.join(_BIN)} from features")(
+    lambda spark, sf: L.features(spark, sf).select("customerID", *_BIN))
