@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.config import CLV_MONTHS  # noqa: F401  (documented constant family)
 from lapse.functions.columns import round_half_up
 
 

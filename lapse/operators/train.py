@@ -89,7 +89,6 @@ def train_all(features: DataFrame, split: DataFrame, feature_cols: list[str], pr
     test_precision, test_recall, test_f1 (4 dp, half-up).
     """
     profile = profile or Profile.reference()
-    spark = features.sparkSession
     data = features.join(split.select(K.ID_COL, "split", "class_pos"), K.ID_COL)
     train = weighted(data.where(F.col("split") == "train")).persist()
     folds = SP.cv_folds(split, profile.cv_folds)
@@ -127,7 +126,6 @@ def train_all(features: DataFrame, split: DataFrame, feature_cols: list[str], pr
                        F.col("recall").alias("test_recall"), F.col("f1").alias("test_f1")))
     train.unpersist()
     train_f.unpersist()
-    del spark
     return fitted, results, test_scores
 
 

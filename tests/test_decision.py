@@ -90,3 +90,19 @@ def test_similar_customers_brute_force(spark):
     })
     got = similar_customers(spark.createDataFrame(pdf)).select("customerID", "similar_id").toPandas()
     assert sorted(map(tuple, got.to_numpy())) == _brute_similar(pdf)
+
+
+def test_roi_ties_broken_by_customer_id(spark):
+    rows = [(f"c{i}", 60.0, 0.5, 30.0, "Save Immediately") for i in range(6)]
+    df = spark.createDataFrame(rows, "customerID string, MonthlyCharges double, churn_probability double, "
+                                     "revenue_at_risk double, segment_label string")
+    targets, summary = B.allocate_budget(df, budget=150.0)
+    got = [r["customerID"] for r in targets.orderBy("roi_rank").collect()]
+    assert got == ["c0", "c1", "c2"]
+    assert summary.first()["n_targeted"] == 3
+
+
+def test_empty_segment_reports(spark):
+    s = L.scored(spark, SF_SMALL).where(F.col("segment_label") == "nothing")
+    assert SG.segment_summary(s).count() == 0
+    assert B.budget_scenarios(s, [5000.0]).first()["n_targeted"] == 0
