@@ -56,9 +56,6 @@ def global_rank(df: DataFrame, order: Sequence[Column], rank_col: str = "rank",
                   .select(*df.columns, (F.col("_off_n") + F.col("_pos")).cast("long").alias(rank_col)))
 
 
-BROADCAST_GROUPS = 1_000_000
-
-
 def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], rank_col: str | None = None,
                  prefix: str = "cum_", partitions: int | None = None,
                  group_cols: Sequence[str] = ()) -> DataFrame:
@@ -68,7 +65,7 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
     range partition (no second shuffle); offsets are added JVM-side. With
     `group_cols` (which must lead `order`), sums restart in every group: the
     global running sum just before each group's first row is subtracted, taken
-    from a one-row-per-group table (broadcast when its size is checked small).
+    from a one-row-per-group table (AQE broadcasts it when its runtime size is small).
     """
     if group_cols:
         out = running_sums(df, order, sums, "_grank", prefix, partitions)
@@ -76,9 +73,8 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
             F.min("_grank").alias("_gfirst"),
             *[F.min_by(F.col(f"{prefix}{c}") - F.coalesce(F.col(c), F.lit(0)), F.col("_grank")).alias(f"_gb_{c}")
               for c in sums])
-        n_groups = firsts.count()
-        right = F.broadcast(firsts) if n_groups <= BROADCAST_GROUPS else firsts
-        joined = out.join(right, list(group_cols))
+        # one row per group: AQE broadcasts it at runtime when its measured size is small
+        joined = out.join(firsts, list(group_cols))
         cols = [*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_gb_{c}")).alias(f"{prefix}{c}") for c in sums]]
         if rank_col:
             cols.append((F.col("_grank") - F.col("_gfirst") + 1).alias(rank_col))
