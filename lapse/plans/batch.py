@@ -4,7 +4,7 @@ Every layer is written once as Parquet under `out_root` (a shared folder on a
 cluster) and read back by the next step, so each step starts from a short
 lineage and a failed run can resume from the last written layer.
 
-    python -m lapse.plans.pipeline --sf /root/testdata/sf0.01 --out /shared/run1 [--quick]
+    python -m lapse.plans.batch --sf /root/testdata/sf0.01 --out /shared/run1 [--quick]
 """
 
 from __future__ import annotations
