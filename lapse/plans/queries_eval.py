@@ -114,7 +114,7 @@ select model, {_r('auc', 4)} as roc_auc from auc order by roc_auc desc, model li
     lambda spark, sf: EV.pick_best(EV.auc(_test_eval(spark, sf)[0]).select("model", rh("auc", 4).alias("roc_auc"))))
 
 register("f09_exact_auc", _SPLIT + _TEST + _AUC.format(src="ts") + """
-select a.model, a.auc, s.P as n_pos, s.N as n_neg from auc a join aucs s using (model)""")(
+select a.model, a.auc, cast(s.P as bigint) as n_pos, cast(s.N as bigint) as n_neg from auc a join aucs s using (model)""")(
     lambda spark, sf: EV.auc(_test_eval(spark, sf)[0]))
 
 _CUM = """, cg as (select model, p, sum(label) as pos, count(*) - sum(label) as neg from {src} group by model, p),
