@@ -15,7 +15,8 @@ all rows may share one). Instead this is an exact range top-k:
    cover), whose lists are joined in and cut to k+1 per window;
 5. customers join their window's list, drop themselves and keep k.
 
-Rows moved: O(D k log D) for D distinct values plus O(N k) for the answer.
+Rows moved: O(N) to cut every value to k+1 rows, O(D k log D) for the blocks of
+the D distinct values, and O(N k) for the answer.
 """
 
 from __future__ import annotations
@@ -46,9 +47,13 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
     max_d = seg_first.select(F.max("_d")).first()[0] or 1
     max_level = max(0, int(max_d - 1).bit_length())
 
-    # 2. per level and block: the top k+1 rows
+    # 2. per value, then per level and block: the top k+1 rows. A block's top k+1
+    #    lies inside the union of its values' top k+1, so only those (<= (k+1) D
+    #    rows, not every customer) are expanded over the levels.
     base = rows.join(idx.select("seg", "c", "i"), ["seg", "c"])
-    leveled = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("lvl")) \
+    w0 = Window.partitionBy("seg", "i").orderBy(*_order())
+    level0 = base.withColumn("_n", F.row_number().over(w0)).where(F.col("_n") <= keep).drop("_n")
+    leveled = level0.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("lvl")) \
         .withColumn("blk", F.expr("shiftright(i, lvl)"))
     w = Window.partitionBy("seg", "lvl", "blk").orderBy(*_order())
     lists = (leveled.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep)
