@@ -30,11 +30,16 @@ def risk_rank(df: DataFrame, partitions: int | None = None) -> DataFrame:
 
 
 def score(features: DataFrame, probabilities: DataFrame, threshold: float, model_name: str,
-          partitions: int | None = None) -> DataFrame:
-    """features + (customerID, churn_probability) -> scored layer (before segments)."""
+          partitions: int | None = None, rank: bool = True) -> DataFrame:
+    """features + (customerID, churn_probability) -> prediction, revenue at risk, scoring model, risk rank.
+
+    With rank=False the rank is left to the caller (so that it can be the last,
+    materialising step of a layer).
+    """
     df = features.join(probabilities.select(ID_COL, "churn_probability"), ID_COL)
-    df = df.transform(lambda d: predict(d, threshold)).transform(revenue_at_risk)
-    return risk_rank(df, partitions).withColumn("scoring_model", F.lit(model_name))
+    df = (df.transform(lambda d: predict(d, threshold)).transform(revenue_at_risk)
+            .withColumn("scoring_model", F.lit(model_name)))
+    return risk_rank(df, partitions) if rank else df
 
 
 def score_summary(scored: DataFrame) -> DataFrame:

@@ -65,8 +65,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_layer
 def scored(spark: SparkSession, sf_dir: str, threshold: float = TEST_THRESHOLD) -> DataFrame:
     """features + deterministic fixture scores -> prediction, rar, rank, segments."""
-    s = S.score(features(spark, sf_dir), fixture.scores(spark, sf_dir), threshold, "fixture")
-    return materialize(SG.assign_segments(s), "scored")
+    s = S.score(features(spark, sf_dir), fixture.scores(spark, sf_dir), threshold, "fixture", rank=False)
+    # the rank pass writes its Parquet table once; that table is the layer
+    return S.risk_rank(SG.assign_segments(s))
 
 
 @_layer

@@ -87,7 +87,7 @@ def _model_scored(spark, sf) -> DataFrame:
     t = trained(spark, sf)
     probs = T.long_scores(t.models[t.best_name], t.features, t.best_name).select(
         K.ID_COL, F.col("p").alias("churn_probability"))
-    return SG.assign_segments(S.score(t.features, probs, t.best_threshold, t.best_name))
+    return S.risk_rank(SG.assign_segments(S.score(t.features, probs, t.best_threshold, t.best_name, rank=False)))
 
 
 register("g01_model_churn_probability")(
