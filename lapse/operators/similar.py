@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from lapse.config import ID_COL
 from lapse.operators.ordered import global_rank, running_sums
 
+
 def _order():
     return [F.col("revenue_at_risk").desc(), F.col(ID_COL).asc()]
 
