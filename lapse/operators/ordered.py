@@ -23,14 +23,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lapse.session import default_parallelism, materialize
+from lapse.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
 
 def _range_sorted(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
-    n = partitions or default_parallelism(df.sparkSession)
-    return df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    """Range-partition on `order` and sort inside partitions.
+
+    Without an explicit count, AQE may coalesce the range partitions; it only
+    merges contiguous ones, so partition ids stay in key order and the
+    per-partition offsets remain exact.
+    """
+    ranged = df.repartitionByRange(partitions, *order) if partitions else df.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order)
 
 
 def _offsets(local: DataFrame, sums: Sequence[str]) -> DataFrame:

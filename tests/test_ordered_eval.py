@@ -85,3 +85,29 @@ def test_average_precision_step_sum(spark):
     pdf = pd.DataFrame({"model": "a", "customerID": list("abcd"), "label": [1, 0, 1, 0], "p": [0.9, 0.8, 0.7, 0.1]})
     ap = EV.average_precision(spark.createDataFrame(pdf)).first()["average_precision"]
     assert abs(ap - (0.5 * 1.0 + 0.5 * (2 / 3))) < 1e-12
+
+
+def test_global_rank_with_aqe_coalesced_ranges(spark):
+    """Default path: AQE merges contiguous range partitions; ranks must stay exact."""
+    pdf = _scores_pdf(seed=9, n=3000)
+    conf = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "4k",
+            "spark.sql.adaptive.coalescePartitions.minPartitionSize": "1k"}
+    old = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.createDataFrame(pdf).repartition(7)
+        got = global_rank(df, [F.col("p").desc(), F.col("customerID")], "r").toPandas()
+        sums = running_sums(df, [F.col("model"), F.col("p"), F.col("customerID")], ["label"],
+                            group_cols=["model"]).toPandas()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    exp = pdf.sort_values(["p", "customerID"], ascending=[False, True]).reset_index(drop=True)
+    exp["r"] = np.arange(1, len(exp) + 1)
+    m = got.merge(exp[["customerID", "r"]], on="customerID", suffixes=("", "_e"))
+    assert len(m) == len(pdf) and (m["r"] == m["r_e"]).all()
+    e2 = pdf.sort_values(["model", "p", "customerID"]).copy()
+    e2["cum"] = e2.groupby("model")["label"].cumsum()
+    m2 = sums.merge(e2[["customerID", "cum"]], on="customerID")
+    assert (m2["cum_label"] == m2["cum"]).all()
