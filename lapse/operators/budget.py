@@ -6,8 +6,10 @@ churn_probability for every (save rate, months, cost), so ONE ranking serves
 every scenario of a grid: the grid is answered from prefix sums of that
 ranking instead of re-sorting the table per scenario.
 
-Top-n selection uses TakeOrderedAndProject (n rows per partition, then n) when
-n is bounded by `TOPN_DIRECT`; above that, the distributed global rank is used.
+Top-n selection uses TakeOrderedAndProject when the rows it gathers are
+bounded: every input partition sends its own top n into ONE final task, so
+n x partitions (not n alone) must stay under `TOPN_GATHER_ROWS`. Above that,
+the distributed global rank is used (range shuffle, no single task).
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from lapse.config import (DEFAULT_BUDGET, DEFAULT_INTERVENTION_COST, DEFAULT_LIF
 from lapse.operators.ordered import global_rank
 
 TOPN_DIRECT = 200_000
+# rows the final task of TakeOrderedAndProject may receive (n per input partition)
+TOPN_GATHER_ROWS = 4_000_000
 
 
 def _roi_order():
@@ -45,15 +49,24 @@ def roi_ranked(df: DataFrame, save_rate: float = DEFAULT_SAVE_RATE,
     return global_rank(roi, _roi_order(), "roi_rank").withColumn("roi_rank", F.col("roi_rank").cast("int"))
 
 
+def _direct_top_n(df: DataFrame, n: int) -> bool:
+    """True when n rows from every input partition fit in one task."""
+    if n > TOPN_DIRECT:
+        return False
+    # planning only (no job): the partition count of the physical input
+    return n * max(1, df.rdd.getNumPartitions()) <= TOPN_GATHER_ROWS
+
+
 def top_n_by_roi(roi: DataFrame, n: int) -> DataFrame:
     """The n best rows by ROI with roi_rank 1..n."""
     if n <= 0:
         return roi.limit(0).withColumn("roi_rank", F.lit(0))
-    if n <= TOPN_DIRECT:
+    if _direct_top_n(roi, n):
         top = roi.orderBy(*_roi_order()).limit(n)
         # at most n rows: the window runs over a bounded table
         return top.withColumn("roi_rank", F.row_number().over(Window.orderBy(*_roi_order())))
-    return global_rank(roi, _roi_order(), "roi_rank").where(F.col("roi_rank") <= n)
+    return (global_rank(roi, _roi_order(), "roi_rank").where(F.col("roi_rank") <= n)
+            .withColumn("roi_rank", F.col("roi_rank").cast("int")))
 
 
 def _max_targets(budget: float, cost: float) -> int:

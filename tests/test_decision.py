@@ -106,3 +106,16 @@ def test_empty_segment_reports(spark):
     s = L.scored(spark, SF_SMALL).where(F.col("segment_label") == "nothing")
     assert SG.segment_summary(s).count() == 0
     assert B.budget_scenarios(s, [5000.0]).first()["n_targeted"] == 0
+
+
+def test_top_n_paths_agree(spark, monkeypatch):
+    """The gathered top-n and the distributed global-rank path pick the same rows and ranks."""
+    roi = B.compute_roi(L.scored(spark, SF_SMALL))
+    n = 37
+    direct = B.top_n_by_roi(roi, n).select("customerID", "roi_rank").toPandas()
+    monkeypatch.setattr(B, "TOPN_GATHER_ROWS", 0)  # too many partitions for one task -> global rank
+    assert not B._direct_top_n(roi, n)
+    ranked = B.top_n_by_roi(roi, n).select("customerID", "roi_rank").toPandas()
+    key = ["roi_rank"]
+    assert direct.sort_values(key).reset_index(drop=True).equals(ranked.sort_values(key).reset_index(drop=True))
+    assert list(direct.sort_values(key).roi_rank) == list(range(1, n + 1))
