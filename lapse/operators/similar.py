@@ -4,16 +4,15 @@
 A self-join on the segment would emit every pair inside a segment (a third of
 all rows may share one). Instead this is an exact range top-k:
 
-1. distinct (segment, charge) values get a dense index i per segment
-   (distributed global rank);
+1. distinct (segment, charge) values get a dense index i per segment, and
+   each value's window [lo*c, hi*c] is turned into index bounds, both by one
+   distributed running count over the union of values and probes;
 2. every block of 2^L consecutive values, for every level L, keeps its top
    k+1 rows (k+1 so that excluding self still leaves k); `row_number() <= k+1`
    is planned with a partial group limit before the shuffle;
-3. each value's window [lo*c, hi*c] is turned into index bounds by
-   distributed running counts over the union of values and probes;
-4. the window is covered by at most two blocks per level (canonical dyadic
+3. the window is covered by at most two blocks per level (canonical dyadic
    cover), whose lists are joined in and cut to k+1 per window;
-5. customers join their window's list, drop themselves and keep k.
+4. customers join their window's list, drop themselves and keep k.
 
 Rows moved: O(N) to cut every value to k+1 rows, O(D k log D) for the blocks of
 the D distinct values, and O(N k) for the answer.
@@ -25,7 +24,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.config import ID_COL
-from lapse.operators.ordered import global_rank, running_sums
+from lapse.operators.ordered import running_sums
+from lapse.session import materialize
 
 
 def _order():
@@ -40,12 +40,23 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
     rows = scored.select(ID_COL, F.col(segment_col).alias("seg"), F.col(charge_col).alias("c"), "revenue_at_risk",
                          *extra_cols)
 
-    # 1. dense index of distinct charges per segment
+    # 1. one running count over the distinct values and their window probes:
+    #    a value's count within its segment is its dense index + 1; a probe
+    #    at lo*c (sorted before equal values) counts the values strictly below
+    #    it, a probe at hi*c (sorted after) the values at or below it.
     vals = rows.select("seg", "c").distinct()
-    ranked = global_rank(vals, [F.col("seg"), F.col("c")], "_r")
-    seg_first = ranked.groupBy("seg").agg(F.min("_r").alias("_r0"), F.count(F.lit(1)).alias("_d"))
-    idx = ranked.join(F.broadcast(seg_first), "seg").select("seg", "c", (F.col("_r") - F.col("_r0")).alias("i"), "_d")
-    max_d = seg_first.select(F.max("_d")).first()[0] or 1
+    union = (vals.select("seg", F.col("c").alias("key"), F.lit(1).alias("typ"), F.col("c").alias("q"),
+                         F.lit(1).alias("is_val"))
+             .unionByName(vals.select("seg", (F.col("c") * F.lit(low)).alias("key"), F.lit(0).alias("typ"),
+                                      F.col("c").alias("q"), F.lit(0).alias("is_val")))
+             .unionByName(vals.select("seg", (F.col("c") * F.lit(high)).alias("key"), F.lit(2).alias("typ"),
+                                      F.col("c").alias("q"), F.lit(0).alias("is_val"))))
+    # read four times below: written once to the shared folder
+    counted = materialize(running_sums(union, [F.col("seg"), F.col("key"), F.col("typ"), F.col("q")], ["is_val"],
+                                       prefix="cum_", group_cols=["seg"]).select("seg", "typ", "q", "cum_is_val"),
+                          "similar_bounds")
+    idx = counted.where(F.col("typ") == 1).select("seg", F.col("q").alias("c"), (F.col("cum_is_val") - 1).alias("i"))
+    max_d = (idx.select(F.max("i")).first()[0] or 0) + 1
     max_level = max(0, int(max_d - 1).bit_length())
 
     # 2. per value, then per level and block: the top k+1 rows. A block's top k+1
@@ -60,21 +71,12 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
     lists = (leveled.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= keep)
              .drop("_n", "i").withColumnRenamed("c", "nc"))
 
-    # 3. index bounds of each window: values strictly below lo*c, values at or below hi*c
-    probes = idx.select("seg", "c")
-    union = (idx.select("seg", F.col("c").alias("key"), F.lit(1).alias("typ"), F.lit(None).cast("double").alias("q"),
-                        F.lit(1).alias("is_val"))
-             .unionByName(probes.select("seg", (F.col("c") * F.lit(low)).alias("key"), F.lit(0).alias("typ"),
-                                        F.col("c").alias("q"), F.lit(0).alias("is_val")))
-             .unionByName(probes.select("seg", (F.col("c") * F.lit(high)).alias("key"), F.lit(2).alias("typ"),
-                                        F.col("c").alias("q"), F.lit(0).alias("is_val"))))
-    counted = running_sums(union, [F.col("seg"), F.col("key"), F.col("typ"), F.col("q")], ["is_val"],
-                           prefix="cum_", group_cols=["seg"])
+    # index bounds of each window (step 1)
     lo = counted.where(F.col("typ") == 0).select("seg", F.col("q").alias("c"), F.col("cum_is_val").alias("lo"))
     hi = counted.where(F.col("typ") == 2).select("seg", F.col("q").alias("c"), (F.col("cum_is_val") - 1).alias("hi"))
     windows = lo.join(hi, ["seg", "c"])
 
-    # 4. canonical dyadic cover: <= 2 blocks per level whose parent is not inside the window
+    # 3. canonical dyadic cover: <= 2 blocks per level whose parent is not inside the window
     lv = windows.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("lvl"))
     b_left = F.expr("shiftright(lo + shiftleft(1L, lvl) - 1, lvl)")
     b_right = F.expr("shiftright(hi + 1, lvl) - 1")
@@ -91,7 +93,7 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
                .select("seg", "c", F.col(ID_COL).alias("similar_id"), F.col("nc").alias(charge_col), "revenue_at_risk",
                        *extra_cols))
 
-    # 5. every customer takes its window's list, minus itself
+    # 4. every customer takes its window's list, minus itself
     q = rows.select(ID_COL, "seg", "c")
     pairs = q.join(answers, ["seg", "c"]).where(F.col("similar_id") != F.col(ID_COL))
     wq = Window.partitionBy(ID_COL).orderBy(F.col("revenue_at_risk").desc(), F.col("similar_id").asc())
