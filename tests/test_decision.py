@@ -119,3 +119,18 @@ def test_top_n_paths_agree(spark, monkeypatch):
     key = ["roi_rank"]
     assert direct.sort_values(key).reset_index(drop=True).equals(ranked.sort_values(key).reset_index(drop=True))
     assert list(direct.sort_values(key).roi_rank) == list(range(1, n + 1))
+
+
+def test_similar_customers_window_edges(spark):
+    """Charges on and just past the inclusive +-15 % edges, repeated values, a one-row segment."""
+    charges = [100.0, 85.0, 115.0, 84.99, 115.01, 100.0, 20.0, 17.0, 23.0, 23.01, 40.0]
+    pdf = pd.DataFrame({
+        "customerID": [f"e{i:02d}" for i in range(len(charges))] + ["solo"],
+        "segment_label": ["S"] * len(charges) + ["Lonely"],
+        "MonthlyCharges": charges + [50.0],
+        "revenue_at_risk": [5.0, 5.0, 1.0, 9.0, 9.0, 5.0, 2.0, 2.0, 3.0, 3.0, 4.0, 7.0],
+        "churn_probability": [0.5] * (len(charges) + 1),
+    })
+    got = similar_customers(spark.createDataFrame(pdf), k=3).select("customerID", "similar_id").toPandas()
+    assert sorted(map(tuple, got.to_numpy())) == _brute_similar(pdf, k=3)
+    assert "solo" not in set(got.customerID)
