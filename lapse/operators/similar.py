@@ -62,9 +62,11 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
     # 2. per value, then per level and block: the top k+1 rows. A block's top k+1
     #    lies inside the union of its values' top k+1, so only those (<= (k+1) D
     #    rows, not every customer) are expanded over the levels.
-    base = rows.join(idx.select("seg", "c", "i"), ["seg", "c"])
-    w0 = Window.partitionBy("seg", "i").orderBy(*_order())
-    level0 = base.withColumn("_n", F.row_number().over(w0)).where(F.col("_n") <= keep).drop("_n")
+    #    The cut to k+1 per value runs before the index join, so a charge
+    #    held by a third of all rows sends at most k+1 rows per map task.
+    w0 = Window.partitionBy("seg", "c").orderBy(*_order())
+    level0 = (rows.withColumn("_n", F.row_number().over(w0)).where(F.col("_n") <= keep).drop("_n")
+              .join(idx, ["seg", "c"]))
     leveled = level0.select("*", F.explode(F.sequence(F.lit(0), F.lit(max_level))).alias("lvl")) \
         .withColumn("blk", F.expr("shiftright(i, lvl)"))
     w = Window.partitionBy("seg", "lvl", "blk").orderBy(*_order())
