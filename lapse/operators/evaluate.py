@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.config import DEFAULT_THRESHOLD, THRESHOLD_GRID
-from lapse.operators.ordered import global_rank, running_sums
+from lapse.operators.ordered import running_sums
 
 _LO, _HI = THRESHOLD_GRID
 
@@ -80,20 +80,17 @@ def score_groups(scores: DataFrame) -> DataFrame:
 def auc(scores: DataFrame) -> DataFrame:
     """Exact ROC AUC per model by the rank-sum formula with mid-ranks for ties.
 
-    Rows get a distributed global rank along (model, p); per distinct score the
-    min/max rank give the mid-rank, so the positive rank sum is an integer sum
-    and the final value is one division.
+    Rows are first aggregated to distinct scores (partial aggregation, so only
+    (model, p, pos, neg) is shuffled, never the rows themselves). A running
+    count along p gives the rows below each score; a tie group of n rows
+    after c rows has doubled mid-rank 2c + n + 1, so the positive rank sum is
+    an integer sum and the final value is one division.
     """
-    ranked = global_rank(scores.select("model", "label", "p", "customerID"),
-                         [F.col("model"), F.col("p"), F.col("customerID")], "r")
-    offs = ranked.groupBy("model").agg((F.min("r") - 1).alias("_off"), F.sum("label").cast("long").alias("n_pos"),
-                                       F.sum(1 - F.col("label")).cast("long").alias("n_neg"))
-    per = (ranked.groupBy("model", "p")
-           .agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.sum("label").cast("long").alias("pos")))
-    # positives' 2*mid-rank summed: pos * (lo + hi) with ranks relative to the model
-    twice = (per.join(F.broadcast(offs), "model")
-             .groupBy("model", "n_pos", "n_neg")
-             .agg(F.sum(F.col("pos") * (F.col("lo") + F.col("hi") - 2 * F.col("_off"))).alias("S2")))
+    g = score_groups(scores).withColumn("cnt", F.col("pos") + F.col("neg"))
+    cum = running_sums(g, [F.col("model"), F.col("p")], ["cnt"], prefix="cum_", group_cols=["model"])
+    twice = cum.groupBy("model").agg(
+        F.sum(F.col("pos") * (2 * (F.col("cum_cnt") - F.col("cnt")) + F.col("cnt") + 1)).alias("S2"),
+        F.sum("pos").cast("long").alias("n_pos"), F.sum("neg").cast("long").alias("n_neg"))
     return twice.select(
         "model",
         F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),

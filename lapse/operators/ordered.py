@@ -73,6 +73,8 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
     global running sum just before each group's first row is subtracted, taken
     from a one-row-per-group table (AQE broadcasts it when its runtime size is small).
     """
+    if "n" in sums:
+        raise ValueError("a sum column may not be named 'n' (reserved for the row-count offsets)")
     if group_cols:
         out = running_sums(df, order, sums, "_grank", prefix, partitions)
         firsts = out.groupBy(*group_cols).agg(
