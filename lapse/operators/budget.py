@@ -53,8 +53,12 @@ def _direct_top_n(df: DataFrame, n: int) -> bool:
     """True when n rows from every input partition fit in one task."""
     if n > TOPN_DIRECT:
         return False
-    # planning only (no job): the partition count of the physical input
-    return n * max(1, df.rdd.getNumPartitions()) <= TOPN_GATHER_ROWS
+    try:
+        # planning only (no job): the partition count of the physical input
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): take the distributed path
+        return False
+    return n * max(1, parts) <= TOPN_GATHER_ROWS
 
 
 def top_n_by_roi(roi: DataFrame, n: int) -> DataFrame:
