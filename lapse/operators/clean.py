@@ -3,7 +3,7 @@ whitespace stripping, IQR outlier flag). Row count is preserved."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,19 +38,55 @@ def strip_strings(df: DataFrame) -> DataFrame:
     ])
 
 
-def quantiles(df: DataFrame, col: str, probs: list[float], approx: bool = False) -> list:
+def quantiles(df: DataFrame, col: str, probs: list[float], approx: bool = False,
+              distributed: bool = False) -> list:
     """Scalar-subquery columns for quantiles of `col` (exact linear interpolation by default).
 
-    The exact form keeps one (value -> count) map per partial aggregate, so its
-    memory is bounded by the number of distinct values (whole cents here);
-    `approx=True` switches to a fixed-size sketch for unbounded domains.
+    The default exact form (Spark's `percentile`) keeps one (value -> count)
+    map per partial aggregate and merges them in one task, so its memory is
+    bounded by the number of distinct values (whole cents here).
+    `distributed=True` gives the same exact values for unbounded domains
+    without that single-task merge; `approx=True` uses a fixed-size sketch.
     """
+    if distributed:
+        return distributed_quantiles(df, col, probs)
     arr = F.array(*[F.lit(float(p)) for p in probs])
     agg = (F.percentile_approx(col, arr, F.lit(100000)) if approx else F.percentile(F.col(col), arr))
     qs = df.select(agg.cast("array<double>")).scalar()
     return [qs[i] for i in range(len(probs))]
 
 
+def distributed_quantiles(df: DataFrame, col: str, probs: list[float]) -> list:
+    """Exact quantiles equal to Spark's `percentile`, with no task holding the distinct values.
+
+    Counts per distinct value (partial aggregation), a distributed running
+    count along the value, then one aggregate picks the keys at the floor and
+    ceiling of position (n - 1) * p and interpolates as `percentile` does.
+    """
+    from lapse.operators.ordered import running_sums
+    g = (df.where(F.col(col).isNotNull()).groupBy(F.col(col).cast("double").alias("_v"))
+         .agg(F.count(F.lit(1)).alias("cnt")))
+    cum = running_sums(g, [F.col("_v")], ["cnt"], prefix="cum_")
+    n = g.select(F.sum("cnt")).scalar()
+    before = F.col("cum_cnt") - F.col("cnt")
+
+    def pos(p: float) -> Column:
+        return (n - 1).cast("double") * F.lit(float(p))
+
+    def key_at(i: Column) -> Column:
+        return F.max(F.when((before <= i) & (i < F.col("cum_cnt")), F.col("_v")))
+
+    picked = cum.agg(*[x for k, p in enumerate(probs) for x in (key_at(F.floor(pos(p))).alias(f"_lo{k}"),
+                                                                  key_at(F.ceil(pos(p))).alias(f"_hi{k}"))])
+    out = []
+    for k, p in enumerate(probs):
+        lo, hi, lower, higher = F.col(f"_lo{k}"), F.col(f"_hi{k}"), F.floor(pos(p)), F.ceil(pos(p))
+        out.append(F.when((higher == lower) | (hi == lo), lo)
+                   .otherwise((higher - pos(p)) * lo + (pos(p) - lower) * hi))
+    qs = picked.select(F.array(*out)).scalar()
+    return [qs[i] for i in range(len(probs))]
+
+
 def flag_outliers(df: DataFrame, col: str = "MonthlyCharges", k: float = OUTLIER_IQR_MULTIPLIER,
                   approx: bool = False, out_col: str = "is_charges_outlier") -> DataFrame:
     """1 when col < q1 - k*IQR or col > q3 + k*IQR; rows are kept."""

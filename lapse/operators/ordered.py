@@ -87,7 +87,10 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
         if rank_col:
             cols.append((F.col("_grank") - F.col("_gfirst") + 1).alias(rank_col))
         return joined.select(*cols)
-    ranged = _range_sorted(df, order, partitions).withColumn("_pid", F.spark_partition_id())
+    # Arrow hands pandas NaN back as null: carry a NaN flag per float column through the pass
+    floats = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.FloatType, T.DoubleType))]
+    ranged = _range_sorted(df, order, partitions).select(
+        "*", F.spark_partition_id().alias("_pid"), *[F.isnan(c).alias(f"_nan{i}") for i, c in enumerate(floats)])
     base_fields = [f for f in ranged.schema.fields]
     out_schema = T.StructType(base_fields + [T.StructField("_pos", T.LongType())]
                               + [T.StructField(f"_loc_{c}", T.DoubleType()) for c in sums])
@@ -113,7 +116,9 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
     offs = totals.select("_pid", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off_n"),
                          *[F.coalesce(F.sum(f"_t_{c}").over(w), F.lit(0.0)).alias(f"_off_{c}") for c in sums])
     integral = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.IntegerType, T.LongType, T.ShortType))}
-    cols = [*df.columns]
+    nan_back = {c: F.when(F.col(f"_nan{i}"), F.lit(float("nan")).cast(df.schema[c].dataType)).otherwise(F.col(c))
+                for i, c in enumerate(floats)}
+    cols = [nan_back[c].alias(c) if c in nan_back else F.col(c) for c in df.columns]
     for c in sums:
         cum = F.col(f"_off_{c}") + F.col(f"_loc_{c}")
         cols.append((F.round(cum).cast("long") if c in integral else cum).alias(f"{prefix}{c}"))

@@ -78,3 +78,19 @@ def test_avg_monthly_revenue_tenure_zero(spark, raw_df):
     got = {r["customerID"]: r for r in FE.engineer(C.clean(raw_df(rows))).collect()}
     assert got["a"]["avg_monthly_revenue"] == 70.0 and got["a"]["charges_delta"] == 0.0
     assert got["b"]["avg_monthly_revenue"] == 50.0 and got["b"]["charges_delta"] == 10.0
+
+
+def test_distributed_quantiles_equal_percentile(spark):
+    """The distributed exact quantile returns the same doubles as Spark's percentile."""
+    import numpy as np
+    import pandas as pd
+    from lapse.operators.clean import quantiles
+    rng = np.random.default_rng(11)
+    vals = np.concatenate([np.round(rng.uniform(18, 120, 700), 2), np.full(300, 70.35), [np.nan] * 5])
+    df = spark.createDataFrame(pd.DataFrame({"v": vals})).repartition(7)
+    probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 0.999, 1.0]
+    exp = df.select(F.percentile("v", F.array(*[F.lit(p) for p in probs]))).first()[0]
+    got = [df.sparkSession.range(1).select(c).first()[0] for c in quantiles(df, "v", probs, distributed=True)]
+    assert [repr(x) for x in got] == [repr(x) for x in exp]  # same bits; NaN (a NaN input) compares equal
+    empty = df.where(F.col("v") < 0)
+    assert df.sparkSession.range(1).select(quantiles(empty, "v", [0.5], distributed=True)[0]).first()[0] is None

@@ -111,3 +111,14 @@ def test_global_rank_with_aqe_coalesced_ranges(spark):
     e2["cum"] = e2.groupby("model")["label"].cumsum()
     m2 = sums.merge(e2[["customerID", "cum"]], on="customerID")
     assert (m2["cum_label"] == m2["cum"]).all()
+
+
+def test_running_sums_keep_nan_and_null(spark):
+    """NaN and NULL in pass-through float columns survive the Arrow-batched local pass."""
+    pdf = pd.DataFrame({"k": [1.0, 2.0, 3.0, 4.0], "x": [float("nan"), 1.5, None, -0.0], "w": [1, 2, 3, 4]})
+    df = spark.createDataFrame(pdf, "k double, x double, w int")
+    df = df.withColumn("x", F.when(F.col("k") == 1.0, F.lit(float("nan"))).when(F.col("k") == 3.0, F.lit(None))
+                       .otherwise(F.col("x")))
+    got = {r["k"]: r for r in running_sums(df, [F.col("k")], ["w"], partitions=2).collect()}
+    assert np.isnan(got[1.0]["x"]) and got[3.0]["x"] is None and got[2.0]["x"] == 1.5
+    assert [got[k]["cum_w"] for k in (1.0, 2.0, 3.0, 4.0)] == [1, 3, 6, 10]
