@@ -94,3 +94,25 @@ def test_distributed_quantiles_equal_percentile(spark):
     assert [repr(x) for x in got] == [repr(x) for x in exp]  # same bits; NaN (a NaN input) compares equal
     empty = df.where(F.col("v") < 0)
     assert df.sparkSession.range(1).select(quantiles(empty, "v", [0.5], distributed=True)[0]).first()[0] is None
+
+
+def test_distributed_quantiles_property(spark):
+    """Random sizes, ties, partition counts and probabilities: same doubles as percentile."""
+    import numpy as np
+    import pandas as pd
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+    from lapse.operators.clean import quantiles
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(seed=st.integers(0, 10_000), n=st.integers(1, 300), distinct=st.integers(1, 50), parts=st.integers(1, 9),
+           probs=st.lists(st.floats(0.0, 1.0), min_size=1, max_size=4))
+    def check(seed, n, distinct, parts, probs):
+        rng = np.random.default_rng(seed)
+        df = spark.createDataFrame(pd.DataFrame({"v": rng.choice(np.round(rng.normal(50, 20, distinct), 2), n)}))
+        df = df.repartition(parts)
+        exp = df.select(F.percentile("v", F.array(*[F.lit(float(p)) for p in probs]))).first()[0]
+        got = [spark.range(1).select(c).first()[0] for c in quantiles(df, "v", probs, distributed=True)]
+        assert [repr(x) for x in got] == [repr(float(x)) for x in exp]
+
+    check()

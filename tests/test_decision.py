@@ -134,3 +134,26 @@ def test_similar_customers_window_edges(spark):
     got = similar_customers(spark.createDataFrame(pdf), k=3).select("customerID", "similar_id").toPandas()
     assert sorted(map(tuple, got.to_numpy())) == _brute_similar(pdf, k=3)
     assert "solo" not in set(got.customerID)
+
+
+def test_similar_customers_property(spark):
+    """Random skew, repeated charges, heavy ties and k: the range top-k equals brute force."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(seed=st.integers(0, 10_000), n=st.integers(1, 120), n_charges=st.integers(1, 30), k=st.integers(1, 6),
+           hot=st.floats(0.0, 0.9))
+    def check(seed, n, n_charges, k, hot):
+        rng = np.random.default_rng(seed)
+        pdf = pd.DataFrame({
+            "customerID": [f"p{i:03d}" for i in range(n)],
+            "segment_label": np.where(rng.random(n) < hot, "Hot", rng.choice(["A", "B", "C"], n)),
+            "MonthlyCharges": rng.choice(np.round(rng.uniform(10, 60, n_charges), 2), n),
+            "revenue_at_risk": rng.integers(0, 4, n).astype(float),
+            "churn_probability": rng.random(n),
+        })
+        got = similar_customers(spark.createDataFrame(pdf), k=k).select("customerID", "similar_id").toPandas()
+        assert sorted(map(tuple, got.to_numpy())) == _brute_similar(pdf, k=k)
+
+    check()
