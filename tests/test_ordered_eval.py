@@ -122,3 +122,44 @@ def test_running_sums_keep_nan_and_null(spark):
     got = {r["k"]: r for r in running_sums(df, [F.col("k")], ["w"], partitions=2).collect()}
     assert np.isnan(got[1.0]["x"]) and got[3.0]["x"] is None and got[2.0]["x"] == 1.5
     assert [got[k]["cum_w"] for k in (1.0, 2.0, 3.0, 4.0)] == [1, 3, 6, 10]
+
+
+def _ap_brute(g):
+    """Step-sum average precision over distinct scores, descending."""
+    n_pos = g.label.sum()
+    if n_pos == 0:
+        return 0.0
+    ap, tp, fp = 0.0, 0, 0
+    for p in sorted(g.p.unique(), reverse=True):
+        at = g[g.p == p]
+        tp += at.label.sum()
+        fp += len(at) - at.label.sum()
+        ap += at.label.sum() / n_pos * (tp / (tp + fp))
+    return ap
+
+
+def test_auc_and_ap_property(spark):
+    """Random ties, class balance and model count: AUC and AP equal brute force."""
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(seed=st.integers(0, 10_000), n=st.integers(2, 400), levels=st.integers(1, 60),
+           pos_rate=st.floats(0.05, 0.95), models=st.integers(1, 3))
+    def check(seed, n, levels, pos_rate, models):
+        rng = np.random.default_rng(seed)
+        pdf = pd.DataFrame({"model": rng.choice(["a", "b", "c"][:models], n),
+                            "customerID": [f"c{i:04d}" for i in range(n)],
+                            "label": (rng.random(n) < pos_rate).astype(int),
+                            "p": rng.integers(0, levels, n) / levels})
+        df = spark.createDataFrame(pdf)
+        aucs = {r["model"]: r["auc"] for r in EV.auc(df).collect()}
+        aps = {r["model"]: r["average_precision"] for r in EV.average_precision(df).collect()}
+        for m, g in pdf.groupby("model"):
+            if 0 < g.label.sum() < len(g):
+                assert abs(aucs[m] - _auc_brute(g)) < 1e-12
+            else:
+                assert aucs[m] is None
+            assert abs(aps[m] - _ap_brute(g)) < 1e-9
+
+    check()
