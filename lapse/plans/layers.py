@@ -12,10 +12,12 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lapse.config import HIGH_VALUE_PERCENTILE
 from lapse.operators import clean as C
 from lapse.operators import features as FE
 from lapse.operators import scoring as S
 from lapse.operators import segments as SG
+from lapse.operators.clean import quantiles
 from lapse.session import materialize
 from lapse.sources import fixture
 
@@ -65,9 +67,13 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_layer
 def scored(spark: SparkSession, sf_dir: str, threshold: float = TEST_THRESHOLD) -> DataFrame:
     """features + deterministic fixture scores -> prediction, rar, rank, segments."""
-    s = S.score(features(spark, sf_dir), fixture.scores(spark, sf_dir), threshold, "fixture", rank=False)
+    feats = features(spark, sf_dir)
+    s = S.score(feats, fixture.scores(spark, sf_dir), threshold, "fixture", rank=False)
+    # every feature row has exactly one fixture score (same customer keys), so the
+    # median charge is taken from the features layer: one column scan, not a second join
+    median = quantiles(feats, "MonthlyCharges", [HIGH_VALUE_PERCENTILE])[0]
     # the rank pass writes its Parquet table once; that table is the layer
-    return S.risk_rank(SG.assign_segments(s))
+    return S.risk_rank(SG.assign_segments(s, median_charge=median))
 
 
 @_layer
