@@ -29,19 +29,32 @@ def risk_rank(df: DataFrame, partitions: int | None = None) -> DataFrame:
         .withColumn("risk_rank", F.col("risk_rank").cast("int"))
 
 
-def score(features: DataFrame, probabilities: DataFrame, threshold: float, model_name: str,
-          partitions: int | None = None, rank: bool = True) -> DataFrame:
-    """features + (customerID, churn_probability) -> prediction, revenue at risk, scoring model, risk rank.
+def score_frame(df: DataFrame, threshold: float, model_name: str, partitions: int | None = None,
+                rank: bool = True) -> DataFrame:
+    """Rows already carrying churn_probability -> prediction, revenue at risk, scoring model, risk rank.
 
     With rank=False the rank is left to the caller (so that it can be the last,
     materialising step of a layer).
     """
-    df = features.join(probabilities.select(ID_COL, "churn_probability"), ID_COL)
     df = (df.transform(lambda d: predict(d, threshold)).transform(revenue_at_risk)
             .withColumn("scoring_model", F.lit(model_name)))
     return risk_rank(df, partitions) if rank else df
 
 
+def score(features: DataFrame, probabilities: DataFrame, threshold: float, model_name: str,
+          partitions: int | None = None, rank: bool = True) -> DataFrame:
+    """features + a separate (customerID, churn_probability) table (one join on the id)."""
+    df = features.join(probabilities.select(ID_COL, "churn_probability"), ID_COL)
+    return score_frame(df, threshold, model_name, partitions, rank)
+
+
+def score_model(model, features: DataFrame, threshold: float, model_name: str, partitions: int | None = None,
+                rank: bool = True) -> DataFrame:
+    """features scored by a fitted pipeline: its output is row for row, so nothing is joined back."""
+    out = churn_probability(model.transform(features)).select(*features.columns, "churn_probability")
+    return score_frame(out, threshold, model_name, partitions, rank)
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
     """One-row KPI strip: totals, high-risk share, revenue at risk, actual rate, top-segment count."""
     has_label = "Churn" in scored.columns

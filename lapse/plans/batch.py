@@ -62,8 +62,10 @@ def run(spark: SparkSession, out_root: str, sf_dir: str | None = None, raw_path:
 
     best = results.orderBy(F.col("test_auc").desc(), "model").first()
     name, threshold = best["model"], float(best["threshold"])
-    probs = T.long_scores(models[name], features, name).select(K.ID_COL, F.col("p").alias("churn_probability"))
-    scored = S.risk_rank(SG.assign_segments(S.score(features, probs, threshold, name, rank=False)))
+    # model output is row for row: no join back, and the median charge comes from the features layer
+    median = C.quantiles(features, "MonthlyCharges", [K.HIGH_VALUE_PERCENTILE])[0]
+    scored = S.risk_rank(SG.assign_segments(S.score_model(models[name], features, threshold, name, rank=False),
+                                            median_charge=median))
     IO.write_layer(scored, p["scored"])          # written once, after segmenting
     scored = IO.read_layer(spark, p["scored"], "scoring")
 

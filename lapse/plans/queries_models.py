@@ -85,9 +85,9 @@ register("f18_top_shap_features")(lambda spark, sf: T.top_importance(_tree_shap(
 def _model_scored(spark, sf) -> DataFrame:
     """Score every customer with the best model (by test AUC) at its tuned threshold, then segment."""
     t = trained(spark, sf)
-    probs = T.long_scores(t.models[t.best_name], t.features, t.best_name).select(
-        K.ID_COL, F.col("p").alias("churn_probability"))
-    return S.risk_rank(SG.assign_segments(S.score(t.features, probs, t.best_threshold, t.best_name, rank=False)))
+    s = S.score_model(t.models[t.best_name], t.features, t.best_threshold, t.best_name, rank=False)
+    # scoring is row for row, so the median charge of the features layer is the scored one
+    return S.risk_rank(SG.assign_segments(s, median_charge=t.median_charge))
 
 
 register("g01_model_churn_probability")(
