@@ -42,10 +42,14 @@ def stratified_split(df: DataFrame, train_pct: int = 70, val_pct: int = 15, labe
     return pos.select(ID_COL, label, split.alias("split"), "class_pos")
 
 
+def fold_of(k: int = CV_FOLDS) -> Column:
+    """Stratified fold of a train row: (class_pos - 1) mod k."""
+    return ((F.col("class_pos") - 1) % k).cast("int")
+
+
 def cv_folds(split: DataFrame, k: int = CV_FOLDS) -> DataFrame:
-    """Stratified k folds over the train rows: fold = (class_pos - 1) mod k."""
-    return (split.where(F.col("split") == "train")
-            .select(ID_COL, ((F.col("class_pos") - 1) % k).cast("int").alias("fold")))
+    """Stratified k folds over the train rows."""
+    return split.where(F.col("split") == "train").select(ID_COL, fold_of(k).alias("fold"))
 
 
 def class_weights(train: DataFrame, label: str = TARGET_COL) -> DataFrame:

@@ -90,9 +90,9 @@ def train_all(features: DataFrame, split: DataFrame, feature_cols: list[str], pr
     """
     profile = profile or Profile.reference()
     data = features.join(split.select(K.ID_COL, "split", "class_pos"), K.ID_COL)
-    train = weighted(data.where(F.col("split") == "train")).persist()
-    folds = SP.cv_folds(split, profile.cv_folds)
-    train_f = train.join(folds, K.ID_COL).persist()
+    # the fold comes from class_pos, already joined in: no second join, one cached table
+    train = weighted(data.where(F.col("split") == "train")).withColumn("fold", SP.fold_of(profile.cv_folds)).persist()
+    train_f = train
     val = data.where(F.col("split") == "val")
     test = data.where(F.col("split") == "test")
     n_train = train.count()
@@ -125,7 +125,6 @@ def train_all(features: DataFrame, split: DataFrame, feature_cols: list[str], pr
                        F.col("roc_auc").alias("test_auc"), F.col("precision").alias("test_precision"),
                        F.col("recall").alias("test_recall"), F.col("f1").alias("test_f1")))
     train.unpersist()
-    train_f.unpersist()
     return fitted, results, test_scores
 
 
