@@ -26,12 +26,26 @@ from lapse.operators import segments as SG
 from lapse.operators import split as SP
 from lapse.operators import train as T
 from lapse.sources import files as IO
+from lapse.session import drop_tables, intermediate_scope
 from lapse.sources import fixture
 
 
 def run(spark: SparkSession, out_root: str, sf_dir: str | None = None, raw_path: str | None = None,
         raw_format: str = "csv", profile: T.Profile | None = None, explain: bool = True) -> dict:
-    """Run the whole pipeline; returns the output paths and the small report tables as rows."""
+    """Run the whole pipeline; returns the output paths and the small report tables as rows.
+
+    Intermediate tables of this run (rank and running-count passes) are dropped
+    from the shared folder at the end: every output is then written and the
+    report rows are collected, so nothing reads them any more.
+    """
+    with intermediate_scope() as written:
+        report = _run(spark, out_root, sf_dir, raw_path, raw_format, profile, explain)
+    report["dropped_intermediates"] = drop_tables(spark, written)
+    return report
+
+
+def _run(spark: SparkSession, out_root: str, sf_dir: str | None, raw_path: str | None, raw_format: str,
+         profile: T.Profile | None, explain: bool) -> dict:
     profile = profile or T.Profile.reference()
     p = {name: os.path.join(out_root, name) for name in
          ["cleaned", "features", "split", "models", "model_results", "importance", "scored", "scenarios", "summary"]}
@@ -47,10 +61,11 @@ def run(spark: SparkSession, out_root: str, sf_dir: str | None = None, raw_path:
     IO.write_layer(SP.stratified_split(cleaned), p["split"])
     split = IO.read_layer(spark, p["split"], "the split")
 
-    models, results, _ = T.train_all(features, split, feature_cols, profile)
+    models, results, test_scores = T.train_all(features, split, feature_cols, profile)
     IO.write_model_results(results, p["model_results"])
     IO.save_models(models, p["models"])
     results = IO.read_model_results(spark, p["model_results"])
+    test_scores.unpersist()
 
     if explain:
         sample = SP.seeded_sample(features, K.SHAP_SAMPLE)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,9 +67,39 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = os.path.join(ensure_checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
+    scope = getattr(_SCOPE, "paths", None)
+    if scope is not None:
+        scope.append(path)
     return spark.read.parquet(path)
 
 
+_SCOPE = threading.local()
+
+
+@contextlib.contextmanager
+def intermediate_scope():
+    """Collect the paths of the tables `materialize` writes on this thread inside the block."""
+    outer = getattr(_SCOPE, "paths", None)
+    _SCOPE.paths = []
+    try:
+        yield _SCOPE.paths
+    finally:
+        inner = _SCOPE.paths
+        _SCOPE.paths = outer
+        if outer is not None:
+            outer.extend(inner)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> int:
+    """Delete intermediate tables from the shared folder once nothing reads them; returns the count."""
+    conf = spark._jsc.hadoopConfiguration()
+    n = 0
+    for p in paths:
+        jp = spark._jvm.org.apache.hadoop.fs.Path(p)
+        n += int(bool(jp.getFileSystem(conf).delete(jp, True)))
+    return n
+
+
 def default_parallelism(spark: SparkSession) -> int:
     try:
         return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -20,3 +20,5 @@ def test_batch_run_writes_layers(spark):
     assert [r["n_targeted"] for r in report["scenarios"]] == [50, 100, 150, 150]
     scored = spark.read.parquet(report["paths"]["scored"])
     assert scored.select("risk_rank").distinct().count() == 150
+    # the run's own intermediate tables are gone; its outputs (read above) are intact
+    assert report["dropped_intermediates"] > 0
