@@ -6,10 +6,9 @@ churn_probability for every (save rate, months, cost), so ONE ranking serves
 every scenario of a grid: the grid is answered from prefix sums of that
 ranking instead of re-sorting the table per scenario.
 
-Top-n selection uses TakeOrderedAndProject when the rows it gathers are
-bounded: every input partition sends its own top n into ONE final task, so
-n x partitions (not n alone) must stay under `TOPN_GATHER_ROWS`. Above that,
-the distributed global rank is used (range shuffle, no single task).
+Top-n selection uses TakeOrderedAndProject only when the rows it gathers
+into one task (n from every input partition) are bounded
+(`ordered.gather_fits`); otherwise the distributed global rank is used.
 """
 
 from __future__ import annotations
@@ -21,11 +20,8 @@ from pyspark.sql import functions as F
 
 from lapse.config import (DEFAULT_BUDGET, DEFAULT_INTERVENTION_COST, DEFAULT_LIFETIME_MONTHS, DEFAULT_SAVE_RATE,
                           ID_COL, IMPACT_MAX_BUDGET, IMPACT_STEP)
-from lapse.operators.ordered import global_rank
+from lapse.operators.ordered import gather_fits, global_rank
 
-TOPN_DIRECT = 200_000
-# rows the final task of TakeOrderedAndProject may receive (n per input partition)
-TOPN_GATHER_ROWS = 4_000_000
 
 
 def _roi_order():
@@ -49,23 +45,11 @@ def roi_ranked(df: DataFrame, save_rate: float = DEFAULT_SAVE_RATE,
     return global_rank(roi, _roi_order(), "roi_rank").withColumn("roi_rank", F.col("roi_rank").cast("int"))
 
 
-def _direct_top_n(df: DataFrame, n: int) -> bool:
-    """True when n rows from every input partition fit in one task."""
-    if n > TOPN_DIRECT:
-        return False
-    try:
-        # planning only (no job): the partition count of the physical input
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): take the distributed path
-        return False
-    return n * max(1, parts) <= TOPN_GATHER_ROWS
-
-
 def top_n_by_roi(roi: DataFrame, n: int) -> DataFrame:
     """The n best rows by ROI with roi_rank 1..n."""
     if n <= 0:
         return roi.limit(0).withColumn("roi_rank", F.lit(0))
-    if _direct_top_n(roi, n):
+    if gather_fits(roi, n):
         top = roi.orderBy(*_roi_order()).limit(n)
         # at most n rows: the window runs over a bounded table
         return top.withColumn("roi_rank", F.row_number().over(Window.orderBy(*_roi_order())))

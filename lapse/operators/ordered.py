@@ -27,6 +27,11 @@ from lapse.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
+# TakeOrderedAndProject sends the top n of EVERY input partition into one final
+# task: it is used only while n x partitions stays under this many rows.
+TOPN_GATHER_ROWS = 4_000_000
+TOPN_DIRECT = 200_000
+
 
 def _range_sorted(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
     """Range-partition on `order` and sort inside partitions.
@@ -125,3 +130,28 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
     if rank_col:
         cols.append((F.col("_off_n") + F.col("_pos")).cast("long").alias(rank_col))
     return local.join(F.broadcast(offs), "_pid").select(*cols)
+
+
+def gather_fits(df: DataFrame, n: int) -> bool:
+    """True when n rows from every input partition fit in one task."""
+    if n > TOPN_DIRECT:
+        return False
+    try:
+        # planning only (no job): the partition count of the physical input
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (e.g. a Spark Connect session): take the distributed path
+        return False
+    return n * max(1, parts) <= TOPN_GATHER_ROWS
+
+
+def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
+    """The first n rows along `order` (a total order: end it with the id).
+
+    Gathered by TakeOrderedAndProject when `gather_fits`, else filtered from
+    the distributed global rank (range shuffle, no single task).
+    """
+    if n <= 0:
+        return df.limit(0)
+    if gather_fits(df, n):
+        return df.orderBy(*order).limit(n)
+    return global_rank(df, order, "_top_r").where(F.col("_top_r") <= n).drop("_top_r")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lapse.config import HIGH_VALUE_PERCENTILE, ID_COL, SEGMENTS
 from lapse.operators.clean import quantiles
+from lapse.operators.ordered import top_n
 
 SEGMENT_DIM_SCHEMA = ("risk_tier string, value_tier string, segment_label string, segment_priority int, "
                       "recommended_action string, segment_color string")
@@ -76,14 +77,14 @@ def top_customers(scored: DataFrame, n: int, segment: str | None = None, per_seg
                   order: list[Column] | None = None) -> DataFrame:
     """Top-n by revenue at risk (customerID tie-break): overall, within one segment, or per segment.
 
-    Overall: TakeOrderedAndProject (n rows per partition, then n). Per segment:
+    Overall: `ordered.top_n` (gathered only while n x partitions is bounded). Per segment:
     `row_number() <= n` is planned with a partial WindowGroupLimit before the
     shuffle, so a hot segment sends at most n rows per map task.
     """
     order = order or [F.col("revenue_at_risk").desc(), F.col(ID_COL).asc()]
     df = scored if segment is None else scored.where(F.col("segment_label") == segment)
     if not per_segment:
-        return df.orderBy(*order).limit(n)
+        return top_n(df, order, n)
     w = Window.partitionBy("segment_label").orderBy(*order)
     return df.withColumn("segment_rank", F.row_number().over(w)).where(F.col("segment_rank") <= n)
 

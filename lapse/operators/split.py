@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lapse.config import CV_FOLDS, ID_COL, SEED, TARGET_COL
 from lapse.functions.columns import round_half_up
-from lapse.operators.ordered import global_rank
+from lapse.operators.ordered import global_rank, top_n
 
 
 def seeded_key(seed: int = SEED) -> Column:
@@ -70,4 +70,4 @@ def with_weights(train: DataFrame, label: str = TARGET_COL, col: str = "weight")
 
 def seeded_sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     """Exactly min(n, rows) rows, stable across runs: the n smallest seeded keys (a top-k)."""
-    return df.orderBy(seeded_key(seed), F.col(ID_COL)).limit(n)
+    return top_n(df, [seeded_key(seed), F.col(ID_COL)], n)

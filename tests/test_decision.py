@@ -113,8 +113,9 @@ def test_top_n_paths_agree(spark, monkeypatch):
     roi = B.compute_roi(L.scored(spark, SF_SMALL))
     n = 37
     direct = B.top_n_by_roi(roi, n).select("customerID", "roi_rank").toPandas()
-    monkeypatch.setattr(B, "TOPN_GATHER_ROWS", 0)  # too many partitions for one task -> global rank
-    assert not B._direct_top_n(roi, n)
+    from lapse.operators import ordered as O
+    monkeypatch.setattr(O, "TOPN_GATHER_ROWS", 0)  # too many partitions for one task -> global rank
+    assert not O.gather_fits(roi, n)
     ranked = B.top_n_by_roi(roi, n).select("customerID", "roi_rank").toPandas()
     key = ["roi_rank"]
     assert direct.sort_values(key).reset_index(drop=True).equals(ranked.sort_values(key).reset_index(drop=True))
@@ -157,3 +158,16 @@ def test_similar_customers_property(spark):
         assert sorted(map(tuple, got.to_numpy())) == _brute_similar(pdf, k=k)
 
     check()
+
+
+def test_top_n_general_paths_agree(spark, monkeypatch):
+    """ordered.top_n: the gathered and the global-rank path return the same rows (sample and top customers)."""
+    from lapse.operators import ordered as O
+    from lapse.operators import split as SP
+    feats, s = L.features(spark, SF_SMALL), L.scored(spark, SF_SMALL)
+    direct = (sorted(r[0] for r in SP.seeded_sample(feats, 40).select("customerID").collect()),
+              sorted(r[0] for r in SG.top_customers(s, 12).select("customerID").collect()))
+    monkeypatch.setattr(O, "TOPN_GATHER_ROWS", 0)
+    ranked = (sorted(r[0] for r in SP.seeded_sample(feats, 40).select("customerID").collect()),
+              sorted(r[0] for r in SG.top_customers(s, 12).select("customerID").collect()))
+    assert direct == ranked and len(direct[0]) == 40 and len(direct[1]) == 12
