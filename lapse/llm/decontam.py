@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.llm.common import texts
+from lapse.session import materialize
 
 #: Words in a window; a shorter item is one window of its own.
 WINDOW = 8
@@ -30,6 +31,8 @@ LITERAL = 0.6
 SHARE, RUN = 0.5, 13
 #: Most benchmark windows that are broadcast; beyond it the join shuffles.
 BROADCAST_WINDOWS = 200_000
+#: Most keys of contaminated documents that are broadcast.
+BROADCAST_KEYS = 2_000_000
 
 #: Separators: all but letters and digits; a point or comma between digits belongs to the number.
 BETWEEN = r"(?:[^\p{L}\p{N}.,\x02]|[.,](?![0-9])|(?<![0-9])[.,])+"
@@ -97,17 +100,19 @@ def matches(docs: DataFrame, items: DataFrame, lengths: list[int], small: bool)
     return joined.select("key", "item_id", "n_words", F.col("place").alias("doc_place"), "item_place", "length")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
-    """(doc_id, contaminated, n_items, item_ids, n_windows, coverage): one row for each row of `docs`."""
-    from lapse.session import materialize
-
+def item_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
+    """(key, item_id, n_windows, coverage, hit) of documents and items with a shared window; key: xxhash64 of id and text."""
     items = materialize(item_windows(benchmark, window), "op6-items")
     of = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `window` rows at most
     small = sum(of.values()) <= BROADCAST_WINDOWS
     # Matched windows are few and written once: whole texts aren't canonicalised anew for each use.
     found = materialize(matches(docs, items, sorted(of), small), "op6-matches")
-    per_item = covered(found, slots_agree(docs, items, found), share, run)
-    verdict = per_item.groupBy("key").agg(
+    return covered(found, slots_agree(docs, items, found), share, run)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, **rules: float) -> DataFrame:
+    """(doc_id, contaminated, n_items, item_ids, n_windows, coverage): one row for each row of `docs`."""
+    verdict = item_hits(docs, benchmark, **rules).groupBy("key").agg(
         F.array_sort(F.collect_set(F.when(F.col("hit"), F.col("item_id")))).alias("item_ids"),
         F.sum("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"))
     own = texts(docs).select("doc_id", _key(F.col("doc_id"), F.col("text")).alias("key"))
@@ -117,6 +122,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sh
         F.coalesce("n_windows", F.lit(0)).cast("long").alias("n_windows"), F.coalesce("coverage", F.lit(0.0)).alias("coverage"))
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, **rules: float) -> DataFrame:
+    """`docs` without the contaminated ones. Few keys are broadcast, more are shuffled."""
+    gone = materialize(item_hits(docs, benchmark, **rules).where("hit").select(F.col("key").alias("key_")).distinct(), "op6-hits")
+    small = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
+    return docs.join(small, _key(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == F.col("key_"), "left_anti").select(*(docs[c] for c in docs.columns))
+
+
 def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
     """(key, item_id, shift): alignments whose slots disagree, i.e. one value of the item meets two of the document.
 

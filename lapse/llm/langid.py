@@ -20,7 +20,9 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +123,14 @@ class Profiles:
         return self.langs[best], 1.0 - float(away[best]) / (self.n * len(own))
 
 
-def predict(docs: DataFrame, training: DataFrame, n: int = PROFILE) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) of every row of `docs`, by profiles learned from rows (text, lang).
+def learned(training: DataFrame, n: int = PROFILE) -> Broadcast:
+    """Profiles of the languages of rows (text, lang). The driver takes `n` rows for each language."""
+    return training.sparkSession.sparkContext.broadcast(Profiles([tuple(r) for r in profiles(training, n).collect()], n))
+
 
-    The driver takes `n` rows for each language."""
-    rows = [tuple(r) for r in profiles(training, n).collect()]
-    shared = docs.sparkSession.sparkContext.broadcast(Profiles(rows, n))
+def predict(docs: DataFrame, training: DataFrame, n: int = PROFILE) -> DataFrame:
+    """(doc_id, held_out, lang_pred, score) of every row of `docs`, by profiles learned from rows (text, lang)."""
+    shared = learned(training, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -137,6 +141,17 @@ def predict(docs: DataFrame, training: DataFrame, n: int = PROFILE) -> DataFrame
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def identified(docs: DataFrame, training: DataFrame, n: int = PROFILE) -> DataFrame:
+    """`docs` without the rows whose language is unknown."""
+    shared = learned(training, n)
+
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
+        return pd.Series([shared.value.predict(t)[0] != UNKNOWN for t in texts], dtype=bool)
+
+    return docs.where(known(docs["text"]))
+
+
 def training_rows(docs: DataFrame) -> DataFrame:
     """(text, lang) of the rows that may be learned from."""
     return docs.where(docs["lang"].isNotNull() & ~held_out(docs["doc_id"])).select(docs["text"], docs["lang"])

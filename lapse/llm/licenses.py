@@ -120,15 +120,15 @@ def regions(words: list[str], template: list[str], vocabulary: frozenset[str], l
             start = k
 
 
-def align(words: list[str], lo: int, hi: int, template: list[str], least: float) -> Iterator[tuple[int, int, float]]:
-    """(first, end, coverage) of copies of the template in words[lo:hi]. A region much longer than the template is
+def align(words: list[str], lo: int, hi: int, template: list[str], least: float) -> Iterator[tuple[int, int, int]]:
+    """(first, end, aligned words) of copies of the template in words[lo:hi]. A region much longer than the template is
     cut where the template's first words recur, since two copies in it leave no word unique."""
     heads = [i for i in range(lo, hi) if words[i] == template[0] and words[i + 1 : i + 2] == template[1:2]]
     cuts = sorted({lo, *heads, hi}) if len(heads) > 1 else [lo, hi]
     for s, e in zip(cuts, cuts[1:], strict=False):
         pairs = patience(words[s:e], template, s)
         if pairs and len(pairs) >= least * len(template):
-            yield pairs[0][0], pairs[-1][0] + 1, len(pairs) / len(template)
+            yield pairs[0][0], pairs[-1][0] + 1, len(pairs)
 
 
 class Scanner:
@@ -138,7 +138,7 @@ class Scanner:
         self.known = frozenset().union(*(v for _, _, v in self.templates))
 
     def scan(self, text: str) -> list[dict]:
-        """Found licenses in order; of overlapping ones the longest alignment, then the best covered, stays."""
+        """Found licenses in order; of overlapping ones that with most aligned words, then the best covered, stays."""
         placed = tokens(text)
         words = [w for w, _, _ in placed]
         there = self.known.intersection(words)
@@ -146,10 +146,10 @@ class Scanner:
         for name, template, vocabulary in self.templates:
             if len(there & vocabulary) >= self.least * len(vocabulary):
                 for lo, hi in regions(words, template, vocabulary, self.least, self.gap):
-                    found += [(e - s, c, name, s, e) for s, e, c in align(words, lo, hi, template, self.least)]
+                    found += [(n, n / len(template), name, s, e) for s, e, n in align(words, lo, hi, template, self.least)]
         kept: list[tuple] = []
         taken: set[int] = set()
-        for x in sorted(found, key=lambda x: (-x[1] * x[0], -x[1], x[2], x[3])):
+        for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
             if taken.isdisjoint(range(x[3], x[4])):
                 taken.update(range(x[3], x[4]))
                 kept.append(x)

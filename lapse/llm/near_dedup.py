@@ -90,22 +90,22 @@ def least_shared(k: int, percent: int, miss: float = 1e-10) -> int:
 
 
 def sketches(docs: DataFrame, size: int, k: int) -> DataFrame:
-    """(doc_id, n, h1, h2, sketch): set size, a 128-bit hash of the set, and its k smallest values."""
+    """(doc_id, text_hash, n, h1, h2, sketch): set size, a 128-bit hash of the set, and its k smallest values."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _WordHashes()
 
-        def row(i: int | None, text: str) -> tuple:
+        def row(i: int | None, th: int, text: str) -> tuple:
             own = shingle_set(text, size, hashes)
             whole = xxhash.xxh128_intdigest(own.tobytes())
             h1, h2 = (x - (1 << 63) for x in (whole >> 64, whole & (1 << 64) - 1))
-            return i, len(own), h1, h2, own[:k].tolist()
+            return i, th, len(own), h1, h2, own[:k].tolist()
 
-        yield from batches_of((row(i, t) for i, t in rows_of(batches, "doc_id", "text")), pa.schema([
-            ("doc_id", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
+        yield from batches_of((row(*x) for x in rows_of(batches, "doc_id", "text_hash", "text")), pa.schema([
+            ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("sketch", pa.list_(pa.int64()))]))
 
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(
-        run, "doc_id long, n int, h1 long, h2 long, sketch array<bigint>")
+    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text_hash", F.xxhash64("text")).mapInArrow(
+        run, "doc_id long, text_hash long, n int, h1 long, h2 long, sketch array<bigint>")
 
 
 def full_sets(docs: DataFrame, classes: DataFrame, size: int) -> DataFrame:
@@ -236,7 +236,7 @@ def links_in_blocks(members: DataFrame, sets: DataFrame, percent: int, block: in
 
 
 def component_ids(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of `docs`."""
+    """(doc_id, n_shingles, component_id, kept, text_hash) of every row of `docs`; text_hash is xxhash64 of the text."""
     own = materialize(sketches(docs, size, k), "op3-sketches")
     classes = materialize(own.where("n > 0 AND doc_id IS NOT NULL").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")).withColumn(
@@ -261,10 +261,30 @@ def component_ids(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K)
     named = classes.select("h1", "h2", "doc_id", "node").join(final, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     of_class = named.join(least, "label").select("h1", "h2", "component_id")
-    joined = own.select("doc_id", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
+    joined = own.select("doc_id", "text_hash", "n", "h1", "h2").join(of_class, ["h1", "h2"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"),
-                         component.eqNullSafe(F.col("doc_id")).alias("kept"))
+                         component.eqNullSafe(F.col("doc_id")).alias("kept"), "text_hash")
+
+
+def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """`docs` with one document of each component: its smallest id. Repeated rows are one document and leave one row."""
+    found = materialize(component_ids(docs, size, percent), "op3-found")
+    key = [docs["doc_id"].cast("long").alias("doc_id_"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("th_")]
+    rest = without(docs.select("*", *key), found.where("NOT kept"))
+    twice = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    if not twice.isEmpty():
+        several = twice.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
+        same = F.col("doc_id_").eqNullSafe(F.col("d")) & (F.col("th_") == F.col("t"))
+        rest = rest.join(several, same, "left_anti").unionByName(rest.join(several, same, "left_semi").dropDuplicates(["doc_id_", "th_"]))
+    return rest.select(*docs.columns)
+
+
+def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`docs` (with doc_id_, th_) without `rows` (doc_id, text_hash). Few rows are broadcast, more are shuffled."""
+    gone = rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
+    small = F.broadcast(gone) if rows.count() <= BROADCAST_IDS else gone
+    return docs.join(small, F.col("doc_id_").eqNullSafe(F.col("d")) & (F.col("th_") == F.col("t")), "left_anti")
 
 
 ORACLE = r"""

@@ -28,7 +28,7 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.component_ids(read(spark, sf_dir, "documents"), size=4, percent=80)
+    return near_dedup.component_ids(read(spark, sf_dir, "documents"), size=4, percent=80).drop("text_hash")
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
