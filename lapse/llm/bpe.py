@@ -18,7 +18,7 @@ import mmap
 import struct
 import tempfile
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.llm.common import batches_of, rows_of, texts
+from lapse.session import materialize
 
 #: Fixed value: how byte-level BPE splits a text into pieces.
 PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -33,10 +34,11 @@ PIECES = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 LONE_SPACE = regex.compile(r"(?<=\S) (?=\S)")
 #: Spaces that aren't lone.
 OTHER_SPACE = regex.compile(r"(?:\A|\s) | (?=\s|\Z)")
+_MARKS = frozenset(".,;:!?")
 #: Most words in the automaton, and so its size (some 3 MB) and the rows that the driver takes.
-LEXICON_WORDS = 50_000
+LEXICON_WORDS = 100_000
 #: Most entries of one generation of a worker's memo.
-MEMO = 150_000
+MEMO = 400_000
 #: Distinct pieces that a counting task holds before it hands them on.
 COUNTED = 200_000
 
@@ -57,47 +59,55 @@ def load_vocabulary(path: str) -> dict:
     merges = {}
     for rank, pair in enumerate(whole["model"]["merges"]):
         a, b = pair if isinstance(pair, list) else pair.split(" ")
-        merges[vocab[a] << 32 | vocab[b]] = (rank, vocab[a + b])
+        merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
     specials = {t["content"]: t["id"] for t in whole["added_tokens"]}
     spelled = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in specials.items()}
     return {"merges": merges, "single": [vocab[c] for _, c in sorted(byte_characters().items())], "bytes": spelled,
             "specials": specials}
 
 
+#: No merge.
+NEVER = 1 << 62
+
+
 def merge(piece: bytes, vocabulary: dict) -> list[int]:
     """Ids of a piece: the adjacent pair of lowest rank, leftmost first, is merged until none is left."""
-    merges, ids = vocabulary["merges"], [vocabulary["single"][b] for b in piece]
+    single, found = vocabulary["single"], vocabulary["merges"].get
+    ids = [single[b] for b in piece]
     if len(ids) > 64:
-        return _merge_long(ids, merges)
-    while len(ids) > 1:
-        best = None
-        for i in range(len(ids) - 1):
-            found = merges.get(ids[i] << 32 | ids[i + 1])
-            if found is not None and (best is None or found[0] < best[0]):
-                best, at = found, i
-        if best is None:
+        return _merge_long(ids, found)
+    ranks = [found(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+    while ranks:
+        least = min(ranks)
+        if least == NEVER:
             break
-        ids[at : at + 2] = [best[1]]
+        i = ranks.index(least)
+        ids[i : i + 2] = [new] = [least & 0xFFFFFFFF]
+        del ranks[i]
+        if i < len(ranks):
+            ranks[i] = found(new << 32 | ids[i + 1], NEVER)
+        if i:
+            ranks[i - 1] = found(ids[i - 1] << 32 | new, NEVER)
     return ids
 
 
-def _merge_long(ids: list[int], merges: dict) -> list[int]:
+def _merge_long(ids: list[int], found: Callable) -> list[int]:
     """The same by a heap over a linked list: O(n log n)."""
     n = len(ids)
     left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-    heap = [(found[0], i, ids[i], ids[i + 1], found[1]) for i in range(n - 1) if (found := merges.get(ids[i] << 32 | ids[i + 1]))]
+    heap = [(least, i, ids[i], ids[i + 1]) for i in range(n - 1) if (least := found(ids[i] << 32 | ids[i + 1], NEVER)) != NEVER]
     heapq.heapify(heap)
     while heap:
-        _, i, a, b, new = heapq.heappop(heap)
+        least, i, a, b = heapq.heappop(heap)
         j = right[i]
         if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
             continue
-        ids[i], alive[j], right[i] = new, False, right[j]
+        ids[i], alive[j], right[i] = least & 0xFFFFFFFF, False, right[j]
         if right[j] >= 0:
             left[right[j]] = i
         for x, y in ((left[i], i), (i, right[i])):
-            if x >= 0 and y >= 0 and (found := merges.get(ids[x] << 32 | ids[y])):
-                heapq.heappush(heap, (found[0], x, ids[x], ids[y], found[1]))
+            if x >= 0 and y >= 0 and (least := found(ids[x] << 32 | ids[y], NEVER)) != NEVER:
+                heapq.heappush(heap, (least, x, ids[x], ids[y]))
     return [x for x, here in zip(ids, alive, strict=True) if here]
 
 
@@ -188,31 +198,49 @@ def spans(text: str) -> list[str]:
     return LONE_SPACE.split(text) if OTHER_SPACE.search(text) else text.split(" ")
 
 
+_PIECES = regex.compile(PIECES)
+
+
+def pieces(span: str) -> list[str]:
+    """Pieces of a span; a word of letters alone, or with a mark behind it, doesn't need the pattern."""
+    word = span[1:] if span[:1] == " " else span
+    if word.isalpha():
+        return [span]
+    if word[-1:] in _MARKS and word[:-1].isalpha():
+        return [span[:-1], span[-1]]
+    return _PIECES.findall(span)
+
+
 class Codec:
     """Encodes and decodes as the tokenizers library does, special tokens in a text included."""
 
     def __init__(self, vocabulary: dict, block: bytes) -> None:
         self.vocabulary, self.lexicon = vocabulary, Lexicon(block)
-        self._pieces = regex.compile(PIECES)
         self._special = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(vocabulary["specials"], key=len, reverse=True)) or r"(?!)")
         self._bytes = [vocabulary["bytes"].get(i, b"") for i in range(max(vocabulary["bytes"]) + 1)]
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
 
     def _span(self, span: str) -> bytes:
-        """Ids of a span as little-endian 32-bit integers; memo of two generations of bounded size."""
+        """Ids of a span as little-endian 32-bit integers."""
         if (got := self._old.get(span)) is None:
-            ids: list[int] = []
-            for piece in self._pieces.findall(span):
-                word = piece.encode()
-                known = self.lexicon.get(word)
-                ids += merge(word, self.vocabulary) if known is None else known
+            got = b"".join([self._new.get(p) or self._piece(p) for p in pieces(span)])
+        return self._remember(span, got)
+
+    def _piece(self, piece: str) -> bytes:
+        if (got := self._old.get(piece)) is None:
+            word = piece.encode()
+            ids = self.lexicon.get(word) or merge(word, self.vocabulary)
             got = struct.pack(f"<{len(ids)}I", *ids)
-        if len(span) <= 200:
+        return self._remember(piece, got)
+
+    def _remember(self, text: str, ids: bytes) -> bytes:
+        """Memo of two generations of bounded size."""
+        if len(text) <= 100:
             if len(self._new) >= MEMO:
                 self._old, self._new = self._new, {}
-            self._new[span] = got
-        return got
+            self._new[text] = ids
+        return ids
 
     def _plain(self, text: str) -> bytes:
         parts = spans(text)
@@ -237,25 +265,24 @@ def piece_counts(docs: DataFrame) -> DataFrame:
     """(piece, n) over whole texts. A task counts spans first, then the pieces of its distinct spans."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern = regex.compile(PIECES)
-
-        def pieces(held: Counter) -> Iterator[tuple]:
+        def all_pieces(heads: Counter, others: Counter) -> Iterator[tuple]:
             found: Counter = Counter()
-            for span, n in held.items():
-                for piece in pattern.findall(span):
-                    found[piece] += n
+            for held, before in ((heads, ""), (others, " ")):
+                for span, n in held.items():
+                    for piece in pieces(before + span):
+                        found[piece] += n
+                held.clear()
             yield from found.items()
 
         def rows() -> Iterator[tuple]:
-            held: Counter = Counter()
+            heads, others = Counter(), Counter()
             for (text,) in rows_of(batches, "text"):
                 parts = spans(text)
-                held[parts[0]] += 1
-                held.update(" " + x for x in parts[1:])
-                if len(held) >= COUNTED:
-                    yield from pieces(held)
-                    held.clear()
-            yield from pieces(held)
+                heads[parts[0]] += 1
+                others.update(parts[1:])
+                if len(heads) + len(others) >= COUNTED:
+                    yield from all_pieces(heads, others)
+            yield from all_pieces(heads, others)
 
         yield from batches_of(rows(), pa.schema([("piece", pa.string()), ("n", pa.int64())]), 20_000)
 
@@ -263,10 +290,23 @@ def piece_counts(docs: DataFrame) -> DataFrame:
     return counted.where("piece != ''").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
+def frequent(counts: DataFrame, n: int) -> list[bytes]:
+    """At most `n` most frequent pieces: all of at least the least count that no more than `n` reach. Counts are
+    bucketed to 64 a doubling, so that the driver takes some thousands of rows, then `n`, and no task sorts them."""
+    bucket = F.floor(F.log2("n") * 64).cast("int")
+    total, cut = 0, None
+    for r in sorted(counts.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("pieces")).collect(), reverse=True):
+        total += r["pieces"]
+        if total > n:
+            break
+        cut = r["bucket"]
+    return [] if cut is None else [r["piece"].encode() for r in counts.where(bucket >= cut).select("piece").collect()]
+
+
 def build_lexicon(docs: DataFrame, vocabulary: dict, n: int = LEXICON_WORDS) -> bytes:
-    """The `n` most frequent pieces, compiled. The driver takes `n` rows, whatever the input."""
-    top = piece_counts(docs).orderBy(F.desc("n"), "piece").limit(n).select("piece").collect()
-    return compile_lexicon((w, merge(w, vocabulary)) for w in sorted(r["piece"].encode() for r in top))
+    """The `n` most frequent pieces at most, compiled."""
+    counts = materialize(piece_counts(docs), "op10-pieces")
+    return compile_lexicon((w, merge(w, vocabulary)) for w in sorted(frequent(counts, n)))
 
 
 _CODECS: dict[str, Codec] = {}

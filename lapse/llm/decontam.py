@@ -140,10 +140,18 @@ def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
     bench = items.select("item_id", F.col("ws").alias("iw")).distinct()
     runs = aligned.groupBy("key", "item_id", "shift").agg(F.collect_set(F.struct("item_place", "length")).alias("at"))
     placed = runs.join(words, "key").join(bench, "item_id")
-    # Each place of the item that a matched window covers, once.
-    places = F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["item_place"], x["item_place"] + x["length"] - 1))))
-    pairs = placed.select("key", "item_id", "shift", F.transform(places, lambda p: F.struct(
-        F.get("iw", p - 1).alias("theirs"), F.get("dw", p + F.col("shift") - 1).alias("ours"))).alias("pairs"))
+    # Places of the item whose canonical word stands at the aligned place of the document, in unbroken stretches that
+    # hold a shared window; a window of few literal words is no match by itself, but its slots count.
+    theirs, ours = (lambda p: F.get("iw", p - 1)), (lambda p: F.get("dw", p + F.col("shift") - 1))
+    same = lambda p: F.coalesce((p + F.col("shift") >= 1) & (canonical(theirs(p)) == canonical(ours(p))), F.lit(False))
+    stretched = (
+        placed.withColumn("windowed", F.array_distinct(F.flatten(F.transform("at", lambda x: F.sequence(x["item_place"], x["item_place"] + x["length"] - 1)))))
+        .withColumn("places", F.filter(F.sequence(F.lit(1), F.size("iw")), same))
+        .withColumn("stretches", F.transform("places", lambda p, i: F.struct(p.alias("p"), (p - i).alias("of"))))
+        .withColumn("held", F.array_distinct(F.transform(F.filter("stretches", lambda x: F.array_contains("windowed", x["p"])), lambda x: x["of"])))
+        .withColumn("used", F.transform(F.filter("stretches", lambda x: F.array_contains("held", x["of"])), lambda x: x["p"])))
+    pairs = stretched.select("key", "item_id", "shift", F.transform("used", lambda p: F.struct(
+        theirs(p).alias("theirs"), ours(p).alias("ours"))).alias("pairs"))
     slots = pairs.select("key", "item_id", "shift", F.explode(F.filter("pairs", lambda x: canonical(x["theirs"]).startswith("\x02"))).alias("x"))
     return slots.groupBy("key", "item_id", "shift", "x.theirs").agg(F.min("x.ours").alias("a"), F.max("x.ours").alias("b")).where(
         "a <> b").select("key", "item_id", "shift").distinct()
