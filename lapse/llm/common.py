@@ -21,6 +21,13 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(docs["doc_id"], F.coalesce(docs["text"], F.lit("")).alias("text"))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(whole, doc_id, th): each row whole as one column beside its id and its text's hash, so that no column of `docs`
+    can clash with those that an operator joins to it. `whole.*` unpacks it."""
+    return docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), docs["doc_id"].cast("long").alias("doc_id"),
+                       F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("th"))
+
+
 def words(text: Column) -> Column:
     """Words of a non-null text: maximal runs without white space."""
     return F.array_remove(F.split(text, SPACE + "+"), "")

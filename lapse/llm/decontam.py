@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import texts
+from lapse.llm.common import packed, texts
 from lapse.session import materialize
 
 #: Words in a window; a shorter item is one window of its own.
@@ -126,7 +126,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, **rules: float) -> DataFrame:
     """`docs` without the contaminated ones. Few keys are broadcast, more are shuffled."""
     gone = materialize(item_hits(docs, benchmark, **rules).where("hit").select(F.col("key").alias("key_")).distinct(), "op6-hits")
     small = F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone
-    return docs.join(small, _key(docs["doc_id"], F.coalesce(docs["text"], F.lit(""))) == F.col("key_"), "left_anti").select(*(docs[c] for c in docs.columns))
+    own = packed(docs).withColumn("key", _key(F.col("whole.doc_id"), F.coalesce("whole.text", F.lit(""))))
+    return own.join(small, F.col("key") == F.col("key_"), "left_anti").select("whole.*")
 
 
 def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:

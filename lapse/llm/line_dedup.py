@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lapse.llm.common import SPACE, batches_of, rows_of, texts
+from lapse.llm.common import SPACE, batches_of, packed, rows_of, texts
 from lapse.operators.ordered import global_rank
 from lapse.session import materialize
 
@@ -143,16 +143,17 @@ def stretches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 
 
 def with_deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """`docs` with a last column `deleted_`: array<struct(start, end)> of deleted lines of the text."""
+    """(whole, deleted, lines): each row of `docs` as one column, the stretches (start, end) of lines that it loses,
+    and its lines."""
     deleted = materialize(stretches(docs, min_words), "op1-stretches")
     n = deleted.count()
-    by_doc = deleted.groupBy(F.col("doc_id").alias("doc_id_"), F.col("th").alias("th_")).agg(
-        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("deleted_"))
+    by_doc = deleted.groupBy(F.col("doc_id").alias("d"), F.col("th").alias("t")).agg(
+        F.array_sort(F.collect_list(F.struct("start", "end"))).alias("deleted"))
     small = F.broadcast(by_doc) if n <= BROADCAST_STRETCHES else by_doc
-    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = docs.join(small, docs["doc_id"].cast("long").eqNullSafe(F.col("doc_id_")) & (th == F.col("th_")), "left")
-    return joined.select(*(docs[c] for c in docs.columns), F.coalesce("deleted_", none).alias("deleted_"))
+    joined = packed(docs).join(small, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left")
+    return joined.select("whole", F.coalesce("deleted", none).alias("deleted")).withColumn(
+        "lines", F.split(F.coalesce("whole.text", F.lit("")), "\n"))
 
 
 def kept_text(lines: Column, deleted: Column) -> Column:
@@ -165,22 +166,24 @@ def kept_text(lines: Column, deleted: Column) -> Column:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` with the later copies of repeated runs deleted from `text`; rows that lose nothing stay as they are, and
     n_chars, if there, follows."""
-    own = with_deletions(docs, min_words).withColumn("lines_", F.split(F.coalesce("text", F.lit("")), "\n"))
-    text = F.when(F.size("deleted_") > 0, kept_text(F.col("lines_"), F.col("deleted_"))).otherwise(F.col("text"))
-    changed = own.withColumn("text", text)
+    loses = F.size("deleted") > 0
+    text = F.when(loses, kept_text(F.col("lines"), F.col("deleted"))).otherwise(F.col("whole.text"))
+    own = with_deletions(docs, min_words).withColumn("kept", text)
+    new = {"text": F.col("kept")}
     if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.when(F.size("deleted_") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return changed.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(loses, F.length("kept").cast(kind)).otherwise(F.col("whole.n_chars"))
+    return own.select(*(new.get(c, F.col(f"whole.`{c}`")).alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, n_lines, n_deleted, deleted, kept_sha256): deleted stretches as start:end, and the text that is left."""
-    own = with_deletions(texts(docs), min_words).withColumn("lines", F.split("text", "\n"))
-    gone = F.aggregate("deleted_", F.lit(0), lambda n, x: n + x["end"] - x["start"])
-    return own.select(
-        "doc_id", F.size("lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"),
-        F.array_join(F.transform("deleted_", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("deleted"),
-        F.sha2(F.when(F.size("deleted_") > 0, kept_text(F.col("lines"), F.col("deleted_"))).otherwise(F.col("text")), 256).alias("kept_sha256"))
+    own = with_deletions(texts(docs), min_words)
+    gone = F.aggregate("deleted", F.lit(0), lambda n, x: n + x["end"] - x["start"])
+    kept = F.when(F.size("deleted") > 0, kept_text(F.col("lines"), F.col("deleted"))).otherwise(F.col("whole.text"))
+    spans = F.transform("deleted", lambda x: F.concat_ws(":", x["start"].cast("string"), x["end"].cast("string")))
+    return own.select("whole.doc_id", F.size("lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_deleted"),
+                      F.array_join(spans, ",").alias("deleted"), F.sha2(kept, 256).alias("kept_sha256"))
 
 
 ORACLE = rf"""

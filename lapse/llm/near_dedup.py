@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.llm.common import batches_of, rows_of, texts
+from lapse.llm.common import batches_of, packed, rows_of, texts
 from lapse.llm.graph import components
 from lapse.session import materialize
 
@@ -270,21 +270,20 @@ def component_ids(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K)
 def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """`docs` with one document of each component: its smallest id. Repeated rows are one document and leave one row."""
     found = materialize(component_ids(docs, size, percent), "op3-found")
-    key = [docs["doc_id"].cast("long").alias("doc_id_"), F.xxhash64(F.coalesce(docs["text"], F.lit(""))).alias("th_")]
-    rest = without(docs.select("*", *key), found.where("NOT kept"))
+    rest = without(packed(docs), found.where("NOT kept"))
     twice = found.where("kept").groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
     if not twice.isEmpty():
         several = twice.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"))
-        same = F.col("doc_id_").eqNullSafe(F.col("d")) & (F.col("th_") == F.col("t"))
-        rest = rest.join(several, same, "left_anti").unionByName(rest.join(several, same, "left_semi").dropDuplicates(["doc_id_", "th_"]))
-    return rest.select(*docs.columns)
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t"))
+        rest = rest.join(several, same, "left_anti").unionByName(rest.join(several, same, "left_semi").dropDuplicates(["doc_id", "th"]))
+    return rest.select("whole.*")
 
 
 def without(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """`docs` (with doc_id_, th_) without `rows` (doc_id, text_hash). Few rows are broadcast, more are shuffled."""
+    """Packed `docs` without `rows` (doc_id, text_hash). Few rows are broadcast, more are shuffled."""
     gone = rows.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).distinct()
     small = F.broadcast(gone) if rows.count() <= BROADCAST_IDS else gone
-    return docs.join(small, F.col("doc_id_").eqNullSafe(F.col("d")) & (F.col("th_") == F.col("t")), "left_anti")
+    return docs.join(small, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("th") == F.col("t")), "left_anti")
 
 
 ORACLE = r"""

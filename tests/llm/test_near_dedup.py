@@ -62,7 +62,7 @@ def test_groups_passages_and_chains(spark, monkeypatch):
     monkeypatch.setattr(N, "SHORT", 4)
     monkeypatch.setattr(N, "BLOCK", 16)
     base, part = soup(1, 150), soup(2, 60)
-    rows = [(k, base) for k in range(5)]
+    rows = [(1 + k, base) for k in range(5)]
     rows += [(100 + k, changed(base, k, random.Random(k).randint(1, 12))) for k in range(60)]
     rows += [(300 + k, changed(changed(base, k, 9), 1000 + k, 2)) for k in range(20)]
     rows += [(400 + k, f"{soup(400 + k, 25)} {part} {soup(500 + k, 20)}") for k in range(40)]
@@ -75,7 +75,7 @@ def test_groups_passages_and_chains(spark, monkeypatch):
 
 def test_large_sketch_and_set_paths_agree(spark):
     base = soup(1, 400)
-    rows = [(k, changed(base, k, k % 16)) for k in range(30)] + [(50 + k, soup(60 + k, 300)) for k in range(10)]
+    rows = [(1 + k, changed(base, k, k % 16)) for k in range(30)] + [(50 + k, soup(60 + k, 300)) for k in range(10)]
     check(spark, rows, size=5, k=32)
 
 
