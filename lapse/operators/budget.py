@@ -6,21 +6,17 @@ churn_probability for every (save rate, months, cost), so ONE ranking serves
 every scenario of a grid: the grid is answered from prefix sums of that
 ranking instead of re-sorting the table per scenario.
 
-Top-n selection uses TakeOrderedAndProject only when the rows it gathers
-into one task (n from every input partition) are bounded
-(`ordered.gather_fits`); otherwise the distributed global rank is used.
+Top-n selection is `ordered.top_n`: one plan at every n and table size.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.config import (DEFAULT_BUDGET, DEFAULT_INTERVENTION_COST, DEFAULT_LIFETIME_MONTHS, DEFAULT_SAVE_RATE,
                           ID_COL, IMPACT_MAX_BUDGET, IMPACT_STEP)
-from lapse.operators.ordered import gather_fits, global_rank
+from lapse.operators.ordered import global_rank, top_n
 
 
 
@@ -49,16 +45,12 @@ def top_n_by_roi(roi: DataFrame, n: int) -> DataFrame:
     """The n best rows by ROI with roi_rank 1..n."""
     if n <= 0:
         return roi.limit(0).withColumn("roi_rank", F.lit(0))
-    if gather_fits(roi, n):
-        top = roi.orderBy(*_roi_order()).limit(n)
-        # at most n rows: the window runs over a bounded table
-        return top.withColumn("roi_rank", F.row_number().over(Window.orderBy(*_roi_order())))
-    return (global_rank(roi, _roi_order(), "roi_rank").where(F.col("roi_rank") <= n)
-            .withColumn("roi_rank", F.col("roi_rank").cast("int")))
+    # at most n rows: the window runs over a bounded table
+    return top_n(roi, _roi_order(), n, ID_COL).withColumn("roi_rank", F.row_number().over(Window.orderBy(*_roi_order())))
 
 
 def _max_targets(budget: float, cost: float) -> int:
-    return int(math.floor(budget / cost)) if cost > 0 else 0
+    return int(budget // cost) if cost > 0 else 0
 
 
 def allocate_budget(scored: DataFrame, budget: float = DEFAULT_BUDGET,
@@ -193,7 +185,3 @@ def business_summary(scored: DataFrame, top_segment: str = "Save Immediately") -
         F.sum("revenue_at_risk").alias("monthly_revenue_at_risk"),
         F.sum(F.when(top, F.col("revenue_at_risk")).otherwise(0.0)).alias("top_segment_revenue_at_risk"),
     ).withColumn("top_segment_share", F.col("top_segment_revenue_at_risk") / F.col("monthly_revenue_at_risk"))
-
-
-def spark_grid(spark: SparkSession, values: list[float], name: str) -> DataFrame:
-    return spark.createDataFrame([(float(v),) for v in values], f"{name} double")

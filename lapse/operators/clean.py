@@ -11,9 +11,14 @@ from lapse.config import OUTLIER_IQR_MULTIPLIER, TARGET_COL
 from lapse.functions.columns import strip_ws
 
 
+#: A decimal number: what else a cast would take ('NaN', '5d', 'Infinity') counts as missing.
+NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def coerce_total_charges(df: DataFrame) -> DataFrame:
-    """Text -> double; blanks and malformed values become NULL (try_cast never throws under ANSI)."""
-    return df.withColumn("TotalCharges", F.expr("try_cast(trim(TotalCharges) as double)"))
+    """Text -> double; whatever isn't a decimal number becomes NULL (try_cast never throws under ANSI)."""
+    text = F.trim(F.col("TotalCharges").cast("string"))
+    return df.withColumn("TotalCharges", F.when(text.rlike(NUMBER), text.try_cast("double")))
 
 
 def impute_total_charges(df: DataFrame) -> DataFrame:

@@ -50,7 +50,10 @@ def charges_histogram(df: DataFrame, nbins: int = 40, col: str = "MonthlyCharges
     mm = df.select(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi"))).scalar()
     lo, hi = mm["lo"], mm["hi"]
     width = (hi - lo) / float(nbins)
-    binned = df.select(F.least(F.floor((F.col(col) - lo) / width).cast("int"), F.lit(nbins - 1)).alias("bin"),
+    # one value alone has no width: all in bin 0
+    place = F.when(width > 0, F.least(F.floor((F.col(col) - lo) / F.nullif(width, F.lit(0.0))).cast("int"), F.lit(nbins - 1))) \
+        .otherwise(F.when(F.col(col).isNotNull(), 0))
+    binned = df.select(place.alias("bin"),
                        _status().alias("status"))
     return (binned.groupBy("bin", "status").agg(F.count(F.lit(1)).alias("customers"))
             .select("bin", "status", "customers", (lo + F.col("bin") * width).alias("bin_start"),

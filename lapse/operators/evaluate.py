@@ -88,13 +88,15 @@ def auc(scores: DataFrame) -> DataFrame:
     """
     g = score_groups(scores).withColumn("cnt", F.col("pos") + F.col("neg"))
     cum = running_sums(g, [F.col("model"), F.col("p")], ["cnt"], prefix="cum_", group_cols=["model"])
+    # products of counts pass a bigint from some billions of rows on
+    wide = lambda c: c.cast("decimal(19,0)")
     twice = cum.groupBy("model").agg(
-        F.sum(F.col("pos") * (2 * (F.col("cum_cnt") - F.col("cnt")) + F.col("cnt") + 1)).alias("S2"),
+        F.sum(wide(F.col("pos")) * wide(2 * (F.col("cum_cnt") - F.col("cnt")) + F.col("cnt") + 1)).alias("S2"),
         F.sum("pos").cast("long").alias("n_pos"), F.sum("neg").cast("long").alias("n_neg"))
     return twice.select(
         "model",
         F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0),
-               (F.col("S2") - F.col("n_pos") * (F.col("n_pos") + 1)).cast("double")
+               (F.col("S2") - wide(F.col("n_pos")) * wide(F.col("n_pos") + 1)).cast("double")
                / (F.lit(2.0) * F.col("n_pos").cast("double") * F.col("n_neg").cast("double"))).alias("auc"),
         "n_pos", "n_neg")
 

@@ -4,13 +4,14 @@
   (the training mean of z is 0), computed with column expressions.
 * Tree ensembles (GBT margin): exact path-dependent TreeSHAP (Lundberg et al.,
   2018). The fitted trees are read back from the saved model's Parquet node
-  table (size bounded by trees x nodes, not by data) and shipped to the tasks;
-  rows are explained in `mapInPandas` over Arrow batches and the mean |phi| is
-  a Spark aggregation.
+  table (size bounded by trees x nodes, not by data) and broadcast as leaves;
+  each Arrow batch is explained as one matrix, in the partitions the rows come
+  in, and the mean |phi| is a Spark aggregation over the whole table.
 """
 
 from __future__ import annotations
 
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -57,60 +58,56 @@ class Tree:
         return float((self.value[leaves] * self.cover[leaves]).sum() / self.cover[0])
 
 
-def _extend(path, pz, po, pi):
-    # path: list of [d, z, o, w]; returns a new, one longer path (weights of subset sizes)
-    ln = len(path)
-    m = [list(e) for e in path] + [[pi, pz, po, 1.0 if ln == 0 else 0.0]]
-    for i in range(ln - 1, -1, -1):
-        m[i + 1][3] += po * m[i][3] * (i + 1) / (ln + 1)
-        m[i][3] = pz * m[i][3] * (ln - i) / (ln + 1)
-    return m
-
-
-def _unwind(path, i):
-    # remove element i, undoing its extension; returns a new path one shorter
-    ln = len(path) - 1
-    n = path[ln][3]
-    m = [list(e) for e in path[:ln]]
-    o, z = path[i][2], path[i][1]
-    for j in range(ln - 1, -1, -1):
-        if o != 0:
-            t = m[j][3]
-            m[j][3] = n * (ln + 1) / ((j + 1) * o)
-            n = t - m[j][3] * z * (ln - j) / (ln + 1)
-        else:
-            m[j][3] = m[j][3] * (ln + 1) / (z * (ln - j))
-    for j in range(i, ln):
-        m[j][0], m[j][1], m[j][2] = path[j + 1][0], path[j + 1][1], path[j + 1][2]
-    return m
-
-
-def _unwound_sum(path, i):
-    return sum(e[3] for e in _unwind(path, i))
-
-
-def tree_shap(tree: Tree, x: np.ndarray, phi: np.ndarray, scale: float = 1.0) -> None:
-    """Add scale * (path-dependent SHAP values of `tree` at x) into phi."""
-
-    def recurse(j, path, pz, po, pi):
-        path = _extend(path, pz, po, pi)
+class Leaf:
+    """A leaf as the interval that its path leaves to each feature on it, and the leaf's SHAP values for every subset
+    of those features whose interval a row meets (path-dependent: a feature left out passes with the share of cover)."""
+
+    def __init__(self, features: list[int], low: list[float], high: list[float], share: list[float], value: float) -> None:
+        m = len(features)
+        self.features, self.low, self.high = np.array(features), np.array(low), np.array(high)
+        self.bits = 1 << np.arange(m)
+        # phi[met, i] = value * (o_i - z_i) * sum over sizes s of coalitions without i: s! (m-1-s)! / m! * c_s, where
+        # c_s is the coefficient of t^s in the product of (z_j + o_j t) over the other features
+        weight = [math.factorial(s) * math.factorial(m - 1 - s) / math.factorial(m) for s in range(m)]
+        self.phi = np.zeros((1 << m, m))
+        for met in range(1 << m):
+            o = [met >> j & 1 for j in range(m)]
+            for i in range(m):
+                c = np.ones(1)
+                for j in range(m):
+                    if j != i:
+                        c = np.convolve(c, [share[j], o[j]])
+                self.phi[met, i] = value * (o[i] - share[i]) * float(np.dot(c, weight))
+
+
+def leaves(tree: Tree) -> list[Leaf]:
+    """The leaves of a tree with a split; the order of splits on a path does not matter for SHAP, their product does."""
+    out: list[Leaf] = []
+    todo = [(0, {})]
+    while todo:
+        j, path = todo.pop()
         if tree.left[j] < 0:
-            for i in range(1, len(path)):
-                w = _unwound_sum(path, i)
-                phi[path[i][0]] += scale * w * (path[i][2] - path[i][1]) * tree.value[j]
-            return
-        d = tree.feature[j]
-        hot, cold = ((tree.left[j], tree.right[j]) if x[d] <= tree.threshold[j] else (tree.right[j], tree.left[j]))
-        iz = io = 1.0
-        k = next((idx for idx in range(1, len(path)) if path[idx][0] == d), None)
-        if k is not None:
-            iz, io = path[k][1], path[k][2]
-            path = _unwind(path, k)
-        rj = tree.cover[j]
-        recurse(hot, path, iz * tree.cover[hot] / rj, io, d)
-        recurse(cold, path, iz * tree.cover[cold] / rj, 0.0, d)
-
-    recurse(0, [], 1.0, 1.0, -1)
+            if path:
+                f = sorted(path)
+                out.append(Leaf(f, [path[d][0] for d in f], [path[d][1] for d in f], [path[d][2] for d in f], float(tree.value[j])))
+            continue
+        d, t = int(tree.feature[j]), float(tree.threshold[j])
+        low, high, share = path.get(d, (-np.inf, np.inf, 1.0))
+        for child, interval in ((tree.left[j], (low, min(high, t))), (tree.right[j], (max(low, t), high))):
+            todo.append((int(child), {**path, d: (*interval, share * float(tree.cover[child] / tree.cover[j]))}))
+    return out
+
+
+def shap_matrix(forest: list[tuple[float, list[Leaf]]], xs: np.ndarray) -> np.ndarray:
+    """SHAP values (rows x features) of a weighted ensemble: each leaf looks its values up by which of its intervals
+    a row meets, for all rows at once."""
+    phi = np.zeros(xs.shape)
+    for weight, own in forest:
+        for leaf in own:
+            x = xs[:, leaf.features]
+            met = ((x > leaf.low) & (x <= leaf.high)) @ leaf.bits
+            phi[:, leaf.features] += weight * leaf.phi[met]
+    return phi
 
 
 def ensemble_trees(model, spark: SparkSession) -> tuple[list[Tree], list[float]]:
@@ -152,24 +149,20 @@ def tree_shap_values(rows: DataFrame, trees: list[Tree], weights: list[float], f
     n_feat = len(feature_cols)
     wide = rows.select(ID_COL, *[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(feature_cols)])
 
+    shared = rows.sparkSession.sparkContext.broadcast([(w, leaves(t)) for t, w in zip(trees, weights)])  # model-sized
+
     def explain(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             xs = pdf[[f"x{i}" for i in range(n_feat)]].to_numpy(dtype=float)
-            out = []
-            for x in xs:
-                phi = np.zeros(n_feat)
-                for t, w in zip(trees, weights):
-                    tree_shap(t, x, phi, w)
-                out.append(phi.tolist())
-            yield pd.DataFrame({ID_COL: pdf[ID_COL], "phi": out})
+            yield pd.DataFrame({ID_COL: pdf[ID_COL], "phi": list(shap_matrix(shared.value, xs))})
 
     return wide.mapInPandas(explain, f"{ID_COL} string, phi array<double>")
 
 
-def tree_shap_mean_abs(model, sample: DataFrame, feature_cols: list[str], name: str = "SHAP") -> DataFrame:
-    """mean |phi_j| per feature over `sample` for a fitted tree-ensemble stage."""
-    trees, weights = ensemble_trees(model, sample.sparkSession)
-    phi = tree_shap_values(sample, trees, weights, feature_cols)
+def tree_shap_mean_abs(model, rows: DataFrame, feature_cols: list[str], name: str = "SHAP") -> DataFrame:
+    """mean |phi_j| per feature over all `rows` for a fitted tree-ensemble stage."""
+    trees, weights = ensemble_trees(model, rows.sparkSession)
+    phi = tree_shap_values(rows, trees, weights, feature_cols)
     names = F.array(*[F.lit(c) for c in feature_cols])
     long = phi.select(F.posexplode("phi").alias("i", "v")).select(names[F.col("i")].alias("feature"), "v")
     return (long.groupBy("feature").agg(F.avg(F.abs("v")).alias("importance"))

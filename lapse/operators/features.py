@@ -45,16 +45,6 @@ def one_hot_columns(vocab: dict[str, list[str]] = ONE_HOT) -> list:
     return [F.col(src).eqNullSafe(v).cast("int").alias(f"{src}_{v}") for src, vals in vocab.items() for v in vals]
 
 
-def vocabulary_from_data(df: DataFrame, sources: list[str] | None = None) -> dict[str, list[str]]:
-    """Optional data-driven vocabulary (distinct values, sorted); small by construction."""
-    sources = sources or list(ONE_HOT)
-    out = {}
-    for s in sources:
-        vals = [r[0] for r in df.select(s).where(F.col(s).isNotNull()).distinct().orderBy(s).collect()]
-        out[s] = vals
-    return out
-
-
 def engineer(cleaned: DataFrame, high_value_cut=None, vocab: dict[str, list[str]] = ONE_HOT,
              approx: bool = False) -> DataFrame:
     """Cleaned -> feature layer.

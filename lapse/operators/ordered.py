@@ -27,10 +27,10 @@ from lapse.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
-# TakeOrderedAndProject sends the top n of EVERY input partition into one final
-# task: it is used only while n x partitions stays under this many rows.
-TOPN_GATHER_ROWS = 4_000_000
-TOPN_DIRECT = 200_000
+# Groups over which `top_n` spreads its first cut.
+TOPN_GROUPS = 64
+# Most groups of a running sum whose base rows are broadcast.
+BROADCAST_GROUPS = 10_000
 
 
 def _range_sorted(df: DataFrame, order: Sequence[Column], partitions: int | None) -> DataFrame:
@@ -76,7 +76,7 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
     range partition (no second shuffle); offsets are added JVM-side. With
     `group_cols` (which must lead `order`), sums restart in every group: the
     global running sum just before each group's first row is subtracted, taken
-    from a one-row-per-group table (AQE broadcasts it when its runtime size is small).
+    from a one-row-per-group table: counted, and broadcast if it has few rows.
     """
     if "n" in sums:
         raise ValueError("a sum column may not be named 'n' (reserved for the row-count offsets)")
@@ -86,8 +86,8 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
             F.min("_grank").alias("_gfirst"),
             *[F.min_by(F.col(f"{prefix}{c}") - F.coalesce(F.col(c), F.lit(0)), F.col("_grank")).alias(f"_gb_{c}")
               for c in sums])
-        # one row per group: AQE broadcasts it at runtime when its measured size is small
-        joined = out.join(firsts, list(group_cols))
+        few = firsts.count() <= BROADCAST_GROUPS
+        joined = out.join(F.broadcast(firsts) if few else firsts, list(group_cols))
         cols = [*df.columns, *[(F.col(f"{prefix}{c}") - F.col(f"_gb_{c}")).alias(f"{prefix}{c}") for c in sums]]
         if rank_col:
             cols.append((F.col("_grank") - F.col("_gfirst") + 1).alias(rank_col))
@@ -132,26 +132,16 @@ def running_sums(df: DataFrame, order: Sequence[Column], sums: Sequence[str], ra
     return local.join(F.broadcast(offs), "_pid").select(*cols)
 
 
-def gather_fits(df: DataFrame, n: int) -> bool:
-    """True when n rows from every input partition fit in one task."""
-    if n > TOPN_DIRECT:
-        return False
-    try:
-        # planning only (no job): the partition count of the physical input
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (e.g. a Spark Connect session): take the distributed path
-        return False
-    return n * max(1, parts) <= TOPN_GATHER_ROWS
+def top_n(df: DataFrame, order: Sequence[Column], n: int, deal_by: str) -> DataFrame:
+    """The first n rows along `order` (a total order: end it with the id); building the plan starts no job.
 
-
-def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """The first n rows along `order` (a total order: end it with the id).
-
-    Gathered by TakeOrderedAndProject when `gather_fits`, else filtered from
-    the distributed global rank (range shuffle, no single task).
+    Rows are dealt by the hash of an id into a fixed number of groups and each group keeps its first n: the group limit applies before the
+    shuffle, and no task receives more than its group's share of n rows from every input partition. Only the
+    survivors, n for each group at most, are ordered together.
     """
     if n <= 0:
         return df.limit(0)
-    if gather_fits(df, n):
-        return df.orderBy(*order).limit(n)
-    return global_rank(df, order, "_top_r").where(F.col("_top_r") <= n).drop("_top_r")
+    w = Window.partitionBy("_group").orderBy(*order)
+    dealt = df.withColumn("_group", F.pmod(F.xxhash64(deal_by), F.lit(TOPN_GROUPS)))
+    first = dealt.withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= n).drop("_place", "_group")
+    return first.orderBy(*order).limit(n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.config import ID_COL
@@ -48,9 +48,28 @@ def score(features: DataFrame, probabilities: DataFrame, threshold: float, model
     return score_frame(df, threshold, model_name, partitions, rank)
 
 
+def model_inputs(model) -> list[str]:
+    """Columns that a fitted pipeline's assembler reads."""
+    return model.stages[0].getInputCols()
+
+
+def missing_input(cols: list[str]) -> Column:
+    """Whether a row lacks a model input (NULL or NaN): it can't be scored, in batch or stream alike."""
+    lacks = lambda c: F.col(f"`{c}`").isNull() | F.isnan(F.col(f"`{c}`").cast("double"))
+    return F.array_contains(F.array(*(lacks(c) for c in cols)), True)
+
+
+def rejected(features: DataFrame, cols: list[str]) -> DataFrame:
+    """The rows that scoring leaves out, with the columns that each lacks."""
+    lacking = F.filter(F.array(*(F.when(missing_input([c]), F.lit(c)) for c in cols)), lambda x: x.isNotNull())
+    return features.where(missing_input(cols)).select(ID_COL, lacking.alias("missing"))
+
+
 def score_model(model, features: DataFrame, threshold: float, model_name: str, partitions: int | None = None,
                 rank: bool = True) -> DataFrame:
-    """features scored by a fitted pipeline: its output is row for row, so nothing is joined back."""
+    """features scored by a fitted pipeline: its output is row for row, so nothing is joined back. Rows that lack a
+    model input are left out (`rejected` lists them), so that no NaN enters ranks and sums."""
+    features = features.where(~missing_input(model_inputs(model)))
     out = churn_probability(model.transform(features)).select(*features.columns, "churn_probability")
     return score_frame(out, threshold, model_name, partitions, rank)
 

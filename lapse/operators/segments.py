@@ -38,7 +38,8 @@ def segment_summary(scored: DataFrame) -> DataFrame:
                  r(F.avg("churn_probability"), 2).alias("avg_churn_prob"),
                  r(F.sum("revenue_at_risk"), 2).alias("total_revenue_at_risk"),
                  r(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges"),
-                 r(F.median("tenure"), 2).alias("median_tenure")))
+                 r(F.median("tenure"), 2).alias("median_tenure"))
+            .orderBy("segment_priority", "segment_label"))
 
 
 def risk_value_matrix(scored: DataFrame) -> DataFrame:
@@ -53,7 +54,8 @@ def actual_churn_by_segment(scored: DataFrame) -> DataFrame:
     if "Churn" not in scored.columns:
         return scored.sparkSession.createDataFrame([], "segment_label string, actual_churn_rate double, customers long")
     return (scored.groupBy("segment_label")
-            .agg(F.avg("Churn").alias("actual_churn_rate"), F.count(ID_COL).alias("customers")))
+            .agg(F.avg("Churn").alias("actual_churn_rate"), F.count(ID_COL).alias("customers"))
+            .orderBy(F.col("actual_churn_rate").desc(), "segment_label"))
 
 
 def segment_exposure(scored: DataFrame) -> DataFrame:
@@ -61,7 +63,8 @@ def segment_exposure(scored: DataFrame) -> DataFrame:
     total = scored.select(F.sum("revenue_at_risk")).scalar()
     return (scored.groupBy("segment_label")
             .agg(F.sum("revenue_at_risk").alias("revenue_at_risk"))
-            .withColumn("share_of_exposure", F.col("revenue_at_risk") / total))
+            .withColumn("share_of_exposure", F.col("revenue_at_risk") / total)
+            .orderBy(F.col("revenue_at_risk").desc(), "segment_label"))
 
 
 def segment_kpis(scored: DataFrame) -> DataFrame:
@@ -77,14 +80,14 @@ def top_customers(scored: DataFrame, n: int, segment: str | None = None, per_seg
                   order: list[Column] | None = None) -> DataFrame:
     """Top-n by revenue at risk (customerID tie-break): overall, within one segment, or per segment.
 
-    Overall: `ordered.top_n` (gathered only while n x partitions is bounded). Per segment:
+    Overall: `ordered.top_n`. Per segment:
     `row_number() <= n` is planned with a partial WindowGroupLimit before the
     shuffle, so a hot segment sends at most n rows per map task.
     """
     order = order or [F.col("revenue_at_risk").desc(), F.col(ID_COL).asc()]
     df = scored if segment is None else scored.where(F.col("segment_label") == segment)
     if not per_segment:
-        return top_n(df, order, n)
+        return top_n(df, order, n, ID_COL)
     w = Window.partitionBy("segment_label").orderBy(*order)
     return df.withColumn("segment_rank", F.row_number().over(w)).where(F.col("segment_rank") <= n)
 

@@ -14,6 +14,7 @@ from lapse.config import HIGH_VALUE_PERCENTILE, ID_COL, PROTECTIVE_SHOWN, RISK_F
 from lapse.operators import clean as C
 from lapse.operators import features as FE
 from lapse.operators.clean import quantiles
+from lapse.operators.scoring import missing_input
 from lapse.operators.segments import segment_dim
 
 
@@ -55,7 +56,7 @@ def prepare_arrivals(raw: DataFrame, high_value_cut: float, feature_cols: list[s
         raw = raw.transform(C.binary_target)
     cleaned = (raw.transform(C.coerce_total_charges).transform(C.impute_total_charges)
                   .transform(C.senior_int).transform(C.strip_strings)
-                  .withColumn("tenure", F.greatest(F.col("tenure"), F.lit(0))))
+                  .withColumn("tenure", F.when(F.col("tenure") < 0, 0).otherwise(F.col("tenure"))))
     feats = FE.engineer(cleaned, high_value_cut=F.lit(float(high_value_cut)))
     present = set(feats.columns)
     missing = [F.lit(0).alias(c) for c in feature_cols if c not in present]
@@ -70,7 +71,9 @@ def score_arrivals(raw: DataFrame, model, threshold: float, high_value_cut: floa
     (assembler first). The segment lookup is a broadcast join to a 4-row table.
     """
     from pyspark.ml.functions import vector_to_array
-    feats = prepare_arrivals(raw, high_value_cut, feature_cols)
+    # As in the batch path, rows that lack a model input are left out. Every model column follows from these raw ones
+    # (TotalCharges is imputed, categories become flags), so the test stays a filter on the scan.
+    feats = prepare_arrivals(raw.where(~missing_input(["tenure", "MonthlyCharges", "SeniorCitizen"])), high_value_cut, feature_cols)
     out = model.transform(feats)
     p = vector_to_array(F.col("probability"))[1]
     scored = out.select(

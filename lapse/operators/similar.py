@@ -95,9 +95,12 @@ def similar_customers(scored: DataFrame, k: int = 8, low: float = 0.85, high: fl
                .select("seg", "c", F.col(ID_COL).alias("similar_id"), F.col("nc").alias(charge_col), "revenue_at_risk",
                        *extra_cols))
 
-    # 4. every customer takes its window's list, minus itself
-    q = rows.select(ID_COL, "seg", "c")
-    pairs = q.join(answers, ["seg", "c"]).where(F.col("similar_id") != F.col(ID_COL))
-    wq = Window.partitionBy(ID_COL).orderBy(F.col("revenue_at_risk").desc(), F.col("similar_id").asc())
-    out = pairs.withColumn("similar_rank", F.row_number().over(wq)).where(F.col("similar_rank") <= k)
-    return out.select(ID_COL, "similar_id", "similar_rank", *extra_cols, charge_col, "revenue_at_risk")
+    # 4. every customer takes its window's list, one ordered array of k+1 at most, and leaves itself out: one row a
+    #    customer is joined, and nothing is shuffled by customer
+    entry = F.struct((-F.col("revenue_at_risk")).alias("order"), "similar_id", *extra_cols, charge_col, "revenue_at_risk")
+    listed = answers.groupBy("seg", "c").agg(F.array_sort(F.collect_list(entry)).alias("found"))
+    q = rows.select(F.col(ID_COL).alias("me"), "seg", "c").join(listed, ["seg", "c"])
+    others = q.select("me", F.slice(F.filter("found", lambda x: x["similar_id"] != F.col("me")), 1, k).alias("others"))
+    out = others.select("me", F.posexplode("others").alias("place", "x"))
+    return out.select(F.col("me").alias(ID_COL), "x.similar_id", (F.col("place") + 1).alias("similar_rank"),
+                      *(F.col(f"x.{c}").alias(c) for c in (*extra_cols, charge_col, "revenue_at_risk")))

@@ -54,20 +54,15 @@ def cv_folds(split: DataFrame, k: int = CV_FOLDS) -> DataFrame:
 
 def class_weights(train: DataFrame, label: str = TARGET_COL) -> DataFrame:
     """Balanced weights n / (2 n_c) per class, plus round(neg/pos, 2) for boosted trees."""
+    # one pass over the rows; the totals come from the two-row result
     counts = train.groupBy(label).agg(F.count(F.lit(1)).alias("n_c"))
-    total = train.select(F.count(F.lit(1))).scalar()
-    neg = train.select(F.sum((F.col(label) == 0).cast("long"))).scalar()
-    pos = train.select(F.sum((F.col(label) == 1).cast("long"))).scalar()
+    both = Window.partitionBy()
+    of = lambda c: F.sum(F.when(F.col(label) == c, F.col("n_c")).otherwise(0)).over(both)
+    total = F.sum("n_c").over(both)
     return counts.select(label, "n_c", (total.cast("double") / (F.lit(2.0) * F.col("n_c"))).alias("weight"),
-                         round_half_up(neg.cast("double") / pos, 2).alias("scale_pos_weight"))
-
-
-def with_weights(train: DataFrame, label: str = TARGET_COL, col: str = "weight") -> DataFrame:
-    """Attach the balanced weight (broadcast join of a one-row-per-class table)."""
-    w = class_weights(train, label).select(label, F.col("weight").alias(col))
-    return train.join(F.broadcast(w), label)
+                         round_half_up(of(0).cast("double") / F.nullif(of(1), F.lit(0)), 2).alias("scale_pos_weight"))
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int = SEED) -> DataFrame:
     """Exactly min(n, rows) rows, stable across runs: the n smallest seeded keys (a top-k)."""
-    return top_n(df, [seeded_key(seed), F.col(ID_COL)], n)
+    return top_n(df, [seeded_key(seed), F.col(ID_COL)], n, ID_COL)

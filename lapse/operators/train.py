@@ -23,6 +23,7 @@ from lapse import config as K
 from lapse.functions.columns import round_half_up
 from lapse.operators import evaluate as EV
 from lapse.operators import split as SP
+from lapse.session import materialize
 
 
 @dataclass(frozen=True)
@@ -89,42 +90,44 @@ def train_all(features: DataFrame, split: DataFrame, feature_cols: list[str], pr
     test_precision, test_recall, test_f1 (4 dp, half-up).
     """
     profile = profile or Profile.reference()
-    data = features.join(split.select(K.ID_COL, "split", "class_pos"), K.ID_COL)
-    # the fold comes from class_pos, already joined in: no second join, one cached table
-    train = weighted(data.where(F.col("split") == "train")).withColumn("fold", SP.fold_of(profile.cv_folds)).persist()
-    train_f = train
-    val = data.where(F.col("split") == "val")
-    test = data.where(F.col("split") == "test")
-    n_train = train.count()
-    pipes = build_pipelines(feature_cols, n_train, profile)
-    names = models or list(pipes)
+    # written once: each fit and each scoring reads this table, not the join behind it
+    data = materialize(features.join(split.select(K.ID_COL, "split", "class_pos"), K.ID_COL)
+                       .withColumn("fold", SP.fold_of(profile.cv_folds)), "training")
+    train = data.where(F.col("split") == "train")
+    val, test = data.where(F.col("split") == "val"), data.where(F.col("split") == "test")
+    sizes = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a fold
+    names = models or list(build_pipelines(feature_cols, 1, profile))
     # every fit is an independent Spark job: submit them concurrently from driver threads
-    tasks = [(name, k) for name in names for k in [*range(profile.cv_folds), None]]
+    folds = [*range(profile.cv_folds), None]
+    tasks = [(name, k) for name in names for k in folds]
+    # a fold's fit is a fit of its own: penalty and class weights follow from the rows it sees
+    rows = {k: weighted(train if k is None else train.where(F.col("fold") != k)).persist() for k in folds}
 
     def fit(task):
         name, k = task
-        data_k = train if k is None else train_f.where(F.col("fold") != k)
-        return task, pipes[name].fit(data_k)
+        n = sum(sizes.values()) - sizes.get(k, 0)
+        return task, build_pipelines(feature_cols, n, profile)[name].fit(rows[k])
 
     with ThreadPoolExecutor(max_workers=max(1, profile.parallelism)) as pool:
         fits = dict(pool.map(fit, tasks))
     fitted, cv_parts, val_parts, test_parts = {}, [], [], []
     for name in names:
         for k in range(profile.cv_folds):
-            cv_parts.append(long_scores(fits[(name, k)], train_f.where(F.col("fold") == k), f"{name}#{k}"))
+            cv_parts.append(long_scores(fits[(name, k)], train.where(F.col("fold") == k), f"{name}#{k}"))
         fitted[name] = fits[(name, None)]
         val_parts.append(long_scores(fitted[name], val, name))
         test_parts.append(long_scores(fitted[name], test, name))
     fold_auc = EV.auc(_union(cv_parts)).select(F.split("model", "#")[0].alias("model"), "auc")
     cv_rows = [fold_auc.groupBy("model").agg(F.avg("auc").alias("cv_auc_mean"), F.stddev_pop("auc").alias("cv_auc_std"))]
-    val_scores, test_scores = _union(val_parts), _union(test_parts).persist()
+    val_scores, test_scores = _union(val_parts), materialize(_union(test_parts), "test-scores")
     tuned = EV.tune_threshold(val_scores)
     metrics = EV.metrics_table(test_scores, tuned)
     results = (_union(cv_rows).join(tuned, "model").join(metrics.drop("threshold"), "model")
                .select("model", "cv_auc_mean", "cv_auc_std", "val_f1", "threshold",
                        F.col("roc_auc").alias("test_auc"), F.col("precision").alias("test_precision"),
                        F.col("recall").alias("test_recall"), F.col("f1").alias("test_f1")))
-    train.unpersist()
+    for frame in rows.values():
+        frame.unpersist()
     return fitted, results, test_scores
 
 
@@ -162,7 +165,7 @@ def comparison_table(results: DataFrame) -> DataFrame:
     """Holdout metrics joined with 'mean ± std' CV text."""
     cv_text = F.format_string("%.4f ± %.4f", F.col("cv_auc_mean"), F.col("cv_auc_std"))
     return results.select("model", "threshold", "test_auc", "test_precision", "test_recall", "test_f1",
-                          cv_text.alias("cv_auc"))
+                          cv_text.alias("cv_auc")).orderBy(F.col("test_auc").desc(), "model")
 
 
 def rounded_results(results: DataFrame) -> DataFrame:

@@ -65,14 +65,12 @@ def _run(spark: SparkSession, out_root: str, sf_dir: str | None, raw_path: str |
     IO.write_model_results(results, p["model_results"])
     IO.save_models(models, p["models"])
     results = IO.read_model_results(spark, p["model_results"])
-    test_scores.unpersist()
 
     if explain:
-        sample = SP.seeded_sample(features, K.SHAP_SAMPLE)
         IO.write_importance([
             T.feature_importance(models["random_forest"], feature_cols, "Random Forest"),
             T.feature_importance(models["gbt"], feature_cols, "Gradient Boosted Trees"),
-            EX.tree_shap_mean_abs(models["gbt"].stages[-1], sample, feature_cols, "SHAP"),
+            EX.tree_shap_mean_abs(models["gbt"].stages[-1], features, feature_cols, "SHAP"),
         ], p["importance"])
 
     best = results.orderBy(F.col("test_auc").desc(), "model").first()

@@ -72,6 +72,8 @@ def _strip(c: str) -> str:
     return f"regexp_replace({c}, '^\\s+|\\s+$', '', 'g')"
 
 
+#: What counts as a number in TotalCharges, as a DuckDB string.
+NUMBER = "'^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$'"
 _BAND = """case when tenure >= 0 and tenure <= 12 then '0-12 mo' when tenure > 12 and tenure <= 24 then '13-24 mo'
        when tenure > 24 and tenure <= 48 then '25-48 mo' when tenure > 48 and tenure <= 72 then '49+ mo' end"""
 _SQL_BAND = """case when tenure between 0 and 12 then '0-12 mo' when tenure between 13 and 24 then '13-24 mo'
@@ -84,7 +86,7 @@ _SVC = " + ".join(f"(case when {c} = 'Yes' then 1 else 0 end)" for c in
 def _views_cte() -> str:
     trimmed = ", ".join(f"{_strip(c)} as {c}" for c in _STRING_COLS)
     return f"""sqlview as (select {trimmed}, SeniorCitizen, tenure, MonthlyCharges,
-  coalesce(try_cast(trim(TotalCharges) as double), MonthlyCharges) as TotalCharges, {_strip('Churn')} as Churn
+  coalesce(case when regexp_matches(trim(TotalCharges), {NUMBER}) then try_cast(trim(TotalCharges) as double) end, MonthlyCharges) as TotalCharges, {_strip('Churn')} as Churn
   from customers),
 analysis as (select *, {_BAND} as tenure_band, cast({_SVC} as integer) as service_count from cleaned)"""
 
@@ -92,7 +94,7 @@ analysis as (select *, {_BAND} as tenure_band, cast({_SVC} as integer) as servic
 def _cleaned_cte() -> str:
     trimmed = ", ".join(f"{_strip(c)} as {c}" for c in _STRING_COLS)
     return f"""cl_a as (select {trimmed}, SeniorCitizen, tenure, MonthlyCharges,
-  coalesce(try_cast(trim(TotalCharges) as double), MonthlyCharges) as TotalCharges,
+  coalesce(case when regexp_matches(trim(TotalCharges), {NUMBER}) then try_cast(trim(TotalCharges) as double) end, MonthlyCharges) as TotalCharges,
   cast(case when Churn = 'Yes' then 1 else 0 end as integer) as Churn from customers),
 cl_q as (select quantile_cont(MonthlyCharges, 0.25) as q1, quantile_cont(MonthlyCharges, 0.75) as q3 from cl_a),
 cleaned as (select customerID, gender, SeniorCitizen, Partner, Dependents, tenure, PhoneService, MultipleLines,

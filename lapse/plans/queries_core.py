@@ -189,10 +189,10 @@ from lapse.operators import features as FEAT  # noqa: E402
 from lapse.sources import fixture as FX  # noqa: E402
 
 register("b01_coerce_total_charges", """
-select customerID, try_cast(trim(TotalCharges) as double) as TotalCharges from customers""")(
+select customerID, case when regexp_matches(trim(TotalCharges), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') then try_cast(trim(TotalCharges) as double) end as TotalCharges from customers""")(
     lambda spark, sf: CL.coerce_total_charges(FX.customers(spark, sf)).select("customerID", "TotalCharges"))
 register("b02_impute_total_charges", """
-select customerID, coalesce(try_cast(trim(TotalCharges) as double), MonthlyCharges) as TotalCharges from customers""")(
+select customerID, coalesce(case when regexp_matches(trim(TotalCharges), '^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$') then try_cast(trim(TotalCharges) as double) end, MonthlyCharges) as TotalCharges from customers""")(
     lambda spark, sf: CL.impute_total_charges(CL.coerce_total_charges(FX.customers(spark, sf)))
     .select("customerID", "TotalCharges"))
 register("b03_binary_target", """

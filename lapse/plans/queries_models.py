@@ -1,8 +1,7 @@
 """Registered queries that need fitted models (rows-only checks: no SQL form).
 
-Training runs once per (session, data folder) and is shared by the queries
-below; the quick profile keeps the check affordable on small data (the
-original model sizes are `Profile.reference()`).
+Training runs once per (session, data folder, profile), with the original model
+sizes, and is shared by the queries below.
 """
 
 from __future__ import annotations
@@ -18,10 +17,10 @@ from lapse.operators import features as FE
 from lapse.operators import scoring as S
 from lapse.operators import segments as SG
 from lapse.operators import serving as SV
-from lapse.operators import split as SP
 from lapse.operators import train as T
 from lapse.plans import layers as L
 from lapse.plans.registry import register
+from lapse.session import materialize
 
 _LOCK = threading.Lock()
 _MEMO: dict = {}
@@ -33,24 +32,21 @@ class Trained:
         self.split = L.split(spark, sf)
         self.feature_cols = FE.model_columns(self.features)
         self.models, results, _ = T.train_all(self.features, self.split, self.feature_cols, profile)
-        self.results = results.persist()
+        self.results = materialize(results, "model-results")
         best = self.results.orderBy(F.col("test_auc").desc(), "model").first()
         self.best_name, self.best_threshold = best["model"], float(best["threshold"])
         self.median_charge = self.features.select(F.median("MonthlyCharges")).first()[0]
 
 
 def trained(spark: SparkSession, sf: str, profile: T.Profile | None = None) -> Trained:
-    key = (spark.sparkContext.applicationId, sf)
+    profile = profile or T.Profile.reference()
+    key = (spark.sparkContext.applicationId, sf, profile)
     with _LOCK:
         if key not in _MEMO:
-            _MEMO[key] = Trained(spark, sf, profile or T.Profile.quick())
+            _MEMO[key] = Trained(spark, sf, profile)
         return _MEMO[key]
 
 
-def _sample(t: Trained) -> DataFrame:
-    return SP.seeded_sample(t.features, K.SHAP_SAMPLE)
-
-
 register("f20_train_all")(lambda spark, sf: T.rounded_results(trained(spark, sf).results))
 register("a06_model_results")(lambda spark, sf: trained(spark, sf).results)
 register("f19_comparison_table")(lambda spark, sf: T.comparison_table(trained(spark, sf).results))
@@ -71,12 +67,12 @@ register("f17_logistic_coefficients")(
 
 def _tree_shap(spark, sf) -> DataFrame:
     t = trained(spark, sf)
-    return EX.tree_shap_mean_abs(t.models["gbt"].stages[-1], _sample(t), t.feature_cols, "SHAP")
+    return EX.tree_shap_mean_abs(t.models["gbt"].stages[-1], t.features, t.feature_cols, "SHAP")
 
 
 register("f15_tree_shap")(_tree_shap)
 register("f15_linear_shap")(
-    lambda spark, sf: EX.linear_shap_mean_abs(trained(spark, sf).models["logistic"], _sample(trained(spark, sf)),
+    lambda spark, sf: EX.linear_shap_mean_abs(trained(spark, sf).models["logistic"], trained(spark, sf).features,
                                               trained(spark, sf).feature_cols))
 register("a07_importance_table")(lambda spark, sf: _native(spark, sf).unionByName(_tree_shap(spark, sf)))
 register("f18_top_shap_features")(lambda spark, sf: T.top_importance(_tree_shap(spark, sf), "SHAP"))

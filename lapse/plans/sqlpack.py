@@ -98,3 +98,8 @@ def senior_comparison(c: DataFrame) -> DataFrame:
                  rate_pct(_churned(), F.count(F.lit(1)), 2).alias("churn_rate_pct"))
             .select(F.when(F.col("SeniorCitizen") == 1, "Senior").otherwise("Non-Senior").alias("segment"),
                     "customers", "avg_monthly_charges", "churn_rate_pct"))
+
+
+def create_customers_view(c: DataFrame, name: str = "customers") -> None:
+    """Register the pack's input as a view, so that the pack's SQL text, or any other, runs by `spark.sql`."""
+    c.createOrReplaceTempView(name)

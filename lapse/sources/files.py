@@ -75,12 +75,6 @@ def read_model_results(spark: SparkSession, path: str) -> DataFrame:
         "test_precision double, test_recall double, test_f1 double").json(path)
 
 
-def thresholds(results: DataFrame, models: list[str] | None = None) -> DataFrame:
-    """(model, threshold) for the models that are present."""
-    out = results.select("model", "threshold")
-    return out if not models else out.where(F.col("model").isin(models))
-
-
 def write_importance(blocks: list[DataFrame], path: str) -> str:
     """Append the importance blocks (feature, importance, model) into one table."""
     out = blocks[0]

@@ -108,18 +108,24 @@ def test_empty_segment_reports(spark):
     assert B.budget_scenarios(s, [5000.0]).first()["n_targeted"] == 0
 
 
-def test_top_n_paths_agree(spark, monkeypatch):
-    """The gathered top-n and the distributed global-rank path pick the same rows and ranks."""
-    roi = B.compute_roi(L.scored(spark, SF_SMALL))
-    n = 37
-    direct = B.top_n_by_roi(roi, n).select("customerID", "roi_rank").toPandas()
+def test_top_n_by_roi_is_brute_force(spark):
+    """One plan for every n: rows and ranks equal a full sort, from few rows to more than there are."""
+    roi = B.compute_roi(L.scored(spark, SF_SMALL)).select("customerID", "roi_score")
+    want = sorted(((r["customerID"], r["roi_score"]) for r in roi.collect()), key=lambda x: (-x[1], x[0]))
+    for n in (1, 37, len(want), len(want) + 5):
+        got = [(r["customerID"], r["roi_rank"]) for r in B.top_n_by_roi(roi, n).orderBy("roi_rank").collect()]
+        assert got == [(i, k + 1) for k, (i, _) in enumerate(want[:n])]
+
+
+def test_top_n_plan_starts_no_job(spark):
     from lapse.operators import ordered as O
-    monkeypatch.setattr(O, "TOPN_GATHER_ROWS", 0)  # too many partitions for one task -> global rank
-    assert not O.gather_fits(roi, n)
-    ranked = B.top_n_by_roi(roi, n).select("customerID", "roi_rank").toPandas()
-    key = ["roi_rank"]
-    assert direct.sort_values(key).reset_index(drop=True).equals(ranked.sort_values(key).reset_index(drop=True))
-    assert list(direct.sort_values(key).roi_rank) == list(range(1, n + 1))
+    s = L.scored(spark, SF_SMALL)
+    sc = spark.sparkContext
+    sc.setJobGroup("plan-only", "top_n")
+    for n in (10, 5_000_000):
+        O.top_n(s, [F.col("revenue_at_risk").desc(), F.col("customerID")], n, "customerID")
+    assert not sc.statusTracker().getJobIdsForGroup("plan-only")
+    sc.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_similar_customers_window_edges(spark):
@@ -160,14 +166,21 @@ def test_similar_customers_property(spark):
     check()
 
 
-def test_top_n_general_paths_agree(spark, monkeypatch):
-    """ordered.top_n: the gathered and the global-rank path return the same rows (sample and top customers)."""
-    from lapse.operators import ordered as O
+def test_top_n_sample_and_customers_are_brute_force(spark):
     from lapse.operators import split as SP
     feats, s = L.features(spark, SF_SMALL), L.scored(spark, SF_SMALL)
-    direct = (sorted(r[0] for r in SP.seeded_sample(feats, 40).select("customerID").collect()),
-              sorted(r[0] for r in SG.top_customers(s, 12).select("customerID").collect()))
-    monkeypatch.setattr(O, "TOPN_GATHER_ROWS", 0)
-    ranked = (sorted(r[0] for r in SP.seeded_sample(feats, 40).select("customerID").collect()),
-              sorted(r[0] for r in SG.top_customers(s, 12).select("customerID").collect()))
-    assert direct == ranked and len(direct[0]) == 40 and len(direct[1]) == 12
+    keyed = sorted((r[0], r[1]) for r in feats.select(SP.seeded_key(), "customerID").collect())
+    assert sorted(r[0] for r in SP.seeded_sample(feats, 40).select("customerID").collect()) == sorted(i for _, i in keyed[:40])
+    ranked = sorted((-r["revenue_at_risk"], r["customerID"]) for r in s.select("customerID", "revenue_at_risk").collect())
+    got = [r["customerID"] for r in SG.top_customers(s, 12).select("customerID", "revenue_at_risk").collect()]
+    assert got == [i for _, i in ranked[:12]]
+
+
+def test_report_tables_are_sorted(spark):
+    s = L.scored(spark, SF_SMALL)
+    order = [r["segment_priority"] for r in SG.segment_summary(s).collect()]
+    assert order == sorted(order)
+    rates = [r["actual_churn_rate"] for r in SG.actual_churn_by_segment(s).collect()]
+    assert rates == sorted(rates, reverse=True)
+    exposure = [r["revenue_at_risk"] for r in SG.segment_exposure(s).collect()]
+    assert exposure == sorted(exposure, reverse=True)

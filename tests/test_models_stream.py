@@ -61,15 +61,11 @@ def test_importance_and_shap(trained, spark):
 
 def test_tree_shap_local_accuracy_on_gbt(trained, spark):
     """sum(phi) + E[F] equals the GBT margin for every explained row."""
-    import numpy as np
     feats, cols, models, _, _ = trained
     gbt = models["gbt"].stages[-1]
     trees, weights = EX.ensemble_trees(gbt, spark)
     rows = feats.select(*[F.col(f"`{c}`").cast("double") for c in cols]).limit(5).toPandas().to_numpy()
-    for x in rows:
-        phi = np.zeros(len(cols))
-        for t, w in zip(trees, weights):
-            EX.tree_shap(t, x, phi, w)
+    for x, phi in zip(rows, EX.shap_matrix([(w, EX.leaves(t)) for t, w in zip(trees, weights)], rows)):
         margin = sum(w * t.predict(x) for t, w in zip(trees, weights))
         base = sum(w * t.expected_value() for t, w in zip(trees, weights))
         assert abs(phi.sum() + base - margin) < 1e-9

@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 
-from lapse.operators.explain import Tree, tree_shap
+from lapse.operators.explain import Tree, leaves, shap_matrix
 
 
 def _random_tree(rng, depth, n_feat):
@@ -53,7 +53,16 @@ def test_tree_shap_matches_brute_force_and_local_accuracy():
         m = 4
         tree = _random_tree(rng, depth=int(rng.integers(1, 5)), n_feat=m)
         x = rng.normal(size=m)
-        phi = np.zeros(m)
-        tree_shap(tree, x, phi)
+        phi = shap_matrix([(1.0, leaves(tree))], x[None, :])[0]
         assert np.allclose(phi, _brute(tree, x, m), atol=1e-9)
         assert abs(phi.sum() + tree.expected_value() - tree.predict(x)) < 1e-9
+
+
+def test_shap_matrix_adds_weighted_trees_for_all_rows():
+    rng = np.random.default_rng(11)
+    trees = [_random_tree(rng, 3, 5) for _ in range(4)]
+    weights = [1.0, 0.5, 2.0, 0.1]
+    xs = rng.normal(size=(17, 5))
+    got = shap_matrix([(w, leaves(t)) for t, w in zip(trees, weights)], xs)
+    for x, phi in zip(xs, got):
+        assert np.allclose(phi, sum(w * _brute(t, x, 5) for t, w in zip(trees, weights)), atol=1e-9)
