@@ -56,7 +56,8 @@ def line_table(docs: DataFrame) -> DataFrame:
 
 def runs(lines: DataFrame, min_words: int) -> DataFrame:
     """(doc_id, th, run, pos, h1, h2, n): lines in stretches of repeated lines of `min_words` words at least."""
-    repeated = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h1", "h2")
+    # Written, so that both sides of the join are exchanges and adaptive execution can split a line that is everywhere.
+    repeated = materialize(lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("f")).where("f > 1").select("h1", "h2"), "op1-repeated")
     own = lines.join(repeated, ["h1", "h2"]).dropDuplicates([*_DOC, "pos"])
     order = Window.partitionBy(*_DOC).orderBy("pos")
     placed = own.withColumn("run", F.col("pos") - F.row_number().over(order))
@@ -132,7 +133,7 @@ def stretches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     found = materialize(windows(table, levels, min_words), "op1-windows")
     key = ["lines", "a", "b", "c", "d"]
     place = F.struct(*_DOC, "start")
-    first = found.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("f")).where("f > 1").drop("f")
+    first = materialize(found.groupBy(*key).agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("f")).where("f > 1").drop("f"), "op1-first")
     later = found.join(first, key).where(~place.eqNullSafe(F.col("first"))).select(
         *_DOC, "start", (F.col("start") + F.col("lines")).alias("end"))
     order = Window.partitionBy(*_DOC).orderBy("start", "end")
