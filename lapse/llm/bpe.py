@@ -38,7 +38,7 @@ _MARKS = frozenset(".,;:!?")
 #: Most words in the automaton, and so its size (some 3 MB) and the rows that the driver takes.
 LEXICON_WORDS = 100_000
 #: Most entries of one generation of a worker's memo.
-MEMO = 400_000
+MEMO = 250_000
 #: Distinct pieces that a counting task holds before it hands them on.
 COUNTED = 200_000
 
@@ -261,6 +261,10 @@ class Codec:
         return b"".join(map(self._bytes.__getitem__, struct.unpack(f"<{len(ids) // 4}I", ids))).decode("utf-8", "replace")
 
 
+#: A worker process's codec, by lexicon; one at a time.
+_CODECS: dict[str, Codec] = {}
+
+
 def piece_counts(docs: DataFrame) -> DataFrame:
     """(piece, n) over whole texts. A task counts spans first, then the pieces of its distinct spans."""
 
@@ -275,6 +279,7 @@ def piece_counts(docs: DataFrame) -> DataFrame:
             yield from found.items()
 
         def rows() -> Iterator[tuple]:
+            _CODECS.clear()  # a worker's codec of an earlier lexicon and its memo go before new counts are held
             heads, others = Counter(), Counter()
             for (text,) in rows_of(batches, "text"):
                 parts = spans(text)
@@ -309,9 +314,6 @@ def build_lexicon(docs: DataFrame, vocabulary: dict, n: int = LEXICON_WORDS) ->
     return compile_lexicon((w, merge(w, vocabulary)) for w in sorted(frequent(counts, n)))
 
 
-_CODECS: dict[str, Codec] = {}
-
-
 def _codec(key: str, vocabulary, block) -> Codec:
     """One codec per worker process."""
     if key not in _CODECS:
