@@ -6,10 +6,13 @@ others, scaled to the target's mass. A document's score is the mean over its
 tokens of the background's less the target's log probability loss, so that
 higher is nearer to the target.
 
-The vocabulary is the corpus's most frequent words, counted over all texts; all
-other words share one entry, so that the models have (words + 2)^2 cells at
-most however much text there is. Counts and scores read word numbers written
-once, two bytes a word.
+The vocabulary is every word of the corpus. Words are 64-bit hashes, word and
+bigram counts are tables that grow with the text: bigram counts are joined with
+both words' counts to losses, and those with each document's bigram counts.
+Tables are written before they are joined, so that a hot word's or bigram's
+partition can be split. Losses are whole billionths: sums don't depend on order.
+With `n_words`, only so many of the most frequent words are told apart and all
+others share one entry.
 
 Null or empty text: no tokens, scores 0. A document without a label belongs to
 the background; one labelled more than once is good if its worst label is.
@@ -21,21 +24,27 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lapse.llm.common import batches_of, rows_of, texts
 from lapse.session import materialize
 
-#: Words of the shared vocabulary; the rows the driver takes and the size of the broadcast are bounded by its square.
-VOCABULARY = 1_000
 #: Weight of the unigram model in a context, in tokens.
 PRIOR = 20.0
 COUNTED = 200_000
-GATHERED = 1 << 21
+#: Word hashes that a task remembers.
+REMEMBERED = 300_000
+#: Most ids of target documents that are broadcast.
+BROADCAST_IDS = 2_000_000
+#: Unit of a loss.
+UNIT = 1e-9
+START, OTHER = 0, 1
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def split(text: str) -> list[str]:
@@ -60,20 +69,25 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return texts(docs).select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def vocabulary(docs: DataFrame, n: int = VOCABULARY) -> list[str]:
+def vocabulary(docs: DataFrame, n: int) -> list[str]:
     return [r["word"] for r in word_counts(docs).orderBy(F.desc("n"), "word").limit(n).select("word").collect()]
 
 
-def encoded(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, ids): word numbers as little-endian 16-bit integers: 0 starts a text, 1 stands for other words."""
-    shared = docs.sparkSession.sparkContext.broadcast({w: i + 2 for i, w in enumerate(words)})
+class Numbers(dict):
+    """Numbers of words: of a given vocabulary (all others are OTHER), else 64-bit hashes, a bounded number of them remembered."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = shared.value
-        rows = ((i, np.array([0, *(number.get(w, 1) for w in split(text))], dtype="<u2").tobytes()) for i, text in rows_of(batches, "doc_id", "text"))
-        yield from batches_of(rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())]))
+    def __init__(self, words: dict[str, int] | None) -> None:
+        super().__init__(words or {})
+        self.hashing = words is None
 
-    return texts(docs).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, ids binary")
+    def __missing__(self, word: str) -> int:
+        if not self.hashing:
+            return OTHER
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        self[word] = found
+        return found
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
@@ -81,72 +95,78 @@ def good_documents(labels: DataFrame) -> DataFrame:
         (F.coalesce(F.min("quality") == 1, F.lit(False)) & (F.coalesce(F.max("toxic"), F.lit(0)) == 0)).alias("target"))
 
 
-def bigram_counts(ids: DataFrame, size: int) -> DataFrame:
-    """(code, target, n): code = context * size + word."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list[np.ndarray]] = {True: [], False: []}
-
-        def counted(of: bool) -> Iterator[tuple]:
-            found, n = np.unique(np.concatenate(held[of]), return_counts=True) if held[of] else ([], [])
-            held[of] = []
-            return zip(map(int, found), [of] * len(found), map(int, n), strict=True)
-
-        def rows() -> Iterator[tuple]:
-            waiting = {True: 0, False: 0}
-            for raw, of in rows_of(batches, "ids", "target"):
-                own = np.frombuffer(raw, dtype="<u2").astype(np.int32)
-                held[of].append(own[:-1] * size + own[1:])
-                waiting[of] += len(own)
-                if waiting[of] >= GATHERED:
-                    yield from counted(of)
-                    waiting[of] = 0
-            yield from counted(True)
-            yield from counted(False)
-
-        yield from batches_of(rows(), pa.schema([("code", pa.int32()), ("target", pa.bool_()), ("n", pa.int64())]), 20_000)
-
-    parts = ids.select("ids", "target").mapInArrow(count, "code int, target boolean, n long")
-    return parts.groupBy("code", "target").agg(F.sum("n").alias("n"))
-
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text); rows of one key have equal ids and texts."""
+    own = texts(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return own.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), "text")
 
-def losses(counts: np.ndarray, prior: float = PRIOR) -> np.ndarray:
-    """-log P(word | context) of a square table of counts, smoothed towards the unigram model."""
-    unigram = counts.sum(axis=0) + 1.0
-    unigram /= unigram.sum()
-    return -np.log((counts + prior * unigram) / (counts.sum(axis=1, keepdims=True) + prior))
 
-
-def models(codes: np.ndarray, of_target: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Losses of the target and of the background model, the background scaled to the target's mass."""
-    target, background = np.zeros(size * size), np.zeros(size * size)
-    target[codes[of_target]] = n[of_target]
-    background[codes[~of_target]] = n[~of_target]
-    if target.sum() and background.sum():
-        background *= target.sum() / background.sum()
-    return losses(target.reshape(size, size)).astype(np.float32), losses(background.reshape(size, size)).astype(np.float32)
-
-
-def scores(docs: DataFrame, labels: DataFrame, n_words: int = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, target_loss, background_loss, score), losses and their difference a token."""
-    words = vocabulary(docs, n_words)
-    size = len(words) + 2
-    flagged = encoded(docs, words).join(good_documents(labels), "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
-    ids = materialize(flagged, "op9-ids")
-    counts = bigram_counts(ids, size).toArrow()  # at most 2 * size^2 rows
-    columns = (counts.column(c).to_numpy(zero_copy_only=False) for c in ("code", "target", "n"))
-    shared = docs.sparkSession.sparkContext.broadcast(models(*columns, size))
+def document_bigrams(own: DataFrame, words: list[str] | None) -> DataFrame:
+    """(key, target, g, a, b, k): how often word b follows a in a row of `own`; g is a hash of both."""
+    shared = own.sparkSession.sparkContext.broadcast(None if words is None else {w: i + 2 for i, w in enumerate(words)})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        target, background = shared.value
-
-        def row(i: int | None, raw: bytes) -> tuple:
-            own = np.frombuffer(raw, dtype="<u2")
-            n = len(own) - 1
-            a, b = (float(m[own[:-1], own[1:]].sum(dtype=np.float64)) / n if n else 0.0 for m in (target, background))
-            return i, n, a, b, b - a
-
-        yield from batches_of((row(*x) for x in rows_of(batches, "doc_id", "ids")), pa.schema([
-            ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("target_loss", pa.float64()), ("background_loss", pa.float64()), ("score", pa.float64())]), 2_000)
-
-    return ids.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+        number = Numbers(shared.value)
+
+        def bigrams(text: str) -> tuple[np.ndarray, ...]:
+            own = np.array([START, *map(number.__getitem__, split(text))], dtype=np.int64)
+            a, b = own[:-1], own[1:]
+            g, at, k = np.unique((a.view(np.uint64) * _MIX + b.view(np.uint64)).view(np.int64), return_index=True, return_counts=True)
+            return g, a[at], b[at], k
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = [bigrams(x) for x in part.column("text").to_pylist()]
+                n = [len(x[0]) for x in found]
+                keys, target = (np.repeat(part.column(c).to_numpy(zero_copy_only=False), n) for c in ("key", "target"))
+                columns = [keys, target, *(np.concatenate([x[c] for x in found]) for c in range(4))]
+                whole = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
+                yield from (whole.slice(lo, 50_000) for lo in range(0, whole.num_rows, 50_000))
+
+    names = ["key", "target", "g", "a", "b", "k"]
+    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32()]
+    return own.select("key", "target", "text").mapInArrow(run, "key long, target boolean, g long, a long, b long, k int")
+
+
+def bigram_counts(pairs: DataFrame) -> DataFrame:
+    """(g, a, b, t, o): occurrences of each bigram in the target's and in other documents."""
+    of = lambda c: F.sum(F.when(c, F.col("k")).otherwise(0))
+    return pairs.groupBy("g").agg(F.min("a").alias("a"), F.min("b").alias("b"), of(F.col("target")).alias("t"), of(~F.col("target")).alias("o"))
+
+
+def bigram_losses(counts: DataFrame, n_words: int | None = None, prior: float = PRIOR) -> DataFrame:
+    """(g, lt, lb): -log P(b | a) of each bigram in both models, each smoothed towards its unigram model, in units."""
+    side = lambda w, *c: counts.select(F.col(w).alias("w"), *(F.col(x) if isinstance(x, str) else F.lit(0).cast("long") for x in c))
+    both = side("b", "t", "o", 0, 0).union(side("a", 0, 0, "t", "o")).toDF("w", "wt", "wo", "ct", "co")
+    words = materialize(both.groupBy("w").agg(*(F.sum(c).alias(c) for c in ("wt", "wo", "ct", "co"))), "op9-words")
+    t, o, distinct = words.agg(F.coalesce(F.sum("wt"), F.lit(0)), F.coalesce(F.sum("wo"), F.lit(0)), F.count_if(F.col("wt") + F.col("wo") > 0)).first()
+    size = (distinct if n_words is None else n_words) + 2
+    scale = t / o if t and o else 1.0  # of the background to the target's mass
+
+    def loss(n: str, word: str, context: str, total: float, by: float) -> Column:
+        unigram = (F.col(word) * by + 1.0) / (total * by + size)
+        return F.round(-F.log((F.col(n) * by + prior * unigram) / (F.col(context) * by + prior)) / UNIT).cast("long")
+
+    joined = (counts.join(words.select(F.col("w").alias("a"), "ct", "co"), "a")
+              .join(words.select(F.col("w").alias("b"), "wt", "wo"), "b"))
+    return joined.select("g", loss("t", "wt", "ct", t, 1.0).alias("lt"), loss("o", "wo", "co", o, scale).alias("lb"))
+
+
+def scores(docs: DataFrame, labels: DataFrame, n_words: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, target_loss, background_loss, score), losses and their difference a token."""
+    words = None if n_words is None else vocabulary(docs, n_words)
+    own = keyed(docs)
+    good = materialize(good_documents(labels).where("target"), "op9-good")
+    flagged = own.join(F.broadcast(good) if good.count() <= BROADCAST_IDS else good, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
+    counts = materialize(bigram_counts(document_bigrams(flagged, words)), "op9-bigrams")
+    losses = materialize(bigram_losses(counts, None if words is None else len(words)), "op9-losses")
+    # Scored from the texts again: document bigrams are cheaper counted twice than written.
+    found = document_bigrams(own.withColumn("target", F.lit(False)), words).select("key", "g", "k").join(losses, "g")
+    total = found.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("lt")).alias("lt"), F.sum(F.col("k") * F.col("lb")).alias("lb"))
+    # Rows of one key add up in `total`.
+    rows = own.groupBy("key").agg(F.count(F.lit(1)).alias("rows")).join(total, "key")
+    mean = lambda c: F.coalesce(F.col(c) / F.col("n") * UNIT, F.lit(0.0))
+    return own.select("doc_id", "key").join(rows, "key", "left").select(
+        "doc_id", F.coalesce((F.col("n") / F.col("rows")).cast("long"), F.lit(0)).cast("long").alias("n_tokens"),
+        mean("lt").alias("target_loss"), mean("lb").alias("background_loss"), (mean("lb") - mean("lt")).alias("score"))

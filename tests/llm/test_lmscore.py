@@ -52,3 +52,12 @@ def test_good_documents_score_higher_and_edges(spark):
     assert M.scores(docs(spark, []), labels(spark, [])).count() == 0
     got = M.scores(docs(spark, odd_rows(), clash=True), labels(spark, [])).collect()
     assert len(got) == len(odd_rows()) and all(r["score"] == 0 for r in got if not r["n_tokens"])
+
+
+def test_every_word_is_told_apart(spark):
+    rows = [(k + 1, soup(k, 90) + " same words here " + soup(k % 5, 60)) for k in range(30)]
+    rows += [(100 + k, " ".join(f"rare{j}" for j in range(40 * k, 40 * k + 60))) for k in range(40)]
+    lab = [(k, 1, 0) for k in range(1, 31, 2)] + [(100 + k, 1, 0) for k in range(0, 40, 3)]
+    assert len({w for _, t in rows for w in t.split()}) > 1_500
+    got = M.scores(docs(spark, rows), labels(spark, lab)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], round(r["target_loss"], 4), round(r["background_loss"], 4)) for r in got) == brute(rows, lab, 10**9)
