@@ -5,8 +5,9 @@ and units become typed placeholders. Windows of canonical words are hash-joined
 with those of the benchmark, so a question whose parameters were changed still
 matches; then the slots' values are compared: along one alignment (document
 place less item place) every value of the item must stand for one value of the
-document, else the shared template is no copy. A document is contaminated by an
-item when consistent windows cover half of the item's words, or `run` of them.
+document, else windows that hold such a slot are no copy, unless all their words
+stand as in the item. A document is contaminated by an item when the windows
+left cover half of the item's words, or `run` of them.
 
 Null text: as empty; never contaminated. Null item text or one of too few
 literal words: matches nothing. Repeated rows (same id and text): each has its
@@ -131,7 +132,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, **rules: float) -> DataFrame:
 
 
 def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, item_id, shift): alignments whose slots disagree, i.e. one value of the item meets two of the document.
+    """(key, item_id, shift, bad, changed): places of the item whose slots disagree along an alignment, i.e. one value of
+    the item meets two of the document, and those of them where the document's value is another one.
 
     Only documents and items with a shared window that holds a placeholder are read again."""
     aligned = found.withColumn("shift", F.col("doc_place") - F.col("item_place"))
@@ -152,15 +154,20 @@ def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
         .withColumn("held", F.array_distinct(F.transform(F.filter("stretches", lambda x: F.array_contains("windowed", x["p"])), lambda x: x["of"])))
         .withColumn("used", F.transform(F.filter("stretches", lambda x: F.array_contains("held", x["of"])), lambda x: x["p"])))
     pairs = stretched.select("key", "item_id", "shift", F.transform("used", lambda p: F.struct(
-        theirs(p).alias("theirs"), ours(p).alias("ours"))).alias("pairs"))
+        p.alias("p"), theirs(p).alias("theirs"), ours(p).alias("ours"))).alias("pairs"))
     slots = pairs.select("key", "item_id", "shift", F.explode(F.filter("pairs", lambda x: canonical(x["theirs"]).startswith("\x02"))).alias("x"))
-    return slots.groupBy("key", "item_id", "shift", "x.theirs").agg(F.min("x.ours").alias("a"), F.max("x.ours").alias("b")).where(
-        "a <> b").select("key", "item_id", "shift").distinct()
+    values = slots.groupBy("key", "item_id", "shift", "x.theirs").agg(
+        F.min("x.ours").alias("a"), F.max("x.ours").alias("b"), F.collect_list("x.p").alias("bad"),
+        F.collect_list(F.when(F.col("x.ours") != F.col("x.theirs"), F.col("x.p"))).alias("changed"))
+    return values.where("a <> b").groupBy("key", "item_id", "shift").agg(
+        F.flatten(F.collect_list("bad")).alias("bad"), F.flatten(F.collect_list("changed")).alias("changed"))
 
 
 def covered(found: DataFrame, disagree: DataFrame, share: float, run: int) -> DataFrame:
     """(key, item_id, n_windows, coverage, hit): places of an item that consistent windows cover."""
-    aligned = found.withColumn("shift", F.col("doc_place") - F.col("item_place")).join(disagree, ["key", "item_id", "shift"], "left_anti")
+    placed = found.withColumn("shift", F.col("doc_place") - F.col("item_place")).join(disagree, ["key", "item_id", "shift"], "left")
+    holds = lambda c: F.coalesce(F.exists(c, lambda p: p.between(F.col("item_place"), F.col("item_place") + F.col("length") - 1)), F.lit(False))
+    aligned = placed.where(~(holds("bad") & holds("changed")))
     # A document can hold an item's window many times; its places in the item are counted once.
     starts = aligned.groupBy("key", "item_id", "n_words", "item_place", "length").agg(F.count(F.lit(1)).alias("n"))
     own = starts.groupBy("key", "item_id", "n_words").agg(F.sum("n").alias("n_windows"), F.collect_list(F.struct("item_place", "length")).alias("at"))

@@ -87,3 +87,14 @@ def test_odd_rows_and_empty_tables(spark):
     assert sorted(r["doc_id"] for r in got.where("contaminated").collect() if r["doc_id"]) == [5, 5, 8]
     assert D.contaminated(docs(spark, odd_rows()), bench(spark, [])).where("contaminated").count() == 0
     assert D.contaminated(docs(spark, []), bench(spark, [(1, ITEM)])).count() == 0
+
+
+def test_a_disagreeing_slot_takes_out_its_windows_alone(spark):
+    item = f"{soup(21, 3)} Anna {soup(22, 25)} Anna {soup(23, 29)}"
+    changed = item[::-1].replace("annA", "aniN", 1)[::-1]
+    assert changed.count("Anna") == changed.count("Nina") == 1
+    rows = [(1, f"{soup(31, 30)} {changed} {soup(32, 30)}"), (2, f"{soup(33, 20)} {item}"), (3, UNLIKE)]
+    got = {r["doc_id"]: r for r in D.contaminated(docs(spark, rows), bench(spark, [(7, item), (8, ITEM)])).collect()}
+    assert [got[k]["item_ids"] for k in (1, 2, 3)] == [[7], [7], []]
+    # 59 words have 52 windows; 8 hold the changed name.
+    assert (got[1]["n_windows"], got[2]["n_windows"]) == (44, 52) and got[1]["coverage"] == 58 / 59
