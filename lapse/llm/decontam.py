@@ -5,12 +5,13 @@ and units become typed placeholders. Windows of canonical words are hash-joined
 with those of the benchmark, so a question whose parameters were changed still
 matches; then the slots' values are compared: along one alignment (document
 place less item place) every value of the item must stand for one value of the
-document, else windows that hold such a slot are no copy, unless all their words
-stand as in the item. A document is contaminated by an item when the windows
-left cover half of the item's words, or `run` of them.
+document, else windows that hold such a slot are no copy. Beside them, windows
+of the lower-cased words as they stand are joined alike; these are copies
+whatever their words. A document is contaminated by an item when its windows
+cover half of the item's words, or `run` of them.
 
-Null text: as empty; never contaminated. Null item text or one of too few
-literal words: matches nothing. Repeated rows (same id and text): each has its
+Null text: as empty; never contaminated. Null item text or one without words:
+matches nothing; one of too few literal words: only as it stands. Repeated rows (same id and text): each has its
 own row with the same verdict. Empty documents: an empty result; empty
 benchmark: no document is contaminated. Ties: item ids ascend in the lists. Only
 doc_id and text, and item_id and text, are read.
@@ -18,6 +19,8 @@ doc_id and text, and item_id and text, are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from lapse.session import materialize
 
 #: Words in a window; a shorter item is one window of its own.
 WINDOW = 8
-#: Least share of a window's words that are literal, i.e. no placeholders.
+#: Least share of a canonical window's words that are literal, i.e. no placeholders.
 LITERAL = 0.6
 #: Words that consistent windows must cover: this share of the item, or so many.
 SHARE, RUN = 0.5, 13
@@ -58,52 +61,71 @@ def canonical(word: Column) -> Column:
             .when(word.rlike(r"^\p{Lu}\p{Ll}"), NAME).otherwise(low))
 
 
+def as_stands(word: Column) -> Column:
+    """The word in lower case, unmarked."""
+    return F.lower(F.translate(word, "\x02", ""))
+
+
 def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
 def windows(words: DataFrame, lengths: list[int], key: list[str]) -> DataFrame:
-    """(key, place, length, hash) of all windows of canonical words `cs`, for each length."""
-    parts = [_windows_of(n) for n in lengths]
+    """(key, place, length, hash, as_is) of all windows of canonical words `cs` and of words `vs` as they stand, for each length."""
+    parts = [_windows_of(n, as_is) for n in lengths for as_is in (False, True)]
     found = F.concat(*parts) if parts else F.array().cast(_WINDOW)
-    return words.select(*key, F.explode(found).alias("w")).select(*key, "w.place", "w.length", "w.hash")
+    return words.select(*key, F.explode(found).alias("w")).select(*key, "w.place", "w.length", "w.hash", "w.as_is")
+
 
+_WINDOW = "array<struct<place:int,length:int,hash:bigint,as_is:boolean>>"
 
-_WINDOW = "array<struct<place:int,length:int,hash:bigint>>"
 
+def _hash(cut: Column, as_is: bool) -> Column:
+    return F.xxhash64(F.lit(1), cut) if as_is else F.xxhash64(cut)
 
-def _windows_of(n: int) -> Column:
-    places = F.when(F.size("cs") >= n, F.sequence(F.lit(1), F.greatest(F.size("cs") - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.lit(n).alias("length"), F.xxhash64(F.slice("cs", i, n)).alias("hash")))
+
+def _windows_of(n: int, as_is: bool) -> Column:
+    words = "vs" if as_is else "cs"
+    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.struct(i.alias("place"), F.lit(n).alias("length"), _hash(F.slice(words, i, n), as_is).alias("hash"), F.lit(as_is).alias("as_is")))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, literal: float = LITERAL) -> DataFrame:
     """(item_id, n_words, place, length, hash, ws): windows of the benchmark with enough literal words; an item
     shorter than a window is one. `ws` are the item's words as they stand."""
+    cut = _item_cuts(benchmark, window, canonical)
+    literals = F.size(F.filter("cut", lambda w: ~w.startswith("\x02")))
+    return cut.where(literals >= literal * F.col("length")).select(
+        "item_id", "n_words", "place", "length", _hash(F.col("cut"), False).alias("hash"), "ws")
+
+
+def verbatim_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+    """The columns of `item_windows` for all windows of the benchmark's words as they stand."""
+    return _item_cuts(benchmark, window, as_stands).select("item_id", "n_words", "place", "length", _hash(F.col("cut"), True).alias("hash"), "ws")
+
+
+def _item_cuts(benchmark: DataFrame, window: int, form: Callable[[Column], Column]) -> DataFrame:
     items = benchmark.select(benchmark["item_id"], raw_words(F.coalesce(benchmark["text"], F.lit(""))).alias("ws")).distinct()
-    items = items.withColumn("cs", F.transform("ws", canonical)).withColumn("n_words", F.size("cs"))
+    items = items.withColumn("fs", F.transform("ws", form)).withColumn("n_words", F.size("fs"))
     length = F.least(F.col("n_words"), F.lit(window))
     placed = items.where("n_words > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("n_words") - length + 1)).alias("place"), length.alias("length"))
-    cut = placed.withColumn("cut", F.slice("cs", F.col("place"), F.col("length")))
-    literals = F.size(F.filter("cut", lambda w: ~w.startswith("\x02")))
-    return cut.where(literals >= literal * F.col("length")).select(
-        "item_id", "n_words", "place", "length", F.xxhash64("cut").alias("hash"), "ws")
+    return placed.withColumn("cut", F.slice("fs", F.col("place"), F.col("length")))
 
 
 def matches(docs: DataFrame, items: DataFrame, lengths: list[int], small: bool) -> DataFrame:
-    """(key, item_id, n_words, doc_place, item_place, length) of windows that a document shares with an item."""
+    """(key, item_id, n_words, doc_place, item_place, length, as_is) of windows that a document shares with an item."""
     words = texts(docs).select(_key(F.col("doc_id"), F.col("text")).alias("key"), raw_words(F.col("text")).alias("ws"))
-    own = windows(words.select("key", F.transform("ws", canonical).alias("cs")), lengths, ["key"])
+    own = windows(words.select("key", F.transform("ws", canonical).alias("cs"), F.transform("ws", as_stands).alias("vs")), lengths, ["key"])
     theirs = items.select("hash", "length", "item_id", "n_words", F.col("place").alias("item_place"))
     # A hot window (a passage in many documents) sits on the streamed side; beyond the bound the join shuffles and
     # adaptive execution splits its partition.
     joined = own.join(F.broadcast(theirs) if small else theirs, ["hash", "length"])
-    return joined.select("key", "item_id", "n_words", F.col("place").alias("doc_place"), "item_place", "length")
+    return joined.select("key", "item_id", "n_words", F.col("place").alias("doc_place"), "item_place", "length", "as_is")
 
 
 def item_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE, run: int = RUN) -> DataFrame:
     """(key, item_id, n_windows, coverage, hit) of documents and items with a shared window; key: xxhash64 of id and text."""
-    items = materialize(item_windows(benchmark, window), "op6-items")
+    items = materialize(item_windows(benchmark, window).union(verbatim_windows(benchmark, window)), "op6-items")
     of = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # `window` rows at most
     small = sum(of.values()) <= BROADCAST_WINDOWS
     # Matched windows are few and written once: whole texts aren't canonicalised anew for each use.
@@ -132,11 +154,11 @@ def clean(docs: DataFrame, benchmark: DataFrame, **rules: float) -> DataFrame:
 
 
 def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFrame:
-    """(key, item_id, shift, bad, changed): places of the item whose slots disagree along an alignment, i.e. one value of
-    the item meets two of the document, and those of them where the document's value is another one.
+    """(key, item_id, shift, bad): places of the item whose slots disagree along an alignment, i.e. one value of the item
+    meets two of the document.
 
-    Only documents and items with a shared window that holds a placeholder are read again."""
-    aligned = found.withColumn("shift", F.col("doc_place") - F.col("item_place"))
+    Only documents and items with a shared canonical window are read again."""
+    aligned = found.where("NOT as_is").withColumn("shift", F.col("doc_place") - F.col("item_place"))
     keys = found.select("key").distinct()
     words = texts(docs).select(_key(F.col("doc_id"), F.col("text")).alias("key"), "text").join(keys, "key").dropDuplicates(["key"]).select(
         "key", raw_words(F.col("text")).alias("dw"))
@@ -157,17 +179,16 @@ def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
         p.alias("p"), theirs(p).alias("theirs"), ours(p).alias("ours"))).alias("pairs"))
     slots = pairs.select("key", "item_id", "shift", F.explode(F.filter("pairs", lambda x: canonical(x["theirs"]).startswith("\x02"))).alias("x"))
     values = slots.groupBy("key", "item_id", "shift", "x.theirs").agg(
-        F.min("x.ours").alias("a"), F.max("x.ours").alias("b"), F.collect_list("x.p").alias("bad"),
-        F.collect_list(F.when(F.col("x.ours") != F.col("x.theirs"), F.col("x.p"))).alias("changed"))
-    return values.where("a <> b").groupBy("key", "item_id", "shift").agg(
-        F.flatten(F.collect_list("bad")).alias("bad"), F.flatten(F.collect_list("changed")).alias("changed"))
+        F.min("x.ours").alias("a"), F.max("x.ours").alias("b"), F.collect_list("x.p").alias("bad"))
+    return values.where("a <> b").groupBy("key", "item_id", "shift").agg(F.flatten(F.collect_list("bad")).alias("bad"))
 
 
 def covered(found: DataFrame, disagree: DataFrame, share: float, run: int) -> DataFrame:
-    """(key, item_id, n_windows, coverage, hit): places of an item that consistent windows cover."""
+    """(key, item_id, n_windows, coverage, hit): places of an item that consistent windows, or such as they stand, cover."""
     placed = found.withColumn("shift", F.col("doc_place") - F.col("item_place")).join(disagree, ["key", "item_id", "shift"], "left")
-    holds = lambda c: F.coalesce(F.exists(c, lambda p: p.between(F.col("item_place"), F.col("item_place") + F.col("length") - 1)), F.lit(False))
-    aligned = placed.where(~(holds("bad") & holds("changed")))
+    holds = F.coalesce(F.exists("bad", lambda p: p.between(F.col("item_place"), F.col("item_place") + F.col("length") - 1)), F.lit(False))
+    # A window found both ways, or in repeated rows, is one.
+    aligned = placed.where(F.col("as_is") | ~holds).select("key", "item_id", "n_words", "doc_place", "item_place", "length").distinct()
     # A document can hold an item's window many times; its places in the item are counted once.
     starts = aligned.groupBy("key", "item_id", "n_words", "item_place", "length").agg(F.count(F.lit(1)).alias("n"))
     own = starts.groupBy("key", "item_id", "n_words").agg(F.sum("n").alias("n_windows"), F.collect_list(F.struct("item_place", "length")).alias("at"))

@@ -98,3 +98,22 @@ def test_a_disagreeing_slot_takes_out_its_windows_alone(spark):
     assert [got[k]["item_ids"] for k in (1, 2, 3)] == [[7], [7], []]
     # 59 words have 52 windows; 8 hold the changed name.
     assert (got[1]["n_windows"], got[2]["n_windows"]) == (44, 52) and got[1]["coverage"] == 58 / 59
+
+
+def test_items_of_few_literal_words_are_found_as_they_stand(spark):
+    cities = "Paris London Berlin Madrid Rome Vienna Lisbon Dublin Prague Warsaw Athens Oslo"
+    sums = "12 + 30 = 42, 17 + 4 = 21, 8 + 9 = 17, 30 + 3 = 33"
+    short = "Whales sing in the deep blue sea"
+    items = [(1, cities), (2, sums), (3, short), (4, "7 8 Anna"), (5, None), (6, " ")]
+    rows = [(1, f"{soup(1, 20)} {cities} {soup(2, 9)}"), (2, f"x {sums}"), (3, f"{soup(3, 20)} - {short}, {soup(4, 20)}"),
+            (4, "they said 7 8 ANNA then"), (5, cities.replace("Rome", "Turin").replace("Oslo", "Bern")[::-1]), (6, "13 + 31 = 44, 18 + 5 = 23, 9 + 10 = 19"), (7, "7 8 Nina")]
+    got = {r["doc_id"]: r for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
+    assert [got[k]["item_ids"] for k in range(1, 8)] == [[1], [2], [3], [4], [], [], []]
+    assert [got[k]["n_windows"] for k in range(1, 5)] == [5, 5, 1, 1]
+    assert [r["doc_id"] for r in D.clean(docs(spark, rows), bench(spark, items)).orderBy("doc_id").collect()] == [5, 6, 7]
+
+
+def test_a_window_found_both_ways_counts_once(spark):
+    text = soup(41, 20)
+    got = D.contaminated(docs(spark, [(1, text), (1, text)]), bench(spark, [(1, text)])).collect()
+    assert [(r["n_windows"], r["coverage"]) for r in got] == [(13, 1.0)] * 2
