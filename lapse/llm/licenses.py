@@ -2,12 +2,17 @@
 
 A text's words are aligned with each template that it may hold: words unique to
 both sides are anchors, their longest increasing subsequence fixes an order,
-and the gaps between anchors are aligned the same way. The share of template
-words that align is the coverage.
+and the gaps between anchors are aligned the same way, small gaps without anchors
+by their longest common subsequence. The share of template words that align is
+the coverage.
 
-A text is first cut into regions where a template's words are dense, so that a
-second copy elsewhere does not take an anchor's uniqueness away; a region
-without anchors is cut again where the template's first word recurs.
+A text is first cut into regions where a template's words follow each other, at
+most the template's length apart, so that a second copy elsewhere does not take
+an anchor's uniqueness away. A region is cut again where copies begin: a pair of
+words that the template has tells where its copy would begin, and places that
+many pairs agree on are beginnings. Pieces that hold no copy are joined with
+their neighbours and aligned once more. Regions are dropped beforehand only if
+too few of the template's words are there for the coverage to be reached.
 
 Null or empty text: no license. Repeated rows: each has its own row. An empty
 table gives an empty result; only doc_id and text are read.
@@ -59,8 +64,10 @@ TEMPLATES = {
 }
 #: Least share of a template's words that must align.
 COVERAGE = 0.8
-#: Most words that aren't the template's between two that are, inside a region.
+#: Most words that aren't the template's between two that are, inside a region; of a longer template, as many as it has.
 GAP = 8
+#: Most cells of the table by which a gap without anchors is aligned.
+CELLS = 1 << 14
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
@@ -84,6 +91,7 @@ def patience(a: list[str], b: list[str], a0: int = 0, b0: int = 0) -> list[tuple
         place = {w: i for i, w in enumerate(b[blo:bhi], blo) if n_b[w] == 1}
         anchors = increasing([(i, place[w]) for i, w in enumerate(a[lo:hi], lo) if n_a[w] == 1 and w in place])
         if not anchors:
+            out += common(a, b, lo, hi, blo, bhi)
             continue
         out += anchors
         edges = [(lo - 1, blo - 1), *anchors, (hi, bhi)]
@@ -108,45 +116,131 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def regions(words: list[str], template: list[str], vocabulary: frozenset[str], least: float, gap: int = GAP) -> Iterator[tuple[int, int]]:
-    """Stretches of `words` where the template's words follow each other within `gap` and enough of them occur."""
-    at = [i for i, w in enumerate(words) if w in vocabulary]
-    start = 0
+def common(a: list[str], b: list[str], lo: int, hi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
+    """Longest common subsequence of a[lo:hi] and b[blo:bhi] as pairs of places; none where the table would be too large."""
+    shared = set(a[lo:hi]).intersection(b[blo:bhi])
+    rows, columns = ([i for i in range(x, y) if of[i] in shared] for of, x, y in ((a, lo, hi), (b, blo, bhi)))
+    if not shared or len(rows) * len(columns) > CELLS:
+        return []
+    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
+    for r in range(len(rows) - 1, -1, -1):
+        for c in range(len(columns) - 1, -1, -1):
+            best[r][c] = best[r + 1][c + 1] + 1 if a[rows[r]] == b[columns[c]] else max(best[r + 1][c], best[r][c + 1])
+    out, r, c = [], 0, 0
+    while r < len(rows) and c < len(columns):
+        if a[rows[r]] == b[columns[c]]:
+            out.append((rows[r], columns[c]))
+            r, c = r + 1, c + 1
+        elif best[r + 1][c] >= best[r][c + 1]:
+            r += 1
+        else:
+            c += 1
+    return out
+
+
+class Template:
+    def __init__(self, name: str, words: list[str]) -> None:
+        self.name, self.words, self.counts = name, words, Counter(words)
+        self.pairs: dict[tuple[str, str], list[int]] = {}
+        for j, x in enumerate(zip(words, words[1:], strict=False)):
+            self.pairs.setdefault(x, []).append(j)
+        # Pairs that the template has once vote for one beginning; others only where these are few.
+        once = {x: js for x, js in self.pairs.items() if len(js) == 1}
+        self.pairs = once if 2 * len(once) >= len(words) - 1 else self.pairs
+
+    def possible(self, there: Counter, least: float) -> bool:
+        """Whether so many of the template's words are there that a copy can be."""
+        return sum(min(n, there[w]) for w, n in self.counts.items()) >= least * len(self.words)
+
+
+def regions(words: list[str], template: Template, least: float, gap: int = GAP) -> Iterator[tuple[int, int]]:
+    """Stretches of `words` where the template's words follow each other within `gap` or the template's length, and
+    enough of them occur."""
+    at = [i for i, w in enumerate(words) if w in template.counts]
+    gap, start = max(gap, len(template.words)), 0
     for k in range(1, len(at) + 1):
         if k == len(at) or at[k] - at[k - 1] > gap:
-            lo, hi = at[start], at[k - 1] + 1
-            if len({words[i] for i in at[start:k]}) >= least * len(vocabulary):
-                yield lo, hi
+            if template.possible(Counter(words[i] for i in at[start:k]), least):
+                yield at[start], at[k - 1] + 1
             start = k
 
 
-def align(words: list[str], lo: int, hi: int, template: list[str], least: float) -> Iterator[tuple[int, int, int]]:
-    """(first, end, aligned words) of copies of the template in words[lo:hi]. A region much longer than the template is
-    cut where the template's first words recur, since two copies in it leave no word unique."""
-    heads = [i for i in range(lo, hi) if words[i] == template[0] and words[i + 1 : i + 2] == template[1:2]]
-    cuts = sorted({lo, *heads, hi}) if len(heads) > 1 else [lo, hi]
+def beginnings(words: list[str], lo: int, hi: int, template: Template, gap: int = GAP) -> list[int]:
+    """Places of words[lo:hi] where copies of the template begin, by the pairs of words that they share with it."""
+    votes = Counter(i - j for i in range(lo, hi - 1) for j in template.pairs.get((words[i], words[i + 1]), ()))
+    n = len(template.words)
+    gap = min(gap, max(1, n // 2))
+    found: list[int] = []
+    group: list[int] = []
+    for at in [*sorted(votes), None]:
+        if group and (at is None or at - group[-1] > gap):
+            # An eighth of the template's pairs makes a beginning; one less than half a copy further on is an insertion.
+            if sum(votes[x] for x in group) >= max(1, n // 8) and (not found or group[0] >= found[-1] + max(1, n // 2)):
+                found.append(max(lo, group[0]))
+            group = []
+        if at is not None:
+            group.append(at)
+    return found
+
+
+def align(words: list[str], lo: int, hi: int, template: Template, least: float, gap: int = GAP) -> Iterator[tuple[int, int, int]]:
+    """(first, end, aligned words) of copies of the template in words[lo:hi]."""
+    n = len(template.words)
+
+    def copy(s: int, e: int) -> tuple[int, int, int] | None:
+        if not template.possible(Counter(words[s:e]), least):
+            return None
+        # What follows a copy can take its words' uniqueness away: a window of the template's length stands beside the whole piece.
+        ends = sorted({min(e, s + n), min(e, s + n + gap), min(e, s + n + n // 2), e})
+        best = None
+        for end in ends:
+            pairs = patience(words[s:end], template.words, s)
+            if pairs and len(pairs) >= least * n and (best is None or len(pairs) > best[2]):
+                best = pairs[0][0], pairs[-1][0] + 1, len(pairs)
+        return best
+
+    cuts = sorted({lo, *beginnings(words, lo, hi, template, gap), hi})
+    open_: list[tuple[int, int]] = []
+
+    def joined() -> Iterator[tuple[int, int, int]]:
+        """Copies in pieces that hold none by themselves, two neighbours together, else all."""
+        k = 0
+        hit = False
+        while k + 1 < len(open_):
+            if got := copy(open_[k][0], open_[k + 1][1]):
+                yield got
+                hit, k = True, k + 1
+            k += 1
+        if not hit and len(open_) > 2 and (got := copy(open_[0][0], open_[-1][1])):
+            yield got
+
     for s, e in zip(cuts, cuts[1:], strict=False):
-        pairs = patience(words[s:e], template, s)
-        if pairs and len(pairs) >= least * len(template):
-            yield pairs[0][0], pairs[-1][0] + 1, len(pairs)
+        if got := copy(s, e):
+            yield from joined()
+            open_ = [(got[1], e)] if got[1] < e else []
+            yield got
+        else:
+            open_.append((s, e))
+    yield from joined()
 
 
 class Scanner:
     def __init__(self, templates: dict[str, str], least: float, gap: int) -> None:
         self.least, self.gap = least, gap
-        self.templates = [(name, ws := [w for w, _, _ in tokens(t)], frozenset(ws)) for name, t in templates.items()]
-        self.known = frozenset().union(*(v for _, _, v in self.templates))
+        self.templates = [Template(name, [w for w, _, _ in tokens(t)]) for name, t in templates.items()]
+        self.known = frozenset().union(*(t.counts for t in self.templates))
 
     def scan(self, text: str) -> list[dict]:
         """Found licenses in order; of overlapping ones that with most aligned words, then the best covered, stays."""
         placed = tokens(text)
         words = [w for w, _, _ in placed]
-        there = self.known.intersection(words)
+        there = Counter(filter(self.known.__contains__, words))
         found = []
-        for name, template, vocabulary in self.templates:
-            if len(there & vocabulary) >= self.least * len(vocabulary):
-                for lo, hi in regions(words, template, vocabulary, self.least, self.gap):
-                    found += [(n, n / len(template), name, s, e) for s, e, n in align(words, lo, hi, template, self.least)]
+        for t in self.templates:
+            # Distinct words first: at least so many of a copy's are there.
+            if there.total() >= self.least * len(t.words) and len(there.keys() & t.counts.keys()) >= len(t.counts) - (1 - self.least) * len(t.words) and t.possible(there, self.least):
+                for lo, hi in regions(words, t, self.least, self.gap):
+                    found += [(n, n / len(t.words), t.name, s, e) for s, e, n in align(words, lo, hi, t, self.least, self.gap)]
         kept: list[tuple] = []
         taken: set[int] = set()
         for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):

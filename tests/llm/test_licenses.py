@@ -55,3 +55,26 @@ def test_table_odd_rows_and_empty_table(spark):
         assert (got[r["doc_id"]] is not None) == any(x in (r["text"] or "") for x in lines)
     assert L.report(L.license_spans(docs(spark, odd_rows(), clash=True))).where("n_licenses = 0 AND spans = ''").count() == len(odd_rows())
     assert L.report(L.license_spans(docs(spark, []))).count() == 0
+
+
+def test_insertions_missing_words_and_neighbouring_copies():
+    words = MIT.split()
+    for n in (8, 12, 30, 60):
+        parted = " ".join([*words[:45], soup(n, n), *words[45:]])
+        assert [x[:2] for x in scan(f"{soup(6, 40)} {parted} {soup(7, 40)}")] == [("MIT (text)", 1.0)]
+    tokens = [w for w, _, _ in L.tokens(MIT)]
+    once = [w for w in dict.fromkeys(tokens) if tokens.count(w) == 1]
+    left = " ".join(w for w in tokens if w not in once[::2][:13])
+    [(name, coverage, _)] = scan(f"{soup(8, 30)} {left} {soup(9, 30)}")
+    assert (name, coverage) == ("MIT (text)", round(1 - 13 / len(tokens), 6))
+    # Copies side by side, also without their first words, are told apart.
+    for first, second in ((MIT, MIT), (MIT, " ".join(words[4:])), (" ".join(words[3:]), " ".join(words[5:])), (" ".join(words[3:]), MIT)):
+        got = scan(f"{first} {second}")
+        assert [x[0] for x in got] == ["MIT (text)"] * 2 and got[0][2] in first and got[1][2] in second
+    three = " ".join(" ".join(words[k:]) for k in (2, 4, 6))
+    assert [x[0] for x in scan(three)] == ["MIT (text)"] * 3
+
+
+def test_gaps_without_anchors_are_aligned():
+    assert L.patience(list("abab"), list("xababy")) == [(0, 1), (1, 2), (2, 3), (3, 4)]
+    assert len(L.patience(list("1abcabc2"), list("3abxcabxc4"))) == 6
