@@ -5,7 +5,10 @@ words padded with a space) in rank order, counted over all labelled training
 texts. A document is compared by the out-of-place distance: for each of its own
 most frequent n-grams, how many ranks it stands away from its place in the
 profile, an n-gram that the profile lacks counting as the profile's length.
-The nearest profile names the language.
+The nearest profile names the language. The filter of the pipeline also rejects
+texts that lie further from it than texts of that language and about that length
+do: a bound is learned from all training rows. A language of too few training
+rows for any length has no bound.
 
 Null text, or one without a letter: `und` with score 0. Empty training set:
 `und` for all. Ties in rank go to the smaller n-gram, ties in distance to the
@@ -34,6 +37,11 @@ UNKNOWN = "und"
 #: Code units that a counting task gathers of a language before it counts them.
 GATHERED = 1 << 20
 
+#: A bound is the score that all but this share of a language's training rows of one length reach, less a margin.
+LOWEST, MARGIN = 0.001, 0.05
+#: Fewest training rows of a length from which a bound is learned; lengths are doubling classes of code points.
+FEWEST = 20
+
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -111,16 +119,20 @@ class Profiles:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """Language, and 1 less its distance as a share of the largest possible."""
+        return self.judged(text)[:2]
+
+    def judged(self, text: str | None) -> tuple[str, float, int]:
+        """Language, score and the class of its length."""
         points = letters(text)
         if points is None or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0
         own = ranked(grams(points), self.n)
         at = np.minimum(np.searchsorted(self.codes, own), len(self.codes) - 1)
         at[self.codes[at] != own] = len(self.codes)
         places = self.places[at]
         away = np.where(places < 0, self.n, np.abs(places - np.arange(len(own))[:, None])).sum(axis=0)
         best = int(away.argmin())
-        return self.langs[best], 1.0 - float(away[best]) / (self.n * len(own))
+        return self.langs[best], 1.0 - float(away[best]) / (self.n * len(own)), len(points).bit_length()
 
 
 def learned(training: DataFrame, n: int = PROFILE) -> Broadcast:
@@ -141,13 +153,38 @@ def predict(docs: DataFrame, training: DataFrame, n: int = PROFILE) -> DataFrame
     return own.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def bounds(training: DataFrame, shared: Broadcast) -> dict[str, dict[int, float]]:
+    """Least score by language and length class, from the training rows that are told as what they are labelled. The
+    driver takes one row a language and class; scores are counted in thousandths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((lang, *shared.value.judged(text)) for text, lang in rows_of(batches, "text", "lang"))
+        yield from batches_of(((lang, size, round(score, 3)) for lang, told, score, size in rows if told == lang), pa.schema([
+            ("lang", pa.string()), ("size", pa.int32()), ("score", pa.float64())]), 2_000)
+
+    scored = training.select("text", "lang").mapInArrow(run, "lang string, size int, score double")
+    found = scored.groupBy("lang", "size").agg(F.count(F.lit(1)).alias("n"), F.percentile("score", F.lit(LOWEST)).alias("least")).where(F.col("n") >= FEWEST)
+    out: dict[str, dict[int, float]] = {}
+    for r in found.collect():
+        out.setdefault(r["lang"], {})[r["size"]] = r["least"] - MARGIN
+    return out
+
+
+def least(of: dict[str, dict[int, float]], lang: str, size: int) -> float:
+    """Bound of a text: that of the nearest class not longer than its own, for shorter ones the language's lowest."""
+    own = of.get(lang, {})
+    shorter = [k for k in own if k <= size]
+    return own[max(shorter)] if shorter else min(own.values(), default=0.0)
+
+
 def identified(docs: DataFrame, training: DataFrame, n: int = PROFILE) -> DataFrame:
-    """`docs` without the rows whose language is unknown."""
+    """`docs` without the rows whose language is unknown: without a letter, or too far from the nearest profile."""
     shared = learned(training, n)
+    bound = docs.sparkSession.sparkContext.broadcast(bounds(training, shared))
 
     @F.pandas_udf("boolean")
     def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([shared.value.predict(t)[0] != UNKNOWN for t in texts], dtype=bool)
+        return pd.Series([lang != UNKNOWN and score >= least(bound.value, lang, size) for lang, score, size in map(shared.value.judged, texts)], dtype=bool)
 
     return docs.where(known(docs["text"]))
 

@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import numpy as np
@@ -58,3 +59,18 @@ def test_odd_rows_empty_table_and_filter(spark):
     assert L.predict(empty, L.training_rows(empty)).count() == 0
     no_lang = docs(spark, [(1, "some text", None)])
     assert L.predict(no_lang, L.training_rows(no_lang)).first()["lang_pred"] == "und"
+
+
+def test_noise_and_unlearned_languages_go_and_labelled_documents_stay(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rnd = random.Random(7)
+    noise = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(900)),
+             "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(2_000)),
+             "asdf jkl qwer uiop zxcv " * 40, "Это предложение написано на русском языке. " * 20,
+             "Ala ma kota a kot ma psa który mieszka w dużym domu nad rzeką gdzie płynie woda. " * 12]
+    odd = docs(spark, [(10_000_000 + k, t, None) for k, t in enumerate(noise)])
+    every = df.select(odd.columns).union(odd)
+    kept = {r["doc_id"] for r in L.identified(every, L.training_rows(every)).select("doc_id").collect()}
+    assert not kept & {10_000_000 + k for k in range(len(noise))}
+    labelled = {r["doc_id"] for r in df.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id").collect()}
+    assert len(labelled - kept) <= 0.005 * len(labelled)
