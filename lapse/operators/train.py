@@ -1,7 +1,9 @@
 """Model training with Spark ML: logistic regression, random forest, gradient-boosted trees.
 
 The driver only orchestrates: every fit, CV fold and evaluation is a
-distributed Spark job over the (cached) training split. Model outputs are
+distributed Spark job over one written table of all splits. A fit is one
+(model, fold) and is made when first asked for (`Fits`): a coefficient table
+waits for no tree, and only cross-validation fits folds. Model outputs are
 turned into the long (model, customerID, label, p) table and scored by the
 table operators of `evaluate`, so CV AUC, threshold tuning and holdout metrics
 are the same code paths that are oracle-checked on deterministic scores.
@@ -9,6 +11,12 @@ are the same code paths that are oracle-checked on deterministic scores.
 
 from __future__ import annotations
 
+import hashlib
+import math
+import os
+import threading
+import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -16,14 +24,18 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lapse import config as K
 from lapse.functions.columns import round_half_up
 from lapse.operators import evaluate as EV
 from lapse.operators import split as SP
-from lapse.session import materialize
+from lapse.session import materialize, rename_table, shared_folder, table_exists
+
+# Least training rows a task: a table smaller than this a partition is read in fewer partitions, because every round of
+# boosting pays for its tasks. Larger tables keep the partitions of their files.
+ROWS_PER_TASK = 50_000
 
 
 @dataclass(frozen=True)
@@ -33,7 +45,7 @@ class Profile:
     gbt_rounds: int = K.GBT_ROUNDS
     lr_max_iter: int = K.LOGISTIC_MAX_ITER
     cv_folds: int = K.CV_FOLDS
-    parallelism: int = 4  # concurrent fits (CV folds and final models), as CrossValidator(parallelism=...)
+    parallelism: int = 8  # concurrent fits (CV folds and final models), as CrossValidator(parallelism=...)
 
     @staticmethod
     def reference() -> "Profile":
@@ -57,22 +69,31 @@ def build_pipelines(feature_cols: list[str], n_train: int, profile: Profile) ->
                             standardization=False, maxIter=profile.lr_max_iter, tol=1e-6)
     rf = RandomForestClassifier(featuresCol="features_raw", labelCol="label", weightCol="weight",
                                 numTrees=profile.rf_trees, maxDepth=K.RF_DEPTH, minInstancesPerNode=K.RF_MIN_LEAF,
-                                featureSubsetStrategy="sqrt", seed=K.SEED, maxMemoryInMB=64)
+                                featureSubsetStrategy="sqrt", seed=K.SEED, maxMemoryInMB=256,
+                                cacheNodeIds=True, checkpointInterval=10)
     gbt = GBTClassifier(featuresCol="features_raw", labelCol="label", weightCol="gbt_weight",
                         maxIter=profile.gbt_rounds, maxDepth=K.GBT_DEPTH, stepSize=K.GBT_STEP,
                         subsamplingRate=K.GBT_SUBSAMPLE, featureSubsetStrategy=str(K.GBT_COLSAMPLE),
-                        minInstancesPerNode=K.GBT_MIN_CHILD, seed=K.SEED, maxMemoryInMB=64)
+                        minInstancesPerNode=K.GBT_MIN_CHILD, seed=K.SEED, maxMemoryInMB=64, checkpointInterval=10)
     return {"logistic": Pipeline(stages=[asm, scaler, lr]),
             "random_forest": Pipeline(stages=[asm, rf]),
             "gbt": Pipeline(stages=[asm, gbt])}
 
 
-def weighted(train: DataFrame) -> DataFrame:
-    """label (double), balanced `weight`, and `gbt_weight` = round(neg/pos, 2) on positives."""
-    w = SP.class_weights(train).select("Churn", "weight", "scale_pos_weight")
-    return (train.join(F.broadcast(w), "Churn")
-            .withColumn("label", F.col("Churn").cast("double"))
-            .withColumn("gbt_weight", F.when(F.col("Churn") == 1, F.col("scale_pos_weight")).otherwise(1.0)))
+def weighted(train: DataFrame, counts: dict[int, int] | None = None) -> DataFrame:
+    """label (double), balanced `weight` n / (2 n_c), and `gbt_weight` = round(neg/pos, 2) on positives.
+
+    `counts` are the rows of each class of `train`, counted here if not given; so the weights are constants, not a join."""
+    if counts is None:
+        counts = {r["c"]: r["n"] for r in train.groupBy(F.col("Churn").cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = sum(counts.values())
+    balanced = {c: n / (2.0 * k) for c, k in counts.items() if k}
+    positive = math.floor(counts.get(0, 0) / counts[1] * 100 + 0.5) / 100 if counts.get(1) else 1.0
+    weight = F.lit(None).cast("double")
+    for c, w in sorted(balanced.items()):
+        weight = F.when(F.col("Churn") == c, w).otherwise(weight)
+    return (train.withColumn("weight", weight).withColumn("label", F.col("Churn").cast("double"))
+            .withColumn("gbt_weight", F.when(F.col("Churn") == 1, positive).otherwise(1.0)))
 
 
 def long_scores(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
@@ -82,53 +103,126 @@ def long_scores(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
                       vector_to_array("probability")[1].alias("p"))
 
 
-def train_all(features: DataFrame, split: DataFrame, feature_cols: list[str], profile: Profile | None = None,
-              models: list[str] | None = None) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
-    """Fit every model -> (fitted models, results table, long test scores).
+class Fits:
+    """The fits of a training run, each made once when first asked for.
 
-    results: model, cv_auc_mean, cv_auc_std, val_f1, threshold, test_auc,
-    test_precision, test_recall, test_f1 (4 dp, half-up).
+    A fit is one (model, fold): the fold that is left out, or None for the final model. It is saved as a PipelineModel
+    in the shared folder, under a fingerprint of the data, the split and the model's settings; a later run over the
+    same data, in any session with the same shared folder, loads it. All fits read one written table; a fold's rows are
+    a filter of it.
     """
-    profile = profile or Profile.reference()
-    # written once: each fit and each scoring reads this table, not the join behind it
-    data = materialize(features.join(split.select(K.ID_COL, "split", "class_pos"), K.ID_COL)
-                       .withColumn("fold", SP.fold_of(profile.cv_folds)), "training")
-    train = data.where(F.col("split") == "train")
-    val, test = data.where(F.col("split") == "val"), data.where(F.col("split") == "test")
-    sizes = {r["fold"]: r["n"] for r in train.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a fold
-    names = models or list(build_pipelines(feature_cols, 1, profile))
-    # every fit is an independent Spark job: submit them concurrently from driver threads
-    folds = [*range(profile.cv_folds), None]
-    tasks = [(name, k) for name in names for k in folds]
-    # a fold's fit is a fit of its own: penalty and class weights follow from the rows it sees
-    rows = {k: weighted(train if k is None else train.where(F.col("fold") != k)).persist() for k in folds}
-
-    def fit(task):
-        name, k = task
-        n = sum(sizes.values()) - sizes.get(k, 0)
-        return task, build_pipelines(feature_cols, n, profile)[name].fit(rows[k])
-
-    with ThreadPoolExecutor(max_workers=max(1, profile.parallelism)) as pool:
-        fits = dict(pool.map(fit, tasks))
-    fitted, cv_parts, val_parts, test_parts = {}, [], [], []
-    for name in names:
-        for k in range(profile.cv_folds):
-            cv_parts.append(long_scores(fits[(name, k)], train.where(F.col("fold") == k), f"{name}#{k}"))
-        fitted[name] = fits[(name, None)]
-        val_parts.append(long_scores(fitted[name], val, name))
-        test_parts.append(long_scores(fitted[name], test, name))
-    fold_auc = EV.auc(_union(cv_parts)).select(F.split("model", "#")[0].alias("model"), "auc")
-    cv_rows = [fold_auc.groupBy("model").agg(F.avg("auc").alias("cv_auc_mean"), F.stddev_pop("auc").alias("cv_auc_std"))]
-    val_scores, test_scores = _union(val_parts), materialize(_union(test_parts), "test-scores")
-    tuned = EV.tune_threshold(val_scores)
-    metrics = EV.metrics_table(test_scores, tuned)
-    results = (_union(cv_rows).join(tuned, "model").join(metrics.drop("threshold"), "model")
-               .select("model", "cv_auc_mean", "cv_auc_std", "val_f1", "threshold",
-                       F.col("roc_auc").alias("test_auc"), F.col("precision").alias("test_precision"),
-                       F.col("recall").alias("test_recall"), F.col("f1").alias("test_f1")))
-    for frame in rows.values():
-        frame.unpersist()
-    return fitted, results, test_scores
+
+    def __init__(self, features: DataFrame, split: DataFrame, feature_cols: list[str], profile: Profile | None = None) -> None:
+        self.spark = features.sparkSession
+        self.profile = profile or Profile.reference()
+        self.feature_cols = feature_cols
+        self.data = materialize(features.join(split.select(K.ID_COL, "split", "class_pos"), K.ID_COL)
+                                .withColumn("fold", SP.fold_of(self.profile.cv_folds)), "training")
+        self.train = self.data.where(F.col("split") == "train")
+        sizes = self.train.groupBy("fold", F.col("Churn").cast("int").alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        self.sizes = {(r["fold"], r["c"]): r["n"] for r in sizes.collect()}  # folds x classes
+        rows = self.data.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*self.data.columns).cast("decimal(38,0)")).alias("h")).first()
+        self._data_print = f"{rows['n']}:{rows['h']}:{self.spark.version}:{','.join(feature_cols)}"
+        self._models: dict[tuple[str, int | None], PipelineModel] = {}
+        self._locks: dict[tuple[str, int | None], threading.Lock] = {}
+        self._guard = threading.Lock()
+        self.made: list[tuple[str, int | None]] = []  # fits that this run trained itself
+
+    @property
+    def names(self) -> list[str]:
+        return list(build_pipelines(self.feature_cols, 1, self.profile))
+
+    def counts(self, fold: int | None) -> dict[int, int]:
+        """Training rows of each class outside `fold`."""
+        out: dict[int, int] = {}
+        for (f, c), n in self.sizes.items():
+            if f != fold:
+                out[c] = out.get(c, 0) + n
+        return out
+
+    def rows(self, fold: int | None) -> DataFrame:
+        """Weighted training rows outside `fold`: a fit of its own, with penalty and class weights of the rows it sees."""
+        counts = self.counts(fold)
+        own = self.train if fold is None else self.train.where(F.col("fold") != fold)
+        return weighted(own, counts).coalesce(max(1, math.ceil(sum(counts.values()) / ROWS_PER_TASK)))
+
+    def _path(self, name: str, fold: int | None, pipeline: Pipeline) -> str:
+        settings = [sorted((p.name, str(v)) for p, v in s.extractParamMap().items() if "Col" not in p.name) for s in pipeline.getStages()]
+        mark = hashlib.sha256(f"{self._data_print}|{name}|{fold}|{settings}".encode()).hexdigest()
+        return os.path.join(shared_folder(self.spark), "lapse-fits", mark)
+
+    def model(self, name: str, fold: int | None = None) -> PipelineModel:
+        key = (name, fold)
+        with self._guard:
+            lock = self._locks.setdefault(key, threading.Lock())
+        with lock:
+            if key not in self._models:
+                self._models[key] = self._load_or_fit(name, fold)
+            return self._models[key]
+
+    def _load_or_fit(self, name: str, fold: int | None) -> PipelineModel:
+        pipeline = build_pipelines(self.feature_cols, sum(self.counts(fold).values()), self.profile)[name]
+        path = self._path(name, fold, pipeline)
+        if table_exists(self.spark, path):
+            return PipelineModel.load(path)
+        fitted = pipeline.fit(self.rows(fold))
+        self.made.append((name, fold))
+        part = f"{path}-{uuid.uuid4().hex}"  # a run that dies while it writes leaves no half model under the name
+        fitted.write().save(part)
+        rename_table(self.spark, part, path)
+        return fitted
+
+    def models(self, names: Iterable[str], folds: Iterable[int | None] = (None,)) -> dict[tuple[str, int | None], PipelineModel]:
+        """Fits made concurrently from driver threads, the longest first; each is a series of Spark jobs."""
+        order = {"gbt": 0, "random_forest": 1}
+        keys = sorted(((n, k) for n in names for k in folds), key=lambda x: order.get(x[0], 2))
+        with ThreadPoolExecutor(max_workers=max(1, self.profile.parallelism)) as pool:
+            return dict(zip(keys, pool.map(lambda x: self.model(*x), keys), strict=True))
+
+    def scores(self, name: str, split: str) -> DataFrame:
+        """Long scores of the final model over the rows of a split."""
+        return long_scores(self.model(name), self.data.where(F.col("split") == split), name)
+
+    def cv_auc(self, names: Iterable[str]) -> DataFrame:
+        """(model, cv_auc_mean, cv_auc_std): each fold scored by the fit that did not see it."""
+        names, folds = list(names), range(self.profile.cv_folds)
+        fits = self.models(names, folds)
+        parts = [long_scores(fits[(n, k)], self.train.where(F.col("fold") == k), f"{n}#{k}") for n in names for k in folds]
+        return cv_summary(materialize(_union(parts), "cv-scores"))
+
+    def holdout(self, names: Iterable[str]) -> DataFrame:
+        """(model, val_f1, threshold, test_auc, test_precision, test_recall, test_f1): the final fits alone."""
+        names = list(names)
+        self.models(names)
+        val = materialize(_union([self.scores(n, "val") for n in names]), "val-scores")
+        test = materialize(_union([self.scores(n, "test") for n in names]), "test-scores")
+        tuned = EV.tune_threshold(val)
+        metrics = EV.metrics_table(test, tuned)
+        return materialize(tuned.join(metrics.drop("threshold"), "model").select(
+            "model", "val_f1", "threshold", F.col("roc_auc").alias("test_auc"), F.col("precision").alias("test_precision"),
+            F.col("recall").alias("test_recall"), F.col("f1").alias("test_f1")), "holdout")
+
+    def results(self, names: Iterable[str] | None = None) -> DataFrame:
+        """cv_auc_mean, cv_auc_std, val_f1, threshold, test_auc, test_precision, test_recall, test_f1 of each model."""
+        names = self.names if names is None else list(names)
+        self.models(names, [*range(self.profile.cv_folds), None])
+        return self.cv_auc(names).join(self.holdout(names), "model").select(
+            "model", "cv_auc_mean", "cv_auc_std", "val_f1", "threshold", "test_auc", "test_precision", "test_recall", "test_f1")
+
+
+def cv_summary(scores: DataFrame) -> DataFrame:
+    """(model, cv_auc_mean, cv_auc_std) of long scores whose model is named `<model>#<fold>`."""
+    auc = EV.auc(scores).select(F.split("model", "#")[0].alias("model"), "auc")
+    return auc.groupBy("model").agg(F.avg("auc").alias("cv_auc_mean"), F.stddev_pop("auc").alias("cv_auc_std"))
+
+
+def train_all(features: DataFrame, split: DataFrame, feature_cols: list[str], profile: Profile | None = None,
+              models: list[str] | None = None) -> tuple[dict[str, PipelineModel], DataFrame, DataFrame]:
+    """Fit every model and fold -> (final models, results table, long test scores)."""
+    fits = Fits(features, split, feature_cols, profile)
+    names = models or fits.names
+    results = fits.results(names)
+    return {n: fits.model(n) for n in names}, results, materialize(_union([fits.scores(n, "test") for n in names]), "test-scores")
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -138,10 +232,13 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _session() -> SparkSession:
+    return SparkSession.builder.getOrCreate()
+
+
 def feature_importance(model: PipelineModel, feature_cols: list[str], name: str) -> DataFrame:
     """(feature, importance, model) from a tree model's featureImportances, highest first."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     imp = model.stages[-1].featureImportances.toArray().tolist()
     df = spark.createDataFrame([(f, float(v), name) for f, v in zip(feature_cols, imp)],
                                "feature string, importance double, model string")
@@ -150,8 +247,7 @@ def feature_importance(model: PipelineModel, feature_cols: list[str], name: str)
 
 def logistic_coefficients(model: PipelineModel, feature_cols: list[str], top_n: int = K.TOP_FEATURES) -> DataFrame:
     """Signed coefficients (standardised space): the top_n by |coef|, then ordered by value."""
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+    spark = _session()
     coef = model.stages[-1].coefficients.toArray().tolist()
     df = spark.createDataFrame(list(zip(feature_cols, [float(c) for c in coef])), "feature string, coefficient double")
     return (df.orderBy(F.abs("coefficient").desc(), "feature").limit(top_n).orderBy("coefficient"))

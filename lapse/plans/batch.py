@@ -26,7 +26,7 @@ from lapse.operators import segments as SG
 from lapse.operators import split as SP
 from lapse.operators import train as T
 from lapse.sources import files as IO
-from lapse.session import drop_tables, intermediate_scope
+from lapse.session import drop_tables, intermediate_scope, materialize
 from lapse.sources import fixture
 
 
@@ -61,8 +61,9 @@ def _run(spark: SparkSession, out_root: str, sf_dir: str | None, raw_path: str |
     IO.write_layer(SP.stratified_split(cleaned), p["split"])
     split = IO.read_layer(spark, p["split"], "the split")
 
-    models, results, test_scores = T.train_all(features, split, feature_cols, profile)
-    IO.write_model_results(results, p["model_results"])
+    fits = T.Fits(features, split, feature_cols, profile)
+    IO.write_model_results(fits.results(), p["model_results"])
+    models = {name: m for (name, _), m in fits.models(fits.names).items()}
     IO.save_models(models, p["models"])
     results = IO.read_model_results(spark, p["model_results"])
 
@@ -77,9 +78,10 @@ def _run(spark: SparkSession, out_root: str, sf_dir: str | None, raw_path: str |
     name, threshold = best["model"], float(best["threshold"])
     # model output is row for row: no join back, and the median charge comes from the features layer
     median = C.quantiles(features, "MonthlyCharges", [K.HIGH_VALUE_PERCENTILE])[0]
-    scored = S.risk_rank(SG.assign_segments(S.score_model(models[name], features, threshold, name, rank=False),
-                                            median_charge=median))
-    IO.write_layer(scored, p["scored"])          # written once, after segmenting
+    # written before it is ranked: the range pass samples its input, and the model is evaluated once a row
+    segmented = materialize(SG.assign_segments(S.score_model(models[name], features, threshold, name, rank=False),
+                                               median_charge=median), "segmented")
+    IO.write_layer(S.risk_rank(segmented), p["scored"])
     scored = IO.read_layer(spark, p["scored"], "scoring")
 
     scenarios = B.budget_scenarios(scored, K.PIPELINE_BUDGETS)

@@ -99,10 +99,11 @@ def _stream(spark, sf):
     from lapse.plans.queries_models import trained
     from lapse.streaming.scoring import score_backlog
     t = trained(spark, sf)
+    name, threshold = t.best
     src = IO.scratch_path(spark, "arrivals")
     L.raw(spark, sf).drop("Churn").write.parquet(src)
     return score_backlog(spark, src, IO.scratch_path(spark, "scored-sink"), IO.scratch_path(spark, "stream-ckpt"),
-                         t.models[t.best_name], t.best_threshold, t.median_charge, t.feature_cols, t.best_name)
+                         t.model(name), threshold, t.median_charge, t.feature_cols, name)
 
 
 register("g25_stream_score")(_stream)

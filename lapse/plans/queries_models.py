@@ -1,12 +1,13 @@
 """Registered queries that need fitted models (rows-only checks: no SQL form).
 
-Training runs once per (session, data folder, profile), with the original model
-sizes, and is shared by the queries below.
+A query fits the models it reads, with the original sizes, and no others; fits
+are shared by the queries of a session and saved in the shared folder.
 """
 
 from __future__ import annotations
 
 import threading
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,15 +28,45 @@ _MEMO: dict = {}
 
 
 class Trained:
+    """The training run of a session over a data folder: every part is made when a query first reads it."""
+
     def __init__(self, spark: SparkSession, sf: str, profile: T.Profile):
         self.features = L.features(spark, sf)
-        self.split = L.split(spark, sf)
         self.feature_cols = FE.model_columns(self.features)
-        self.models, results, _ = T.train_all(self.features, self.split, self.feature_cols, profile)
-        self.results = materialize(results, "model-results")
-        best = self.results.orderBy(F.col("test_auc").desc(), "model").first()
-        self.best_name, self.best_threshold = best["model"], float(best["threshold"])
-        self.median_charge = self.features.select(F.median("MonthlyCharges")).first()[0]
+        self.fits = T.Fits(self.features, L.split(spark, sf), self.feature_cols, profile)
+
+    def model(self, name: str):
+        return self.fits.model(name)
+
+    @cached_property
+    def holdout(self) -> DataFrame:
+        return self.fits.holdout(self.fits.names)
+
+    @cached_property
+    def results(self) -> DataFrame:
+        """Cross-validation beside the holdout metrics: the only part that fits every fold."""
+        self.fits.models(self.fits.names, [*range(self.fits.profile.cv_folds), None])
+        return materialize(self.fits.cv_auc(self.fits.names).join(self.holdout, "model").select(
+            "model", "cv_auc_mean", "cv_auc_std", "val_f1", "threshold", "test_auc", "test_precision", "test_recall", "test_f1"),
+            "model-results")
+
+    @cached_property
+    def best(self) -> tuple[str, float]:
+        """(name, threshold) of the model with the highest test AUC; it needs no fold."""
+        row = self.holdout.orderBy(F.col("test_auc").desc(), "model").first()
+        return row["model"], float(row["threshold"])
+
+    @cached_property
+    def median_charge(self) -> float:
+        return self.features.select(F.median("MonthlyCharges")).first()[0]
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Every customer scored with the best model and segmented, written once: no reader evaluates the model again."""
+        name, threshold = self.best
+        s = S.score_model(self.model(name), self.features, threshold, name, rank=False)
+        # scoring is row for row, so the median charge of the features layer is the scored one
+        return materialize(SG.assign_segments(s, median_charge=self.median_charge), "model-scored")
 
 
 def trained(spark: SparkSession, sf: str, profile: T.Profile | None = None) -> Trained:
@@ -50,55 +81,56 @@ def trained(spark: SparkSession, sf: str, profile: T.Profile | None = None) -> T
 register("f20_train_all")(lambda spark, sf: T.rounded_results(trained(spark, sf).results))
 register("a06_model_results")(lambda spark, sf: trained(spark, sf).results)
 register("f19_comparison_table")(lambda spark, sf: T.comparison_table(trained(spark, sf).results))
-register("f10_best_model_by_f1")(
-    lambda spark, sf: trained(spark, sf).results.orderBy(F.col("test_f1").desc(), "model").limit(1))
+
+
+@register("f10_best_model_by_f1")
+def _best_by_f1(spark, sf) -> DataFrame:
+    """The model of the highest test F1, by the final fits; only its own folds are fitted for its CV columns."""
+    t = trained(spark, sf)
+    best = t.holdout.orderBy(F.col("test_f1").desc(), "model").limit(1)
+    return t.fits.cv_auc([best.first()["model"]]).join(best, "model").select(
+        "model", "cv_auc_mean", "cv_auc_std", "val_f1", "threshold", "test_auc", "test_precision", "test_recall", "test_f1")
 
 
 def _native(spark, sf) -> DataFrame:
     t = trained(spark, sf)
-    return (T.feature_importance(t.models["random_forest"], t.feature_cols, "Random Forest")
-            .unionByName(T.feature_importance(t.models["gbt"], t.feature_cols, "Gradient Boosted Trees")))
+    t.fits.models(["gbt", "random_forest"])
+    return (T.feature_importance(t.model("random_forest"), t.feature_cols, "Random Forest")
+            .unionByName(T.feature_importance(t.model("gbt"), t.feature_cols, "Gradient Boosted Trees")))
 
 
 register("f14_native_importance")(_native)
 register("f17_logistic_coefficients")(
-    lambda spark, sf: T.logistic_coefficients(trained(spark, sf).models["logistic"], trained(spark, sf).feature_cols))
+    lambda spark, sf: T.logistic_coefficients(trained(spark, sf).model("logistic"), trained(spark, sf).feature_cols))
 
 
 def _tree_shap(spark, sf) -> DataFrame:
     t = trained(spark, sf)
-    return EX.tree_shap_mean_abs(t.models["gbt"].stages[-1], t.features, t.feature_cols, "SHAP")
+    return EX.tree_shap_mean_abs(t.model("gbt").stages[-1], t.features, t.feature_cols, "SHAP")
 
 
 register("f15_tree_shap")(_tree_shap)
 register("f15_linear_shap")(
-    lambda spark, sf: EX.linear_shap_mean_abs(trained(spark, sf).models["logistic"], trained(spark, sf).features,
+    lambda spark, sf: EX.linear_shap_mean_abs(trained(spark, sf).model("logistic"), trained(spark, sf).features,
                                               trained(spark, sf).feature_cols))
 register("a07_importance_table")(lambda spark, sf: _native(spark, sf).unionByName(_tree_shap(spark, sf)))
 register("f18_top_shap_features")(lambda spark, sf: T.top_importance(_tree_shap(spark, sf), "SHAP"))
 
 
-def _model_scored(spark, sf) -> DataFrame:
-    """Score every customer with the best model (by test AUC) at its tuned threshold, then segment."""
-    t = trained(spark, sf)
-    s = S.score_model(t.models[t.best_name], t.features, t.best_threshold, t.best_name, rank=False)
-    # scoring is row for row, so the median charge of the features layer is the scored one
-    return S.risk_rank(SG.assign_segments(s, median_charge=t.median_charge))
-
-
 register("g01_model_churn_probability")(
-    lambda spark, sf: _model_scored(spark, sf).select(K.ID_COL, "churn_probability", "scoring_model"))
+    lambda spark, sf: trained(spark, sf).scored.select(K.ID_COL, "churn_probability", "scoring_model"))
 register("g05_model_score_all")(
-    lambda spark, sf: _model_scored(spark, sf).select(K.ID_COL, "churn_probability", "churn_predicted",
-                                                      "revenue_at_risk", "risk_rank", "segment_label"))
+    lambda spark, sf: S.risk_rank(trained(spark, sf).scored.select(
+        K.ID_COL, "churn_probability", "churn_predicted", "revenue_at_risk", "segment_label"))
+    .select(K.ID_COL, "churn_probability", "churn_predicted", "revenue_at_risk", "risk_rank", "segment_label"))
 
 
 def _arrivals(spark, sf) -> DataFrame:
     """New arrivals = the raw-shaped rows of the table, scored with frozen training constants."""
     t = trained(spark, sf)
     raw = L.raw(spark, sf).drop("Churn")
-    return SV.score_arrivals(raw, t.models[t.best_name], t.best_threshold, t.median_charge, t.feature_cols,
-                             t.best_name)
+    name, threshold = t.best
+    return SV.score_arrivals(raw, t.model(name), threshold, t.median_charge, t.feature_cols, name)
 
 
 register("g25_score_new")(_arrivals)
@@ -106,9 +138,7 @@ register("g25_score_new")(_arrivals)
 
 def _model_test_scores(name):
     def build(spark, sf):
-        t = trained(spark, sf)
-        test = t.features.join(t.split.where(F.col("split") == "test").select(K.ID_COL), K.ID_COL)
-        return T.long_scores(t.models[name], test, name)
+        return trained(spark, sf).fits.scores(name, "test")
     return build
 
 
@@ -132,9 +162,9 @@ def _models_roundtrip(spark, sf):
     from lapse.sources import files as IO
     t = trained(spark, sf)
     root = IO.scratch_path(spark, "models")
-    IO.save_models(t.models, root)
+    IO.save_models({name: m for (name, _), m in t.fits.models(t.fits.names).items()}, root)
     loaded = IO.load_models(spark, root)
-    test = t.features.join(t.split.where(F.col("split") == "test").select(K.ID_COL), K.ID_COL)
+    test = t.fits.data.where(F.col("split") == "test")
     out = None
     for name, m in sorted(loaded.items()):
         part = T.long_scores(m, test, name)

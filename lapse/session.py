@@ -53,6 +53,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf_dir
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The configured shared folder, the same for every session that names it; the session's own where none is named."""
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+            or ensure_checkpoint_dir(spark))
+
+
+def _file_system(spark: SparkSession, path: str):
+    jp = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jp.getFileSystem(spark._jsc.hadoopConfiguration()), jp
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    fs, jp = _file_system(spark, path)
+    return bool(fs.exists(jp))
+
+
+def rename_table(spark: SparkSession, path: str, to: str) -> None:
+    """Give a written table its name in one step; if another run was first, its table stays and ours goes."""
+    fs, jp = _file_system(spark, path)
+    if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(to)) or not fs.rename(jp, spark._jvm.org.apache.hadoop.fs.Path(to)):
+        fs.delete(jp, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as a Parquet table in the shared checkpoint folder and read it back.
 
