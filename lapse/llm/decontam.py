@@ -10,6 +10,10 @@ of the lower-cased words as they stand are joined alike; these are copies
 whatever their words. A document is contaminated by an item when its windows
 cover half of the item's words, or `run` of them.
 
+Each word is hashed once; windows are hashes of slices of word hashes, and are only built where a bit table of the
+benchmark says that a window may begin with this pair of words (it only rules out; the join decides). Texts of
+documents with a shared canonical window are read again, by a semi-join, to compare slots.
+
 Null text: as empty; never contaminated. Null item text or one without words:
 matches nothing; one of too few literal words: only as it stands. Repeated rows (same id and text): each has its
 own row with the same verdict. Empty documents: an empty result; empty
@@ -37,6 +41,8 @@ SHARE, RUN = 0.5, 13
 BROADCAST_WINDOWS = 200_000
 #: Most keys of contaminated documents that are broadcast.
 BROADCAST_KEYS = 2_000_000
+#: Bits of the table of pairs of words that begin windows of the benchmark, in words of 64.
+TABLE_WORDS = 1 << 14
 
 #: Separators: all but letters and digits; a point or comma between digits belongs to the number.
 BETWEEN = r"(?:[^\p{L}\p{N}.,\x02]|[.,](?![0-9])|(?<![0-9])[.,])+"
@@ -56,7 +62,8 @@ def raw_words(text: Column) -> Column:
 def canonical(word: Column) -> Column:
     """Placeholder of a number, name or unit; any other word in lower case, unmarked."""
     low = F.lower(word)
-    return (F.when(low == word, F.when(word.rlike("^[0-9]") | word.isin(NUMBERS), NUMBER).when(word.isin(UNITS), UNIT).otherwise(word))
+    digit = (word >= "0") & (word < ":")  # begins with one
+    return (F.when(low == word, F.when(digit | word.isin(NUMBERS), NUMBER).when(word.isin(UNITS), UNIT).otherwise(word))
             .when(word.startswith("\x02"), F.substring(low, 2, 1 << 30))
             .when(word.rlike(r"^\p{Lu}\p{Ll}"), NAME).otherwise(low))
 
@@ -70,38 +77,84 @@ def _key(doc_id: Column, text: Column) -> Column:
     return F.xxhash64(doc_id, text)
 
 
-def windows(words: DataFrame, lengths: list[int], key: list[str]) -> DataFrame:
-    """(key, place, length, hash, as_is) of all windows of canonical words `cs` and of words `vs` as they stand, for each length."""
-    parts = [_windows_of(n, as_is) for n in lengths for as_is in (False, True)]
+def hashed(words: DataFrame, key: list[str]) -> DataFrame:
+    """(key, cs, vs): hashes of the canonical words of `ws`, and of the words as they stand."""
+    return words.select(*key, F.transform("ws", lambda w: F.xxhash64(canonical(w))).alias("cs"),
+                        F.transform("ws", lambda w: F.xxhash64(F.lit(1), as_stands(w))).alias("vs"))
+
+
+def windows(words: DataFrame, lengths: list[int], key: list[str], begins: list[int]) -> DataFrame:
+    """(key, place, length, hash, as_is) of windows of word hashes `cs` and `vs`, for each length, that may begin a window
+    of the benchmark by the bit table `begins`."""
+    table = F.split(F.lit(",".join(map(str, begins))), ",").cast("array<bigint>")  # folded to a constant by the optimizer
+    parts, starts = [], []
+    for form in ("cs", "vs"):
+        for wide in sorted({min(n, 2) for n in lengths}):
+            name = f"{form}{wide}"
+            starts.append(_starts(form, wide, table).alias(name))
+            parts += [_windows_of(name, n, form) for n in lengths if min(n, 2) == wide]
     found = F.concat(*parts) if parts else F.array().cast(_WINDOW)
-    return words.select(*key, F.explode(found).alias("w")).select(*key, "w.place", "w.length", "w.hash", "w.as_is")
+    placed = words.select(*key, "cs", "vs", *starts)
+    return placed.select(*key, F.explode(found).alias("w")).select(*key, "w.place", "w.length", "w.hash", "w.as_is")
 
 
 _WINDOW = "array<struct<place:int,length:int,hash:bigint,as_is:boolean>>"
 
 
-def _hash(cut: Column, as_is: bool) -> Column:
-    return F.xxhash64(F.lit(1), cut) if as_is else F.xxhash64(cut)
+def _places(form: str, n: int) -> Column:
+    return F.when(F.size(form) >= n, F.sequence(F.lit(1), F.greatest(F.size(form) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+
+
+def _starts(form: str, n: int, table: Column) -> Column:
+    return F.filter(_places(form, n), lambda i: _may_begin(table, F.get(form, i - 1), None if n == 1 else F.get(form, i)))
+
+
+def _windows_of(starts: str, n: int, form: str) -> Column:
+    return F.transform(F.filter(starts, lambda i: i <= F.size(form) - n + 1), lambda i: F.struct(
+        i.alias("place"), F.lit(n).alias("length"), F.xxhash64(F.slice(form, i, n)).alias("hash"), F.lit(form == "vs").alias("as_is")))
 
 
-def _windows_of(n: int, as_is: bool) -> Column:
-    words = "vs" if as_is else "cs"
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.struct(i.alias("place"), F.lit(n).alias("length"), _hash(F.slice(words, i, n), as_is).alias("hash"), F.lit(as_is).alias("as_is")))
+def _bit(first: Column, second: Column | None) -> tuple[Column, Column]:
+    """Word of the bit table and bit in it of a pair of word hashes, or of a single one; cheap, as hashes are mixed already."""
+    x = first if second is None else F.shiftleft(first, 1).bitwiseXOR(second)
+    return F.shiftright(x, 6).bitwiseAND(F.lit(TABLE_WORDS - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _may_begin(table: Column, first: Column, second: Column | None) -> Column:
+    at, bit = _bit(first, second)
+    return F.call_function("shiftright", F.get(table, at), bit).bitwiseAND(F.lit(1)) != 0
+
+
+def bit_table(items: DataFrame) -> list[int]:
+    """TABLE_WORDS words of 64 bits: which pairs of word hashes (or single ones) begin a window of `items`."""
+    places = [_bit(F.get("begin", F.lit(0)), None if n == 1 else F.get("begin", F.lit(1))) for n in (1, 2)]
+    one = F.size("begin") == 1
+    at, bit = (F.when(one, x).otherwise(y) for x, y in zip(*places, strict=True))
+    bits = items.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
+    table = [0] * TABLE_WORDS
+    for r in bits.groupBy("at").agg(F.bit_or("b").alias("b")).collect():  # TABLE_WORDS rows at most
+        table[r["at"]] = r["b"]
+    return table
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW, literal: float = LITERAL) -> DataFrame:
-    """(item_id, n_words, place, length, hash, ws): windows of the benchmark with enough literal words; an item
+    """(item_id, n_words, place, length, hash, begin, ws): windows of the benchmark with enough literal words; an item
     shorter than a window is one. `ws` are the item's words as they stand."""
     cut = _item_cuts(benchmark, window, canonical)
     literals = F.size(F.filter("cut", lambda w: ~w.startswith("\x02")))
     return cut.where(literals >= literal * F.col("length")).select(
-        "item_id", "n_words", "place", "length", _hash(F.col("cut"), False).alias("hash"), "ws")
+        "item_id", "n_words", "place", "length", *_hashes(lambda w: F.xxhash64(w)), "ws")
 
 
 def verbatim_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The columns of `item_windows` for all windows of the benchmark's words as they stand."""
-    return _item_cuts(benchmark, window, as_stands).select("item_id", "n_words", "place", "length", _hash(F.col("cut"), True).alias("hash"), "ws")
+    return _item_cuts(benchmark, window, as_stands).select(
+        "item_id", "n_words", "place", "length", *_hashes(lambda w: F.xxhash64(F.lit(1), w)), "ws")
+
+
+def _hashes(of: Callable[[Column], Column]) -> tuple[Column, Column]:
+    words = F.transform("cut", of)
+    return F.xxhash64(words).alias("hash"), F.slice(words, 1, 2).alias("begin")
 
 
 def _item_cuts(benchmark: DataFrame, window: int, form: Callable[[Column], Column]) -> DataFrame:
@@ -115,7 +168,7 @@ def _item_cuts(benchmark: DataFrame, window: int, form: Callable[[Column], Colum
 def matches(docs: DataFrame, items: DataFrame, lengths: list[int], small: bool) -> DataFrame:
     """(key, item_id, n_words, doc_place, item_place, length, as_is) of windows that a document shares with an item."""
     words = texts(docs).select(_key(F.col("doc_id"), F.col("text")).alias("key"), raw_words(F.col("text")).alias("ws"))
-    own = windows(words.select("key", F.transform("ws", canonical).alias("cs"), F.transform("ws", as_stands).alias("vs")), lengths, ["key"])
+    own = windows(hashed(words, ["key"]), lengths, ["key"], bit_table(items))
     theirs = items.select("hash", "length", "item_id", "n_words", F.col("place").alias("item_place"))
     # A hot window (a passage in many documents) sits on the streamed side; beyond the bound the join shuffles and
     # adaptive execution splits its partition.
@@ -159,9 +212,11 @@ def slots_agree(docs: DataFrame, items: DataFrame, found: DataFrame) -> DataFram
 
     Only documents and items with a shared canonical window are read again."""
     aligned = found.where("NOT as_is").withColumn("shift", F.col("doc_place") - F.col("item_place"))
-    keys = found.select("key").distinct()
-    words = texts(docs).select(_key(F.col("doc_id"), F.col("text")).alias("key"), "text").join(keys, "key").dropDuplicates(["key"]).select(
-        "key", raw_words(F.col("text")).alias("dw"))
+    keys = materialize(aligned.select(F.col("key").alias("key_")).distinct(), "op6-keys")
+    # Few keys are broadcast, so that other texts stay where they are; more are shuffled.
+    small = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    own = texts(docs).select(_key(F.col("doc_id"), F.col("text")).alias("key"), "text")
+    words = own.join(small, F.col("key") == F.col("key_"), "left_semi").dropDuplicates(["key"]).select("key", raw_words(F.col("text")).alias("dw"))
     bench = items.select("item_id", F.col("ws").alias("iw")).distinct()
     runs = aligned.groupBy("key", "item_id", "shift").agg(F.collect_set(F.struct("item_place", "length")).alias("at"))
     placed = runs.join(words, "key").join(bench, "item_id")
