@@ -296,7 +296,7 @@ def report(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> DataF
 
 
 ORACLE = rf"""
-WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 w AS (SELECT r, doc_id, i, hash(ws[i:i + {WINDOW - 1}]) AS h FROM (SELECT r, doc_id, ws, unnest(range(1, len(ws) - {WINDOW - 2})) AS i FROM d WHERE len(ws) >= {WINDOW})),
 c AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
 x AS (SELECT w.r, w.doc_id, w.i, d.ws[w.i:w.i + {WINDOW - 1}] AS k FROM w JOIN c USING (h) JOIN d ON d.r = w.r),
