@@ -245,15 +245,16 @@ def removed(docs: DataFrame, window: int = WINDOW, rounds: int = ROUNDS) -> Data
     # 1. Anchors that occur in two documents.
     shared = materialize(stretches.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"),
                          "op11-anchors")
-    likely = materialize(stretches.join(F.broadcast(shared) if shared.count() <= BROADCAST_ANCHORS else shared, "anchor", "left_semi"), "op11-likely")
+    few = shared.count() <= BROADCAST_ANCHORS
+    likely = materialize(stretches.join(F.broadcast(shared) if few else shared, "anchor", "left_semi"), "op11-likely")
     # 2. Stretches of theirs: whole ones go where an earlier document has them.
     classes = materialize(likely.groupBy(*_CLASS).agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "op11-classes")
-    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    several = classes.groupBy("anchor").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")  # some of `shared`
     named = materialize(likely.join(classes.where("lo < hi").select(*_CLASS, "lo"), _CLASS, "left").withColumn("later", F.coalesce(
         F.col("doc_id") > F.col("lo"), F.lit(False))).drop("lo"), "op11-named")
     whole = named.where("later").select(*_DOC, F.col("first").alias("start"), (F.col("first") + F.col("n") + window - 1).alias("end"))
     # 3. Windows of the others, where an anchor has several stretches.
-    left = named.where("NOT later").join(several, "anchor", "left_semi").select(*_DOC, "first", "n").distinct()
+    left = named.where("NOT later").join(F.broadcast(several) if few else several, "anchor", "left_semi").select(*_DOC, "first", "n").distinct()
     by_doc = materialize(left.groupBy(*_DOC).agg(F.collect_list(F.struct("first", "n")).alias("open")), "op11-open")
     small = F.broadcast(by_doc) if by_doc.count() <= BROADCAST_DOCS else by_doc
     windows = materialize(window_table(own.join(small, _DOC), window), "op11-windows")

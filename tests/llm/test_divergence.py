@@ -53,8 +53,9 @@ def test_audit_equals_brute_force(spark):
 
 def test_shared_digests_are_split(spark):
     rows = sample()
-    weak = lambda t: V.F.pmod(V.F.xxhash64(t), V.F.lit(3))
-    terms, _ = V.kept_terms(docs(spark, rows), 3, weak)
+    weak = lambda t: V.xxhash.xxh3_64_intdigest(t) % 3
+    groups, seed = V.named_groups(docs(spark, rows))
+    terms, _ = V.kept_terms(V._named(docs(spark, rows), seed), groups, 3, weak)
     assert terms.where("k > 1").count() > 0
     assert rows_of(V.audit(docs(spark, rows), least=3, digest=weak)) == brute(rows, 3)
 
@@ -64,6 +65,7 @@ def test_both_joins_agree_and_whole_table_equals_brute_force(spark, monkeypatch)
     want = brute([(r["doc_id"], r["text"], r["lang"], r["source"]) for r in df.collect()])
     assert rows_of(V.audit(df)) == want
     monkeypatch.setattr(V, "BROADCAST_TERMS", 0)
+    monkeypatch.setattr(V, "COUNTED", 100)
     assert rows_of(V.audit(df)) == want
 
 
