@@ -16,7 +16,7 @@ read, so extra columns can't clash.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lapse.session import materialize
@@ -31,21 +31,30 @@ BARE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ["assign", "access", "hex", "bare"]
 #: A value of at most so many distinct owners (sources) and repositories (source and language) looks live.
 MAX_OWNERS, MAX_REPOSITORIES = 2, 4
+#: Matches of a text whose places are added up together.
+BLOCK = 256
 
 
 def located(text: Column, pattern: str, kind: int) -> Column:
     """All leftmost matches as array<struct(start, kind, end, match)>, in code points: the places follow from the
-    lengths of the parts between matches."""
+    lengths of the parts between matches, added up in blocks of BLOCK matches and then over blocks, so that a text of many
+    matches takes work in proportion (an array that grows match by match would be copied each time)."""
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     between = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>").alias("out"))
-    walk = F.aggregate(F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), b.alias("b"))), start,
-                       lambda acc, x: F.struct(
-                           (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("at"),
-                           F.concat(acc["out"], F.array(F.struct(
-                               (acc["at"] + F.length(x["b"])).alias("start"), F.lit(kind).alias("kind"),
-                               (acc["at"] + F.length(x["b"]) + F.length(x["m"])).alias("end"), x["m"].alias("match")))).alias("out")))
-    return F.when(text.rlike(pattern), walk["out"]).otherwise(start["out"])
+    pairs = F.zip_with(found, F.slice(between, 1, F.size(found)), lambda m, b: F.struct(m.alias("m"), F.length(b).alias("b")))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,match:string>>")
+    span = lambda x, at: F.struct((at + x["b"]).alias("start"), F.lit(kind).alias("kind"),
+                                  (at + x["b"] + F.length(x["m"])).alias("end"), x["m"].alias("match"))
+    walked = lambda block: F.aggregate(block, F.struct(F.lit(0).alias("at"), none.alias("out")), lambda acc, x: F.struct(
+        (acc["at"] + x["b"] + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(span(x, acc["at"]))).alias("out")))
+    starts = F.sequence(F.lit(1), F.size(found), F.lit(BLOCK))
+    # `found` and its parts are bound once, as the arguments of a lambda, not evaluated anew for each block.
+    blocks = F.transform(F.array(pairs), lambda all_: F.transform(starts, lambda i: walked(F.slice(all_, i, BLOCK))))[0]
+    moved = lambda block, by: F.transform(block["out"], lambda x: F.struct(
+        (x["start"] + by).alias("start"), x["kind"].alias("kind"), (x["end"] + by).alias("end"), x["match"].alias("match")))
+    whole = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array(none).alias("out")), lambda acc, block: F.struct(
+        (acc["at"] + block["at"]).alias("at"), F.concat(acc["out"], F.array(moved(block, acc["at"]))).alias("out")))
+    return F.when(text.rlike(pattern), F.flatten(whole["out"])).otherwise(none)
 
 
 def value_of(match: Column, kind: Column) -> Column:
@@ -93,11 +102,16 @@ def secret_spans(docs: DataFrame, **limits: int) -> DataFrame:
     freq = ownership(found, **limits)
     each = found.where(F.size("found") > 0).select("row", F.explode("found").alias("c")).select("row", "c.*")
     labelled = each.join(freq, "hash").where((F.col("kind") < 3) | F.col("live") | F.col("as_base"))
-    own = labelled.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
-        "start", "kind", "end", "hash", "n_owners", "n_repositories", "live"))).alias("all"))
-    apart = F.filter("all", lambda x: (x["kind"] < 3) | ~F.exists("all", lambda y: (y["kind"] < 3) & (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    return found.select("row", "doc_id").join(own, "row", "left").select("doc_id", F.coalesce(
-        apart, F.array().cast("array<struct<start:int,kind:int,end:int,hash:string,n_owners:bigint,n_repositories:bigint,live:boolean>>")).alias("spans"))
+    # A bare span overlaps a base one that begins no later and ends behind its start, or begins inside it.
+    by, base = Window.partitionBy("row"), F.col("kind") < 3
+    reach = F.max(F.when(base, F.col("end"))).over(by.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ahead = F.min(F.when(base, F.col("start"))).over(by.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, -1))
+    apart = labelled.withColumn("reach", reach).withColumn("ahead", ahead).where(
+        base | ~(F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("ahead") < F.col("end"), F.lit(False))))
+    own = apart.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
+        "start", "kind", "end", "hash", "n_owners", "n_repositories", "live"))).alias("spans"))
+    none = F.array().cast("array<struct<start:int,kind:int,end:int,hash:string,n_owners:bigint,n_repositories:bigint,live:boolean>>")
+    return found.select("row", "doc_id").join(own, "row", "left").select("doc_id", F.coalesce("spans", none).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
