@@ -117,15 +117,28 @@ def ablations(led: DataFrame, policy: Policy) -> DataFrame:
                                     total(now & ~without, "rejects_alone"), total(~without, "kept_without"))
 
 
+def rejected_alone(policy: Policy, bits: Column) -> Column:
+    """Bits of the rules without which the policy would keep a document that it rejects: the ablation of one document."""
+    without = (F.when(policy.rejects(bits.bitwiseAND(F.lit(~b))), 0).otherwise(b) for b in BIT.values())
+    return F.when(policy.rejects(bits), sum(without, F.lit(0))).otherwise(0).cast("long")
+
+
 def verdicts(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The ledger with base_failed and the verdict of a policy version."""
+    """The ledger with base_failed, the verdict of a policy version and those of all, and the rules that alone reject."""
     policy = next(p for p in POLICIES if p.version == version)
-    return ledger(docs).withColumn("base_failed", F.col("failed").bitwiseAND(F.lit(BASE)) != 0).withColumn(
+    return apply_policies(ledger(docs)).withColumn("base_failed", F.col("failed").bitwiseAND(F.lit(BASE)) != 0).withColumn(
         "kept", ~F.col("base_failed") & ~policy.rejects(F.col("failed"))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed",
-        "n_lines", "n_letters", "n_capitals")
+        "n_lines", "n_letters", "n_capitals", *(f"kept_v{p.version}" for p in POLICIES),
+        rejected_alone(policy, F.col("failed")).alias("rejected_alone"))
+
+
+def _rejects_sql(p: Policy, bits: str) -> str:
+    return f"(({bits} & {p.fatal}) <> 0 OR bit_count({bits} & {p.counted}) > {p.tolerated})"
 
 
+_NOW = next(p for p in POLICIES if p.version == CURRENT)
+_ALONE = " + ".join(f"CASE WHEN {_rejects_sql(_NOW, f'(failed & {(1 << len(RULES)) - 1 - b})')} THEN 0 ELSE {b} END" for b in BIT.values())
 ORACLE = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -147,5 +160,7 @@ f AS (SELECT *, CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_wo
       + 64 * (n_lines >= 4 AND 2 * n_dup_lines > n_lines)::INT + 128 * (2 * n_letters < word_chars)::INT
       + 256 * (n_letters >= 50 AND 10 * n_capitals > 7 * n_letters)::INT AS BIGINT) AS failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed,
-  (failed & 311) = 0 AND bit_count(failed & 200) <= 1 AS kept, failed, n_lines, n_letters, n_capitals FROM f
+  (failed & 311) = 0 AND bit_count(failed & 200) <= 1 AS kept, failed, n_lines, n_letters, n_capitals,
+  """ + ", ".join(f"NOT {_rejects_sql(p, 'failed')} AS kept_v{p.version}" for p in POLICIES) + f""",
+  CAST(CASE WHEN {_rejects_sql(_NOW, 'failed')} THEN {_ALONE} ELSE 0 END AS BIGINT) AS rejected_alone FROM f
 """

@@ -42,6 +42,17 @@ def test_policies_and_ablations_read_the_bits_alone(spark):
             assert r["kept_without"] == sum(not rejects(b & ~bit) for b in bits)
 
 
+def test_the_query_has_every_policy_and_the_ablation_of_each_document(spark):
+    rows = Q.verdicts(docs(spark, [*ROWS, (40, soup(9, 80).upper())])).collect()
+    rejects = lambda p, b: bool(b & p.fatal) or bin(b & p.counted).count("1") > p.tolerated
+    now = next(p for p in Q.POLICIES if p.version == Q.CURRENT)
+    for r in rows:
+        assert [r[f"kept_v{p.version}"] for p in Q.POLICIES] == [not rejects(p, r["failed"]) for p in Q.POLICIES]
+        alone = sum(b for b in Q.BIT.values() if rejects(now, r["failed"]) and not rejects(now, r["failed"] & ~b))
+        assert r["rejected_alone"] == alone
+    assert any(r["rejected_alone"] for r in rows) and any(r["kept_v1"] != r["kept_v2"] for r in rows)
+
+
 def test_clean_text_is_kept_and_empty_table_passes(spark):
     assert Q.verdicts(docs(spark, [(1, soup(1, 300))])).first()["kept"]
     assert Q.verdicts(docs(spark, [])).count() == 0
