@@ -74,3 +74,39 @@ def test_noise_and_unlearned_languages_go_and_labelled_documents_stay(spark):
     assert not kept & {10_000_000 + k for k in range(len(noise))}
     labelled = {r["doc_id"] for r in df.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id").collect()}
     assert len(labelled - kept) <= 0.005 * len(labelled)
+
+
+def distance(text, profile, n):
+    """Out-of-place distance by plain Python: the document's most frequent n-grams against a language's, `n` for a missing one."""
+    import regex
+    words = [w.lower() for w in regex.findall(r"[^\W\d_]+", text)]
+    s = " " + " ".join(words) + " "
+    counts = Counter(s[k : k + m] for m in (1, 2, 3) for k in range(len(s) - m + 1) if s[k : k + m] != " ")
+    number = lambda g: sum(ord(c) << 21 * (len(g) - 1 - j) for j, c in enumerate(g))
+    own = sorted((number(g) for g in counts), key=lambda c: (-counts[spelled(c)], c))[:n]
+    return sum(abs(k - profile[c]) if c in profile else n for k, c in enumerate(own)), len(own)
+
+
+def spelled(code):
+    out = ""
+    while code:
+        out, code = chr(code & 0x1FFFFF) + out, code >> 21
+    return out
+
+
+def test_predictions_and_scores_equal_plain_out_of_place_distances(spark):
+    df = spark.read.parquet(f"{SF}/documents.parquet")
+    training, n = L.training_rows(df), 60
+    of = {}
+    for r in L.profiles(training, n).collect():
+        of.setdefault(r["lang"], {})[r["code"]] = r["place"]
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    seen = 0
+    for r in L.predict(df, training, n).collect():
+        if r["lang_pred"] == "und":
+            continue
+        away = {lang: distance(texts[r["doc_id"]], p, n) for lang, p in sorted(of.items())}
+        best = min(away, key=lambda lang: away[lang][0])
+        assert r["lang_pred"] == best and abs(r["score"] - (1 - away[best][0] / (n * away[best][1]))) < 1e-12
+        seen += 1
+    assert seen > 150
