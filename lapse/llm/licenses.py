@@ -24,7 +24,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,7 +35,25 @@ from lapse.llm.common import batches_of, rows_of, texts
 
 WORDS = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
 
-#: License notices and texts, by SPDX-like name.
+# License notices and texts, by SPDX-like name; whole texts lie in `license_texts`, a file each.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+    "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and "
+    "the following disclaimer in the documentation and/or other materials provided with the distribution. ")
+_BSD_3RD = (
+    "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
+    "from this software without specific prior written permission. ")
+_BSD_END = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT "
+    "NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL "
+    "THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+    "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS "
+    "INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE "
+    "OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.")
+_GNU_NOTICE = (
+    "This {thing} is free software{mark} you can redistribute it and/or modify it under the terms of the {license} as published by the "
+    "Free Software Foundation{second} either version {version} of the License, or (at your option) any later version.")
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "MIT": "Released under the MIT License",
@@ -61,13 +81,42 @@ TEMPLATES = {
     "GPL (notice)": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public "
         "License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "GPL-2.0 (notice)": _GNU_NOTICE.format(thing="program", mark=";", second=";", license="GNU General Public License", version="2"),
+    "LGPL-2.1 (notice)": _GNU_NOTICE.format(thing="library", mark=";", second=";", license="GNU Lesser General Public License", version="2.1"),
+    "LGPL-3.0 (notice)": _GNU_NOTICE.format(thing="program", mark=":", second=",", license="GNU Lesser General Public License", version="3"),
+    "AGPL-3.0 (notice)": _GNU_NOTICE.format(thing="program", mark=":", second=",", license="GNU Affero General Public License", version="3"),
+    "MPL-2.0 (notice)": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "EPL-2.0 (notice)": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available "
+        "at https://www.eclipse.org/legal/epl-2.0/"),
+    "CC0-1.0 (notice)": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to "
+        "the public domain worldwide. This software is distributed without any warranty."),
+    "Unlicense (text)": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, "
+        "or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and "
+        "by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright "
+        "interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment "
+        "of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future "
+        "rights to this software under copyright law."),
+    "Zlib (text)": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any "
+        "damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including "
+        "commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    "BSD-2-Clause (text)": _BSD + _BSD_END,
+    "BSD-3-Clause (text)": _BSD + _BSD_3RD + _BSD_END,
+    **{f"{f.stem} (text)": f.read_text(encoding="utf-8") for f in sorted(Path(__file__).with_name("license_texts").glob("*.txt"))},
 }
 #: Least share of a template's words that must align.
 COVERAGE = 0.8
 #: Most words that aren't the template's between two that are, inside a region; of a longer template, as many as it has.
 GAP = 8
-#: Most cells of the table by which a gap without anchors is aligned.
+#: Most cells of the table by which a gap without anchors is aligned at once; a larger gap is halved first.
 CELLS = 1 << 14
+#: Templates that share so much of the smaller one's words are told apart by the words that one has and the other hasn't.
+ALIKE = 0.8
 
 
 def tokens(text: str) -> list[tuple[str, int, int]]:
@@ -117,19 +166,48 @@ def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def common(a: list[str], b: list[str], lo: int, hi: int, blo: int, bhi: int) -> list[tuple[int, int]]:
-    """Longest common subsequence of a[lo:hi] and b[blo:bhi] as pairs of places; none where the table would be too large."""
+    """Longest common subsequence of a[lo:hi] and b[blo:bhi] as pairs of places; memory in proportion to their lengths.
+
+    A table that would be too large is halved along `a`: the best lengths of the two halves, from either end, tell where `b` is
+    cut, and the parts are aligned alone."""
     shared = set(a[lo:hi]).intersection(b[blo:bhi])
-    rows, columns = ([i for i in range(x, y) if of[i] in shared] for of, x, y in ((a, lo, hi), (b, blo, bhi)))
-    if not shared or len(rows) * len(columns) > CELLS:
+    if not shared:
         return []
-    best = [[0] * (len(columns) + 1) for _ in range(len(rows) + 1)]
-    for r in range(len(rows) - 1, -1, -1):
-        for c in range(len(columns) - 1, -1, -1):
-            best[r][c] = best[r + 1][c + 1] + 1 if a[rows[r]] == b[columns[c]] else max(best[r + 1][c], best[r][c + 1])
+    number = {w: k for k, w in enumerate(shared)}
+    rows, columns = ([i for i in range(x, y) if of[i] in shared] for of, x, y in ((a, lo, hi), (b, blo, bhi)))
+    xs, ys = (np.array([number[of[i]] for i in at]) for of, at in ((a, rows), (b, columns)))
+    out, todo = [], [(0, len(xs), 0, len(ys))]
+    while todo:
+        r, re_, c, ce = todo.pop()
+        if r == re_ or c == ce:
+            continue
+        if (re_ - r) * (ce - c) <= CELLS or re_ - r == 1:
+            out += [(rows[i + r], columns[j + c]) for i, j in _by_table(xs[r:re_].tolist(), ys[c:ce].tolist())]
+            continue
+        half = (r + re_) // 2
+        ahead, behind = _lengths(xs[r:half], ys[c:ce]), _lengths(xs[half:re_][::-1], ys[c:ce][::-1])[::-1]
+        cut = c + int(np.argmax(ahead + behind))
+        todo += [(r, half, c, cut), (half, re_, cut, ce)]
+    return sorted(out)
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths of the longest common subsequences of `a` and every beginning of `b`, a row at a time."""
+    best = np.zeros(len(b) + 1, dtype=np.int32)
+    for x in a:
+        best[1:] = np.maximum.accumulate(np.maximum(best[1:], best[:-1] + (b == x)))
+    return best
+
+
+def _by_table(a: list[int], b: list[int]) -> list[tuple[int, int]]:
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for r in range(len(a) - 1, -1, -1):
+        for c in range(len(b) - 1, -1, -1):
+            best[r][c] = best[r + 1][c + 1] + 1 if a[r] == b[c] else max(best[r + 1][c], best[r][c + 1])
     out, r, c = [], 0, 0
-    while r < len(rows) and c < len(columns):
-        if a[rows[r]] == b[columns[c]]:
-            out.append((rows[r], columns[c]))
+    while r < len(a) and c < len(b):
+        if a[r] == b[c]:
+            out.append((r, c))
             r, c = r + 1, c + 1
         elif best[r + 1][c] >= best[r][c + 1]:
             r += 1
@@ -183,11 +261,11 @@ def beginnings(words: list[str], lo: int, hi: int, template: Template, gap: int
     return found
 
 
-def align(words: list[str], lo: int, hi: int, template: Template, least: float, gap: int = GAP) -> Iterator[tuple[int, int, int]]:
-    """(first, end, aligned words) of copies of the template in words[lo:hi]."""
+def align(words: list[str], lo: int, hi: int, template: Template, least: float, gap: int = GAP) -> Iterator[tuple[int, int, int, frozenset]]:
+    """(first, end, number of aligned words, which words) of copies of the template in words[lo:hi]."""
     n = len(template.words)
 
-    def copy(s: int, e: int) -> tuple[int, int, int] | None:
+    def copy(s: int, e: int) -> tuple[int, int, int, frozenset] | None:
         if not template.possible(Counter(words[s:e]), least):
             return None
         # What follows a copy can take its words' uniqueness away: a window of the template's length stands beside the whole piece.
@@ -196,13 +274,13 @@ def align(words: list[str], lo: int, hi: int, template: Template, least: float,
         for end in ends:
             pairs = patience(words[s:end], template.words, s)
             if pairs and len(pairs) >= least * n and (best is None or len(pairs) > best[2]):
-                best = pairs[0][0], pairs[-1][0] + 1, len(pairs)
+                best = pairs[0][0], pairs[-1][0] + 1, len(pairs), frozenset(words[i] for i, _ in pairs)
         return best
 
     cuts = sorted({lo, *beginnings(words, lo, hi, template, gap), hi})
     open_: list[tuple[int, int]] = []
 
-    def joined() -> Iterator[tuple[int, int, int]]:
+    def joined() -> Iterator[tuple[int, int, int, frozenset]]:
         """Copies in pieces that hold none by themselves, two neighbours together, else all."""
         k = 0
         hit = False
@@ -229,9 +307,13 @@ class Scanner:
         self.least, self.gap = least, gap
         self.templates = [Template(name, [w for w, _, _ in tokens(t)]) for name, t in templates.items()]
         self.known = frozenset().union(*(t.counts for t in self.templates))
+        # Of each template, the words that tell it from each template alike.
+        self.marks = {t.name: [marks for u in self.templates if u is not t and (t.counts & u.counts).total() >= ALIKE * min(len(t.words), len(u.words))
+                               and (marks := frozenset(t.counts.keys() - u.counts.keys()))] for t in self.templates}
 
     def scan(self, text: str) -> list[dict]:
-        """Found licenses in order; of overlapping ones that with most aligned words, then the best covered, stays."""
+        """Found licenses in order. Of overlapping ones, a template all of whose words that tell it from one alike are missing
+        comes last; then that with most aligned words, then the best covered, stays."""
         placed = tokens(text)
         words = [w for w, _, _ in placed]
         there = Counter(filter(self.known.__contains__, words))
@@ -240,14 +322,15 @@ class Scanner:
             # Distinct words first: at least so many of a copy's are there.
             if there.total() >= self.least * len(t.words) and len(there.keys() & t.counts.keys()) >= len(t.counts) - (1 - self.least) * len(t.words) and t.possible(there, self.least):
                 for lo, hi in regions(words, t, self.least, self.gap):
-                    found += [(n, n / len(t.words), t.name, s, e) for s, e, n in align(words, lo, hi, t, self.least, self.gap)]
+                    found += [(n, n / len(t.words), t.name, s, e, any(own.isdisjoint(marks) for marks in self.marks[t.name]))
+                              for s, e, n, own in align(words, lo, hi, t, self.least, self.gap)]
         kept: list[tuple] = []
         taken: set[int] = set()
-        for x in sorted(found, key=lambda x: (-x[0], -x[1], x[2], x[3])):
+        for x in sorted(found, key=lambda x: (x[5], -x[0], -x[1], x[2], x[3])):
             if taken.isdisjoint(range(x[3], x[4])):
                 taken.update(range(x[3], x[4]))
                 kept.append(x)
-        return [{"license": name, "start": placed[s][1], "end": placed[e - 1][2], "coverage": round(c, 6)} for _, c, name, s, e in sorted(kept, key=lambda x: x[3])]
+        return [{"license": name, "start": placed[s][1], "end": placed[e - 1][2], "coverage": round(c, 6)} for _, c, name, s, e, _ in sorted(kept, key=lambda x: x[3])]
 
 
 def license_spans(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = COVERAGE, gap: int = GAP) -> DataFrame:

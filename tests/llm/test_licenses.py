@@ -78,3 +78,57 @@ def test_insertions_missing_words_and_neighbouring_copies():
 def test_gaps_without_anchors_are_aligned():
     assert L.patience(list("abab"), list("xababy")) == [(0, 1), (1, 2), (2, 3), (3, 4)]
     assert len(L.patience(list("1abcabc2"), list("3abxcabxc4"))) == 6
+
+
+def length(a, b):
+    best = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b):
+            before, best[j + 1] = best[j + 1], before + 1 if x == y else max(best[j], best[j + 1])
+    return best[-1]
+
+
+def test_gaps_without_anchors_are_aligned_whatever_their_size():
+    rnd = random.Random(5)
+    for n in (5, 60, 300):
+        for words in ("ab", "abcdefgh"):
+            a, b = ([rnd.choice(words) for _ in range(rnd.randint(n // 2, n))] for _ in range(2))
+            pairs = L.common(a, b, 0, len(a), 0, len(b))
+            assert len(pairs) == length(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
+    two = ["x", "y"] * 100
+    assert len(L.patience(two, two[1:])) == 199
+
+
+def test_every_template_is_found_whole_and_edited():
+    scanner = L.Scanner(L.TEMPLATES, L.COVERAGE, L.GAP)
+    for name, text in L.TEMPLATES.items():
+        [found] = scanner.scan(f"{soup(1, 40)}\n{text}\n{soup(2, 40)}")
+        assert (found["license"], found["coverage"]) == (name, 1.0)
+        words = text.split()
+        if len(words) >= 40:  # every 25th word goes, another comes now and then
+            edited = " ".join(w if k % 25 else "zork" * (k % 2) for k, w in enumerate(words, 1))
+            [found] = scanner.scan(f"{soup(3, 40)}\n{edited}\n{soup(4, 40)}")
+            assert found["license"] == name and 0.8 <= found["coverage"] < 1
+
+
+def test_a_template_without_its_distinguishing_words_does_not_win():
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    for words, name in ((("library", "Lesser ", "2.1"), "LGPL-2.1 (notice)"), (("program", "Affero ", "3"), "AGPL-3.0 (notice)"),
+                        (("program", "", "2"), "GPL-2.0 (notice)"), (("program", "", "3"), "GPL (notice)")):
+        assert [x[0] for x in scan(gnu.format(*words))] == [name]
+    assert [x[0] for x in scan(L._BSD + L._BSD_END)] == ["BSD-2-Clause (text)"]
+
+
+def test_coverage_is_the_longest_common_subsequence_of_short_templates():
+    """Against plain dynamic programming: patience alignment may find less than the longest, never more, and nearly all."""
+    rnd, scanner = random.Random(6), L.Scanner({"MIT (text)": MIT}, 0.5, L.GAP)
+    template = [w for w, _, _ in L.tokens(MIT)]
+    for _ in range(30):
+        words = [w for w in template if rnd.random() > 0.2]
+        for _ in range(5):
+            words.insert(rnd.randrange(len(words)), rnd.choice(["other", "the", "software"]))
+        [found] = scanner.scan(" ".join(words))
+        best = length(words, template) / len(template)
+        assert best - 0.06 <= found["coverage"] <= best + 1e-6
