@@ -17,11 +17,13 @@ import json
 import mmap
 import struct
 import tempfile
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +40,9 @@ _MARKS = frozenset(".,;:!?")
 #: Most words in the automaton, and so its size (some 3 MB) and the rows that the driver takes.
 LEXICON_WORDS = 100_000
 #: Most entries of one generation of a worker's memo.
-MEMO = 250_000
+MEMO = 350_000
+#: Most beginnings of words whose place in the automaton a worker remembers.
+JUMPS = 30_000
 #: Distinct pieces that a counting task holds before it hands them on.
 COUNTED = 200_000
 
@@ -115,14 +119,17 @@ def compile_lexicon(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
     """Minimal acyclic transducer of sorted distinct (word, ids), as one block to be memory-mapped.
 
     Layout, 32-bit little endian but for the labels: nodes, arcs, words, ids,
-    root; per node its first arc (one more at the end) and whether a word ends
+    root, size of the filter; per node its first arc (one more at the end) and whether a word ends
     there; per arc its target and how many words it skips; per word where its
-    ids begin (one more at the end); ids; then a byte label per arc.
+    ids begin (one more at the end); ids; then a byte label per arc, and the filter,
+    a bit table of word hashes that rules out most words that aren't held.
     """
     register: dict[tuple, int] = {}
     nodes: list[tuple[bool, tuple]] = []  # done nodes: final, ((label, target), ...)
     open_nodes: list[list] = [[False, []]]  # on the path of the last word
     last, starts, ids = b"", [0], []
+    words = list(words)
+    bits = bytearray(1 << max(4, (2 * len(words)).bit_length()))  # 16 bits a word at least
 
     def close(depth: int) -> None:
         while len(open_nodes) > depth + 1:
@@ -134,6 +141,8 @@ def compile_lexicon(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
             open_nodes[-1][1][-1] = (open_nodes[-1][1][-1][0], register[key])
 
     for word, own in words:
+        at = xxhash.xxh3_64_intdigest(word) % (8 * len(bits))
+        bits[at >> 3] |= 1 << (at & 7)
         same = 0
         while same < min(len(word), len(last)) and word[same] == last[same]:
             same += 1
@@ -160,9 +169,9 @@ def compile_lexicon(words: Iterable[tuple[bytes, list[int]]]) -> bytes:
         below.append(n)
         first.append(len(labels))
     ends = [int(final) for final, _ in nodes]
-    head = [len(nodes), len(labels), len(starts) - 1, len(ids), len(nodes) - 1]
+    head = [len(nodes), len(labels), len(starts) - 1, len(ids), len(nodes) - 1, len(bits)]
     whole = [*head, *first, *ends, *targets, *skips, *starts, *ids]
-    return struct.pack(f"<{len(whole)}I", *whole) + bytes(labels)
+    return struct.pack(f"<{len(whole)}I", *whole) + bytes(labels) + bytes(bits)
 
 
 class Lexicon:
@@ -173,29 +182,58 @@ class Lexicon:
             f.write(block)
             f.flush()
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
-        n, arcs, words, ids, self._root = struct.unpack_from("<5I", self._map)
-        at, view = 20, memoryview(self._map)
+        n, arcs, words, ids, self._root, bits = struct.unpack_from("<6I", self._map)
+        at, view = 24, memoryview(self._map)
         for name, size in (("_first", n + 1), ("_ends", n), ("_targets", arcs), ("_skips", arcs), ("_starts", words + 1), ("_ids", ids)):
             setattr(self, name, view[at : at + 4 * size].cast("I"))
             at += 4 * size
         self._labels = at
+        self._filter, self._bits = view[at + arcs : at + arcs + bits], 8 * bits
+        # Where the first bytes of words lead: (node, words skipped); a bounded number of them.
+        self._jumps: dict[bytes, tuple[int, int] | None] = {}
 
-    def get(self, word: bytes) -> list[int] | None:
-        node, number, find, base, first = self._root, 0, self._map.find, self._labels, self._first
+    def _walk(self, word: bytes, node: int, number: int) -> tuple[int, int] | None:
+        find, base, first, skips, targets = self._map.find, self._labels, self._first, self._skips, self._targets
         for i in range(len(word)):
-            arc = find(word[i : i + 1], base + first[node], base + first[node + 1])
+            arc = find(word[i : i + 1], base + first[node], base + first[node + 1]) - base
             if arc < 0:
                 return None
-            number += self._skips[arc - base]
-            node = self._targets[arc - base]
-        if not self._ends[node]:
+            number += skips[arc]
+            node = targets[arc]
+        return node, number
+
+    def get(self, word: bytes) -> list[int] | None:
+        at = xxhash.xxh3_64_intdigest(word) % self._bits
+        if not self._filter[at >> 3] >> (at & 7) & 1:
+            return None
+        head = word[:4]
+        if (jump := self._jumps.get(head, self)) is self:
+            if len(self._jumps) >= JUMPS:
+                self._jumps.clear()
+            jump = self._jumps[head] = self._walk(head, self._root, 0)
+        found = jump and self._walk(word[4:], *jump)
+        if not found or not self._ends[found[0]]:
             return None
-        return self._ids[self._starts[number] : self._starts[number + 1]].tolist()
+        return self._ids[self._starts[found[1]] : self._starts[found[1] + 1]].tolist()
+
+
+#: ASCII white space but the space, and what the pattern may take for it; next to a space it makes that no lone one.
+_BESIDE = "".join(map(chr, (*range(0x09, 0x0E), *range(0x1C, 0x20))))
+#: White space beyond ASCII, rare enough to leave such texts to the pattern.
+_WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+
+
+def _lone(text: str) -> bool:
+    """Whether each space of a text stands between two other characters than white space."""
+    if text.isascii() or not any(c in text for c in _WIDE):
+        beside = any(c in text and (f" {c}" in text or f"{c} " in text) for c in _BESIDE)
+        return not (beside or text[:1] == " " or text[-1:] == " " or "  " in text)
+    return not OTHER_SPACE.search(text)
 
 
 def spans(text: str) -> list[str]:
     """`text` cut before lone spaces; all but the first part come without theirs."""
-    return LONE_SPACE.split(text) if OTHER_SPACE.search(text) else text.split(" ")
+    return text.split(" ") if _lone(text) else LONE_SPACE.split(text)
 
 
 _PIECES = regex.compile(PIECES)
@@ -218,35 +256,56 @@ class Codec:
         self.vocabulary, self.lexicon = vocabulary, Lexicon(block)
         self._special = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(vocabulary["specials"], key=len, reverse=True)) or r"(?!)")
         self._bytes = [vocabulary["bytes"].get(i, b"") for i in range(max(vocabulary["bytes"]) + 1)]
+        self._marks = {m: struct.pack("<I", vocabulary["single"][ord(m)]) for m in _MARKS}
+        # Ids of spans behind a lone space, by the span without it: two generations of bounded size.
         self._new: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._pieces: dict[str, bytes] = {}  # and of other pieces
 
     def _span(self, span: str) -> bytes:
-        """Ids of a span as little-endian 32-bit integers."""
-        if (got := self._old.get(span)) is None:
-            got = b"".join([self._new.get(p) or self._piece(p) for p in pieces(span)])
+        """Ids of a span behind a lone space, as little-endian 32-bit integers."""
+        if (got := self._old.get(span)) is not None:
+            return self._remember(span, got)
+        if (mark := self._marks.get(span[-1:])) and (word := span[:-1]).isalpha():
+            # A word and a mark: only the word is remembered, so that the memo holds each word once; both, if it is known.
+            if (got := self._new.get(word)) is not None:
+                return self._remember(span, got + mark)
+            return self._span(word) + mark
+        if span.isalpha():
+            got = self._ids(f" {span}")
+        else:
+            got = b"".join([self._piece(p) for p in pieces(f" {span}")])
         return self._remember(span, got)
 
     def _piece(self, piece: str) -> bytes:
-        if (got := self._old.get(piece)) is None:
-            word = piece.encode()
-            ids = self.lexicon.get(word) or merge(word, self.vocabulary)
-            got = struct.pack(f"<{len(ids)}I", *ids)
-        return self._remember(piece, got)
-
-    def _remember(self, text: str, ids: bytes) -> bytes:
-        """Memo of two generations of bounded size."""
-        if len(text) <= 100:
+        """Ids of one of several pieces: a word behind a space is a span of its own."""
+        if piece[:1] == " " and (word := piece[1:]).isalpha():
+            return self._new.get(word) or self._span(word)
+        if (got := self._pieces.get(piece)) is None:
+            got = self._ids(piece)
+            if len(piece) <= 100:
+                if len(self._pieces) >= MEMO // 4:
+                    self._pieces.clear()
+                self._pieces[piece] = got
+        return got
+
+    def _ids(self, piece: str) -> bytes:
+        word = piece.encode()
+        ids = self.lexicon.get(word) or merge(word, self.vocabulary)
+        return array("I", ids).tobytes()
+
+    def _remember(self, span: str, ids: bytes) -> bytes:
+        if len(span) <= 100:
             if len(self._new) >= MEMO:
                 self._old, self._new = self._new, {}
-            self._new[text] = ids
+            self._new[span] = ids
         return ids
 
     def _plain(self, text: str) -> bytes:
-        parts = spans(text)
-        parts[1:] = [" " + x for x in parts[1:]]
-        known = self._new.get
-        return b"".join([known(x) or self._span(x) for x in parts])
+        first, *parts = spans(text)
+        known, span = self._new.get, self._span
+        head = b"".join([self._piece(p) for p in pieces(first)]) if first else b""
+        return head + b"".join([known(x) or span(x) for x in parts])
 
     def encode(self, text: str) -> bytes:
         if not self._special.search(text):
@@ -269,27 +328,25 @@ def piece_counts(docs: DataFrame) -> DataFrame:
     """(piece, n) over whole texts. A task counts spans first, then the pieces of its distinct spans."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def all_pieces(heads: Counter, others: Counter) -> Iterator[tuple]:
+        def all_pieces(heads: Counter, others: Counter) -> Iterator[pa.RecordBatch]:
             found: Counter = Counter()
             for held, before in ((heads, ""), (others, " ")):
                 for span, n in held.items():
                     for piece in pieces(before + span):
                         found[piece] += n
                 held.clear()
-            yield from found.items()
-
-        def rows() -> Iterator[tuple]:
-            _CODECS.clear()  # a worker's codec of an earlier lexicon and its memo go before new counts are held
-            heads, others = Counter(), Counter()
-            for (text,) in rows_of(batches, "text"):
-                parts = spans(text)
-                heads[parts[0]] += 1
-                others.update(parts[1:])
-                if len(heads) + len(others) >= COUNTED:
-                    yield from all_pieces(heads, others)
-            yield from all_pieces(heads, others)
-
-        yield from batches_of(rows(), pa.schema([("piece", pa.string()), ("n", pa.int64())]), 20_000)
+            whole = pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["piece", "n"])
+            yield from (whole.slice(at, 20_000) for at in range(0, len(found), 20_000))
+
+        _CODECS.clear()  # a worker's codec of an earlier lexicon and its memo go before new counts are held
+        heads, others = Counter(), Counter()
+        for (text,) in rows_of(batches, "text"):
+            parts = spans(text)
+            heads[parts[0]] += 1
+            others.update(parts[1:])
+            if len(heads) + len(others) >= COUNTED:
+                yield from all_pieces(heads, others)
+        yield from all_pieces(heads, others)
 
     counted = texts(docs).select("text").mapInArrow(count, "piece string, n long")
     return counted.where("piece != ''").groupBy("piece").agg(F.sum("n").alias("n"))
