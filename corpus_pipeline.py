@@ -3,7 +3,7 @@
 Each stage takes all that its predecessor kept and returns the columns of
 `documents`, the last one digests of each document's ids. Stages are written as
 Parquet to the shared folder and read again, so that a lost executor never
-repeats an earlier one.
+repeats an earlier one; a stage's own tables go when its output is written.
 
 Null texts have no language and go in the first stage. A document that line
 dedup empties stays, with an empty text. An empty table passes through.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lapse.llm import bpe, decontam, langid, line_dedup, near_dedup
 from lapse.llm.common import read
 from lapse.llm.queries import tokenizer_path
-from lapse.session import materialize
+from lapse.session import drop_tables, intermediate_scope, materialize
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +60,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with intermediate_scope() as written:
+            docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        # The stage's table is written last; nothing reads its own tables, or the stage before it, any more.
+        *inner, own = written
+        drop_tables(spark, [*inner, *before])
+        before = [own]
     return STAGES[-1][1](spark, docs, sf_dir)
