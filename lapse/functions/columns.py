@@ -12,6 +12,14 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def rounded_mean(c: str, digits: int = 2) -> Column:
+    """Mean rounded half-up, whatever order the rows are added in: of decimals, as long as every value is one of at most
+    eighteen digits before the point and ten behind it; else of doubles."""
+    exact = col(c).try_cast("decimal(28,10)")
+    return (F.when(F.count(exact) == F.count(col(c)), F.round(F.avg(exact), digits).cast("double"))
+            .otherwise(round_half_up(F.avg(col(c)), digits)))
+
+
 def round_half_up(c: str | Column, digits: int = 2) -> Column:
     """floor(x * 10^d + 0.5) / 10^d as double: the same bits in every engine."""
     scale = float(10 ** digits)

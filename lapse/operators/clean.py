@@ -15,10 +15,15 @@ from lapse.functions.columns import strip_ws
 NUMBER = r"^[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 
 
-def coerce_total_charges(df: DataFrame) -> DataFrame:
-    """Text -> double; whatever isn't a decimal number becomes NULL (try_cast never throws under ANSI)."""
+def total_charges_number() -> Column:
+    """TotalCharges as a double; NULL for whatever isn't a decimal number (try_cast never throws under ANSI)."""
     text = F.trim(F.col("TotalCharges").cast("string"))
-    return df.withColumn("TotalCharges", F.when(text.rlike(NUMBER), text.try_cast("double")))
+    return F.when(text.rlike(NUMBER), text.try_cast("double"))
+
+
+def coerce_total_charges(df: DataFrame) -> DataFrame:
+    """Text -> double; whatever isn't a decimal number becomes NULL."""
+    return df.withColumn("TotalCharges", total_charges_number())
 
 
 def impute_total_charges(df: DataFrame) -> DataFrame:

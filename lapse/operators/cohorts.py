@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lapse.functions.columns import round_half_up
-
+from lapse.functions.columns import round_half_up, rounded_mean
+from lapse.operators.quantile import with_median
 
 
 def _status():
@@ -97,12 +97,11 @@ def service_adoption_vs_churn(df: DataFrame) -> DataFrame:
 
 
 def revenue_lifecycle(df: DataFrame) -> DataFrame:
-    """Per tenure month: mean, median and count of MonthlyCharges (median map bounded by distinct cents)."""
-    return (df.where(F.col("tenure").isNotNull()).groupBy("tenure")
-            .agg(round_half_up(F.avg("MonthlyCharges"), 4).alias("avg_charge"),
-                 F.median("MonthlyCharges").alias("median_charge"),
-                 F.count(F.lit(1)).alias("count"))
-            .orderBy("tenure"))
+    """Per tenure month: mean, exact median and count of MonthlyCharges."""
+    known = df.where(F.col("tenure").isNotNull())
+    summary = known.groupBy("tenure").agg(rounded_mean("MonthlyCharges", 4).alias("avg_charge"), F.count(F.lit(1)).alias("count"))
+    return (with_median(summary, known, ["tenure"], "MonthlyCharges", "median_charge")
+            .select("tenure", "avg_charge", "median_charge", "count").orderBy("tenure"))
 
 
 def cohort_churn_table(df: DataFrame) -> DataFrame:
@@ -124,9 +123,9 @@ def insight_table(df: DataFrame) -> DataFrame:
 def churned_vs_retained(df: DataFrame) -> DataFrame:
     return df.groupBy(_status().alias("Status")).agg(
         F.count("customerID").alias("Customers"),
-        round_half_up(F.avg("MonthlyCharges"), 2).alias("Avg_Monthly"),
+        rounded_mean("MonthlyCharges", 2).alias("Avg_Monthly"),
         round_half_up(F.avg("tenure"), 1).alias("Avg_Tenure"),
-        round_half_up(F.avg("TotalCharges"), 2).alias("Avg_Total"))
+        rounded_mean("TotalCharges", 2).alias("Avg_Total"))
 
 
 def churn_by_senior(df: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lapse.config import ID_COL
 from lapse.operators.ordered import global_rank
+from lapse.session import materialize
 
 
 def churn_probability(model_output: DataFrame, prob_col: str = "probability") -> DataFrame:
@@ -74,6 +75,14 @@ def score_model(model, features: DataFrame, threshold: float, model_name: str, p
     return score_frame(out, threshold, model_name, partitions, rank)
 
 
+def score_once(model, features: DataFrame, threshold: float, model_name: str, median_charge=None) -> DataFrame:
+    """Scored and segmented rows, written: what reads them, a range pass that samples its input among it, never evaluates the
+    model again."""
+    from lapse.operators.segments import assign_segments
+    scored = score_model(model, features, threshold, model_name, rank=False)
+    return materialize(assign_segments(scored, median_charge=median_charge), "model-scored")
+
+
 def score_summary(scored: DataFrame) -> DataFrame:
     """One-row KPI strip: totals, high-risk share, revenue at risk, actual rate, top-segment count."""
     has_label = "Churn" in scored.columns

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lapse.config import HIGH_VALUE_PERCENTILE, ID_COL, SEGMENTS
 from lapse.operators.clean import quantiles
 from lapse.operators.ordered import top_n
+from lapse.operators.quantile import with_median
 
 SEGMENT_DIM_SCHEMA = ("risk_tier string, value_tier string, segment_label string, segment_priority int, "
                       "recommended_action string, segment_color string")
@@ -31,14 +32,16 @@ def assign_segments(scored: DataFrame, median_charge=None, approx: bool = False)
 
 
 def segment_summary(scored: DataFrame) -> DataFrame:
-    """count, mean p, sum rar, mean charge, median tenure per segment (2 dp, half-up)."""
+    """count, mean p, sum rar, mean charge, exact median tenure per segment (2 dp, half-up)."""
     from lapse.functions.columns import round_half_up as r
-    return (scored.groupBy("segment_label", "segment_priority", "segment_color")
-            .agg(F.count(ID_COL).alias("customers"),
-                 r(F.avg("churn_probability"), 2).alias("avg_churn_prob"),
-                 r(F.sum("revenue_at_risk"), 2).alias("total_revenue_at_risk"),
-                 r(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges"),
-                 r(F.median("tenure"), 2).alias("median_tenure"))
+    from lapse.functions.columns import rounded_mean
+    own = ["segment_label", "segment_priority", "segment_color"]
+    summary = scored.groupBy(*own).agg(
+        F.count(ID_COL).alias("customers"),
+        r(F.avg("churn_probability"), 2).alias("avg_churn_prob"),
+        r(F.sum("revenue_at_risk"), 2).alias("total_revenue_at_risk"),
+        rounded_mean("MonthlyCharges", 2).alias("avg_monthly_charges"))
+    return (with_median(summary, scored, own, "tenure", "median_tenure").withColumn("median_tenure", r("median_tenure", 2))
             .orderBy("segment_priority", "segment_label"))
 
 
@@ -68,12 +71,12 @@ def segment_exposure(scored: DataFrame) -> DataFrame:
 
 
 def segment_kpis(scored: DataFrame) -> DataFrame:
-    """Per segment: count, mean p, sum rar, median charge."""
-    return (scored.groupBy("segment_label")
-            .agg(F.count(ID_COL).alias("customers"),
-                 F.avg("churn_probability").alias("avg_churn_prob"),
-                 F.sum("revenue_at_risk").alias("total_revenue_at_risk"),
-                 F.median("MonthlyCharges").alias("median_monthly_charges")))
+    """Per segment: count, mean p, sum rar, exact median charge."""
+    summary = scored.groupBy("segment_label").agg(
+        F.count(ID_COL).alias("customers"),
+        F.avg("churn_probability").alias("avg_churn_prob"),
+        F.sum("revenue_at_risk").alias("total_revenue_at_risk"))
+    return with_median(summary, scored, ["segment_label"], "MonthlyCharges", "median_monthly_charges")
 
 
 def top_customers(scored: DataFrame, n: int, segment: str | None = None, per_segment: bool = False,

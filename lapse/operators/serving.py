@@ -17,6 +17,9 @@ from lapse.operators.clean import quantiles
 from lapse.operators.scoring import missing_input
 from lapse.operators.segments import segment_dim
 
+#: Raw columns that every model input follows from; an arrival that lacks one can't be scored.
+ARRIVAL_INPUTS = ["tenure", "MonthlyCharges", "SeniorCitizen"]
+
 
 def factor_conditions(median_charge) -> list[Column]:
     """The eight risk-factor conditions, in RISK_FACTORS order."""
@@ -73,7 +76,7 @@ def score_arrivals(raw: DataFrame, model, threshold: float, high_value_cut: floa
     from pyspark.ml.functions import vector_to_array
     # As in the batch path, rows that lack a model input are left out. Every model column follows from these raw ones
     # (TotalCharges is imputed, categories become flags), so the test stays a filter on the scan.
-    feats = prepare_arrivals(raw.where(~missing_input(["tenure", "MonthlyCharges", "SeniorCitizen"])), high_value_cut, feature_cols)
+    feats = prepare_arrivals(raw.where(~missing_input(ARRIVAL_INPUTS)), high_value_cut, feature_cols)
     out = model.transform(feats)
     p = vector_to_array(F.col("probability"))[1]
     scored = out.select(

@@ -26,7 +26,7 @@ from lapse.operators import segments as SG
 from lapse.operators import split as SP
 from lapse.operators import train as T
 from lapse.sources import files as IO
-from lapse.session import drop_tables, intermediate_scope, materialize
+from lapse.session import drop_tables, intermediate_scope
 from lapse.sources import fixture
 
 
@@ -51,7 +51,12 @@ def _run(spark: SparkSession, out_root: str, sf_dir: str | None, raw_path: str |
          ["cleaned", "features", "split", "models", "model_results", "importance", "scored", "scenarios", "summary"]}
 
     raw = fixture.customers(spark, sf_dir) if sf_dir else IO.load_raw(spark, raw_path, raw_format)
-    IO.write_layer(C.clean(IO.validate(raw)), p["cleaned"])
+    # Counts come with the writes that are run anyway.
+    raw, seen_raw = IO.counted(IO.validate(raw), ("without_id", F.col(K.ID_COL).isNull()),
+                               ("without_number_in_total_charges", C.total_charges_number().isNull()),
+                               ("without_label", F.col(K.TARGET_COL).isNull()))
+    cleaned, seen_cleaned = IO.counted(C.clean(raw), ("outliers", F.col("is_charges_outlier") == 1))
+    IO.write_layer(cleaned, p["cleaned"])
     cleaned = IO.read_layer(spark, p["cleaned"], "cleaning")
 
     IO.write_layer(FE.engineer(cleaned), p["features"])
@@ -79,9 +84,10 @@ def _run(spark: SparkSession, out_root: str, sf_dir: str | None, raw_path: str |
     # model output is row for row: no join back, and the median charge comes from the features layer
     median = C.quantiles(features, "MonthlyCharges", [K.HIGH_VALUE_PERCENTILE])[0]
     # written before it is ranked: the range pass samples its input, and the model is evaluated once a row
-    segmented = materialize(SG.assign_segments(S.score_model(models[name], features, threshold, name, rank=False),
-                                               median_charge=median), "segmented")
-    IO.write_layer(S.risk_rank(segmented), p["scored"])
+    inputs, seen_inputs = IO.counted(features, ("rejected", S.missing_input(feature_cols)))
+    ranked, seen_scored = IO.counted(S.risk_rank(S.score_once(models[name], inputs, threshold, name, median)),
+                                     ("at_risk", F.col("churn_predicted") == 1))
+    IO.write_scored(ranked, p["scored"])
     scored = IO.read_layer(spark, p["scored"], "scoring")
 
     scenarios = B.budget_scenarios(scored, K.PIPELINE_BUDGETS)
@@ -91,6 +97,8 @@ def _run(spark: SparkSession, out_root: str, sf_dir: str | None, raw_path: str |
 
     return {
         "paths": p,
+        "counts": {"raw": dict(seen_raw.get), "cleaned": dict(seen_cleaned.get), "scoring_input": dict(seen_inputs.get),
+                   "scored": dict(seen_scored.get)},
         "best_model": name,
         "threshold": threshold,
         "results": [r.asDict() for r in results.collect()],             # one row per model

@@ -1,8 +1,9 @@
 """Medallion-style layers over the fixture: raw -> cleaned -> features -> scored.
 
-cleaned, features and scored are written once per session as Parquet tables
-in the shared checkpoint folder (as the batch pipeline writes its layers), so
-every query starts from a short lineage with column pruning and pushdown.
+cleaned, features, split and scored are written once per session as Parquet
+tables in the shared checkpoint folder (as the batch pipeline writes its layers),
+so every query starts from a short lineage with column pruning and pushdown. All
+four are bucketed and sorted by customerID: their joins on it need no exchange.
 """
 
 from __future__ import annotations
@@ -12,13 +13,13 @@ import threading
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lapse.config import HIGH_VALUE_PERCENTILE
+from lapse.config import HIGH_VALUE_PERCENTILE, ID_COL
 from lapse.operators import clean as C
 from lapse.operators import features as FE
 from lapse.operators import scoring as S
 from lapse.operators import segments as SG
 from lapse.operators.clean import quantiles
-from lapse.session import materialize
+from lapse.session import bucketed, materialize
 from lapse.sources import fixture
 
 TEST_THRESHOLD = 0.54
@@ -27,12 +28,16 @@ _LAYERS: dict = {}
 _LOCK = threading.RLock()
 
 
-def _layer(fn):
-    """Build a layer's plan once per (session, data folder, args) and reuse it.
+def forget(sf_dir: str | None = None) -> None:
+    """Build the layers of a data folder (or of all) anew when they are next read."""
+    with _LOCK:
+        for key in [k for k in _LAYERS if sf_dir is None or k[2] == sf_dir]:
+            del _LAYERS[key]
+
 
-    Only the lazy plan is kept (no data is cached); layers with an eager step
-    (the scored layer's rank checkpoint) therefore run that step once per session.
-    """
+def _layer(fn):
+    """Build a layer once per (session, data folder, args) and reuse it: the tables of written layers stay in the shared
+    folder until `forget`, which a change of the data folder's files calls for."""
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf_dir: str, *args, **kwargs):
         key = (fn.__name__, spark.sparkContext.applicationId, sf_dir, args, tuple(sorted(kwargs.items())))
@@ -56,12 +61,12 @@ def sql_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_layer
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(C.clean(raw(spark, sf_dir)), "cleaned")
+    return bucketed(C.clean(raw(spark, sf_dir)), "cleaned", ID_COL)
 
 
 @_layer
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialize(FE.engineer(cleaned(spark, sf_dir)), "features")
+    return bucketed(FE.engineer(cleaned(spark, sf_dir)), "features", ID_COL)
 
 
 @_layer
@@ -72,8 +77,16 @@ def scored(spark: SparkSession, sf_dir: str, threshold: float = TEST_THRESHOLD)
     # every feature row has exactly one fixture score (same customer keys), so the
     # median charge is taken from the features layer: one column scan, not a second join
     median = quantiles(feats, "MonthlyCharges", [HIGH_VALUE_PERCENTILE])[0]
-    # the rank pass writes its Parquet table once; that table is the layer
-    return S.risk_rank(SG.assign_segments(s, median_charge=median))
+    return bucketed(S.risk_rank(SG.assign_segments(s, median_charge=median)), "scored", ID_COL)
+
+
+@_layer
+def scored_by_segment(spark: SparkSession, sf_dir: str, threshold: float = TEST_THRESHOLD) -> DataFrame:
+    """The scored layer with one folder a segment: reports of one segment read that folder alone."""
+    from lapse.sources import files as IO
+    path = IO.scratch_path(spark, "scored-by-segment")
+    IO.write_scored(scored(spark, sf_dir, threshold), path)
+    return IO.read_layer(spark, path, "scoring")
 
 
 @_layer
@@ -107,7 +120,7 @@ def display(spark: SparkSession, sf_dir: str) -> DataFrame:
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(customerID, Churn, split, class_pos): the deterministic stratified split of the cleaned layer."""
     from lapse.operators import split as SP
-    return materialize(SP.stratified_split(cleaned(spark, sf_dir)), "split")
+    return bucketed(SP.stratified_split(cleaned(spark, sf_dir)), "split", ID_COL)
 
 
 @_layer

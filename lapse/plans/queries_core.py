@@ -249,7 +249,13 @@ def _assembled(spark, sf):
                     F.aggregate(arr, F.lit(0.0), lambda a, b: a + b).alias("row_sum"))
 
 
-register("c15_assembled_vectors")(_assembled)
+_MODEL_COLS = ["SeniorCitizen", "tenure", "MonthlyCharges", "TotalCharges", "Partner", "Dependents", "PhoneService", "PaperlessBilling",
+               "OnlineSecurity", "OnlineBackup", "DeviceProtection", "TechSupport", "StreamingTV", "StreamingMovies", "MultipleLines",
+               "avg_monthly_revenue", "charges_delta", "clv_estimate", "service_count", "is_autopay", "is_longterm_contract",
+               "has_internet", "is_fiber", "is_senior", *_one_hot_cols()]
+register("c15_assembled_vectors", f"""
+select customerID, cast({len(_MODEL_COLS)} as integer) as n_features,
+  cast(0.0 as double) + {' + '.join(f'cast("{c}" as double)' for c in _MODEL_COLS)} as row_sum from features""")(_assembled)
 
 register("b04_senior_int", "select customerID, cast(SeniorCitizen as integer) as SeniorCitizen from customers")(
     lambda spark, sf: CL.senior_int(FX.customers(spark, sf)).select("customerID", "SeniorCitizen"))

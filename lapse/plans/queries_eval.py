@@ -81,12 +81,12 @@ select model, threshold, tp, fp, fn, precision, recall, f1 from curve""")(
     lambda spark, sf: EV.threshold_curve(_val_scores(spark, sf).where(F.col("split") == "val")))
 
 # ---------------------------------------------------------------- F9-F13 on the test split
-_AUC = """, sg as (select model, p, count(*) as cnt, sum(label) as pos from {src} group by model, p),
-sgr as (select *, coalesce(sum(cnt) over (partition by model order by p rows between unbounded preceding and 1 preceding), 0) as below
-    from sg),
-aucs as (select model, sum(pos) as P, sum(cnt) - sum(pos) as N, sum(pos * (2 * below + cnt + 1)) as S2 from sgr group by model),
-auc as (select model, case when P > 0 and N > 0 then cast(S2 - P * (P + 1) as double) / (2.0 * cast(P as double) * cast(N as double)) end as auc
-    from aucs)"""
+_AUC = """, {n}_g as (select model, p, count(*) as cnt, sum(label) as pos from {src} group by model, p),
+{n}_r as (select *, coalesce(sum(cnt) over (partition by model order by p rows between unbounded preceding and 1 preceding), 0) as below
+    from {n}_g),
+{n}s as (select model, sum(pos) as P, sum(cnt) - sum(pos) as N, sum(pos * (2 * below + cnt + 1)) as S2 from {n}_r group by model),
+{n} as (select model, case when P > 0 and N > 0 then cast(S2 - P * (P + 1) as double) / (2.0 * cast(P as double) * cast(N as double)) end as auc
+    from {n}s)"""
 
 _TEST = "\n, vs as (select * from ms where split = 'val'), ts as (select * from ms where split = 'test')"
 
@@ -97,7 +97,7 @@ def _test_eval(spark, sf):
     return s.where(F.col("split") == "test"), th
 
 
-register("f09_metrics_table", _SPLIT + _TEST + _CURVE.format(src="vs") + _AUC.format(src="ts") + f"""
+register("f09_metrics_table", _SPLIT + _TEST + _CURVE.format(src="vs") + _AUC.format(src="ts", n="auc") + f"""
 , pr as (select ts.model, b.threshold, ts.label, case when ts.p >= b.threshold then 1 else 0 end as pred
     from ts join best b using (model)),
 c as (select model, threshold, sum(pred * label) as tp, sum(pred * (1 - label)) as fp,
@@ -109,11 +109,11 @@ select c.model, threshold, {_r('auc', 4)} as roc_auc,
   {_r('cast(tp + tn as double) / cast(tp + fp + fn + tn as double)', 4)} as accuracy
 from c join auc using (model)""")(lambda spark, sf: EV.metrics_table(*_test_eval(spark, sf)))
 
-register("f10_pick_best", _SPLIT + _TEST + _AUC.format(src="ts") + f"""
+register("f10_pick_best", _SPLIT + _TEST + _AUC.format(src="ts", n="auc") + f"""
 select model, {_r('auc', 4)} as roc_auc from auc order by roc_auc desc, model limit 1""")(
     lambda spark, sf: EV.pick_best(EV.auc(_test_eval(spark, sf)[0]).select("model", rh("auc", 4).alias("roc_auc"))))
 
-register("f09_exact_auc", _SPLIT + _TEST + _AUC.format(src="ts") + """
+register("f09_exact_auc", _SPLIT + _TEST + _AUC.format(src="ts", n="auc") + """
 select a.model, a.auc, cast(s.P as bigint) as n_pos, cast(s.N as bigint) as n_neg from auc a join aucs s using (model)""")(
     lambda spark, sf: EV.auc(_test_eval(spark, sf)[0]))
 

@@ -45,8 +45,7 @@ register("a04_features_layer", "select * from features")(_features_layer)
 
 def _scored_layer(spark, sf):
     path = IO.scratch_path(spark, "scored-layer")
-    IO.write_layer(L.scored(spark, sf).select("customerID", "churn_probability", "risk_rank", "segment_label"), path,
-                   partition_by=["segment_label"])
+    IO.write_scored(L.scored(spark, sf).select("customerID", "churn_probability", "risk_rank", "segment_label"), path)
     return IO.read_layer(spark, path, "scoring")
 
 
@@ -58,7 +57,7 @@ _EXPORT_COLS = ["customerID", "segment_label", "churn_probability", "MonthlyChar
 
 def _export(spark, sf):
     path = IO.scratch_path(spark, "segment-export")
-    IO.export_segment(L.scored(spark, sf).select(*_EXPORT_COLS), "Save Immediately", path)
+    IO.export_segment(L.scored_by_segment(spark, sf).select(*_EXPORT_COLS), "Save Immediately", path)
     return spark.read.schema("customerID string, segment_label string, churn_probability double, "
                              "MonthlyCharges double, revenue_at_risk double, recommended_action string") \
         .option("header", True).csv(path)
@@ -92,18 +91,3 @@ from scored group by segment_label""")(
     .select("segment_label", fmt_pct(round_half_up(F.col("avg_churn_prob") * 100.0, 1) / 100.0).alias("avg_churn_prob"),
             fmt_dollar(round_half_up("total_revenue_at_risk", 0), 0).alias("revenue_at_risk"),
             fmt_dollar(round_half_up("_m", 2), 2).alias("avg_monthly_charges")))
-
-
-def _stream(spark, sf):
-    """Arrivals written as Parquet files, scored by an availableNow stream into a Parquet sink."""
-    from lapse.plans.queries_models import trained
-    from lapse.streaming.scoring import score_backlog
-    t = trained(spark, sf)
-    name, threshold = t.best
-    src = IO.scratch_path(spark, "arrivals")
-    L.raw(spark, sf).drop("Churn").write.parquet(src)
-    return score_backlog(spark, src, IO.scratch_path(spark, "scored-sink"), IO.scratch_path(spark, "stream-ckpt"),
-                         t.model(name), threshold, t.median_charge, t.feature_cols, name)
-
-
-register("g25_stream_score")(_stream)

@@ -1,39 +1,62 @@
-"""Registered queries that need fitted models (rows-only checks: no SQL form).
+"""Registered queries that need models.
 
-A query fits the models it reads, with the original sizes, and no others; fits
-are shared by the queries of a session and saved in the shared folder.
+Each is registered twice: over models fitted here, with the original sizes
+(rows-only checks: a fit has no SQL form), and, named `known_...`, over models of
+known parameters, checked against SQL. A query fits the models that it reads and
+no others; fits are shared by the queries of a session and saved in the shared
+folder.
 """
 
 from __future__ import annotations
 
 import threading
+from collections.abc import Callable
 from functools import cached_property
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from lapse import config as K
+from lapse.functions.columns import round_half_up
 from lapse.operators import explain as EX
 from lapse.operators import features as FE
+from lapse.operators import scorecard as SC
 from lapse.operators import scoring as S
-from lapse.operators import segments as SG
 from lapse.operators import serving as SV
 from lapse.operators import train as T
+from lapse.plans import known_models as KM
 from lapse.plans import layers as L
+from lapse.plans import queries_eval as QE
 from lapse.plans.registry import register
 from lapse.session import materialize
+from lapse.sources import files as IO
+from lapse.streaming.scoring import score_backlog
 
 _LOCK = threading.Lock()
 _MEMO: dict = {}
 
 
+class Known(T.Fits):
+    """A training run whose models are given: every fold's is the same one."""
+
+    def __init__(self, features: DataFrame, split: DataFrame, feature_cols: list[str], profile: T.Profile, cards: dict[str, SC.Scorecard]) -> None:
+        super().__init__(features, split, feature_cols, profile)
+        self.built = {name: SC.pipeline(self.spark, card) for name, card in cards.items()}
+
+    def model(self, name: str, fold: int | None = None) -> PipelineModel:
+        return self.built[name]
+
+
 class Trained:
     """The training run of a session over a data folder: every part is made when a query first reads it."""
 
-    def __init__(self, spark: SparkSession, sf: str, profile: T.Profile):
+    def __init__(self, spark: SparkSession, sf: str, profile: T.Profile, cards: dict[str, SC.Scorecard] | None = None):
         self.features = L.features(spark, sf)
-        self.feature_cols = FE.model_columns(self.features)
-        self.fits = T.Fits(self.features, L.split(spark, sf), self.feature_cols, profile)
+        self.feature_cols = FE.model_columns(self.features) if cards is None else list(KM.FEATURES)
+        self.fits = T.Fits(self.features, L.split(spark, sf), self.feature_cols, profile) if cards is None else Known(
+            self.features, L.split(spark, sf), self.feature_cols, profile, cards)
 
     def model(self, name: str):
         return self.fits.model(name)
@@ -62,114 +85,136 @@ class Trained:
 
     @cached_property
     def scored(self) -> DataFrame:
-        """Every customer scored with the best model and segmented, written once: no reader evaluates the model again."""
+        """Every customer scored with the best model and segmented, written once."""
         name, threshold = self.best
-        s = S.score_model(self.model(name), self.features, threshold, name, rank=False)
         # scoring is row for row, so the median charge of the features layer is the scored one
-        return materialize(SG.assign_segments(s, median_charge=self.median_charge), "model-scored")
+        return S.score_once(self.model(name), self.features, threshold, name, self.median_charge)
 
 
 def trained(spark: SparkSession, sf: str, profile: T.Profile | None = None) -> Trained:
-    profile = profile or T.Profile.reference()
-    key = (spark.sparkContext.applicationId, sf, profile)
+    return _memo(spark, sf, profile or T.Profile.reference(), None)
+
+
+def known(spark: SparkSession, sf: str) -> Trained:
+    return _memo(spark, sf, T.Profile.reference(), KM.CARDS)
+
+
+def _memo(spark: SparkSession, sf: str, profile: T.Profile, cards: dict[str, SC.Scorecard] | None) -> Trained:
+    key = (spark.sparkContext.applicationId, sf, profile, cards is None)
     with _LOCK:
         if key not in _MEMO:
-            _MEMO[key] = Trained(spark, sf, profile)
+            _MEMO[key] = Trained(spark, sf, profile, cards)
         return _MEMO[key]
 
 
-register("f20_train_all")(lambda spark, sf: T.rounded_results(trained(spark, sf).results))
-register("a06_model_results")(lambda spark, sf: trained(spark, sf).results)
-register("f19_comparison_table")(lambda spark, sf: T.comparison_table(trained(spark, sf).results))
+_MODEL_QUERIES: dict[str, Callable[[Trained, SparkSession, str], DataFrame]] = {}
+
+
+def _model_query(name: str):
+    def deco(fn):
+        _MODEL_QUERIES[name] = fn
+        return fn
+    return deco
+
 
+# ---------------------------------------------------------------- scores of the test split, results, comparison
+for _name, _model in (("f03_logistic_test_scores", "logistic"), ("f04_random_forest_test_scores", "random_forest"),
+                      ("f05_gbt_test_scores", "gbt")):
+    _model_query(_name)(lambda t, spark, sf, model=_model: t.fits.scores(model, "test"))
 
-@register("f10_best_model_by_f1")
-def _best_by_f1(spark, sf) -> DataFrame:
+_model_query("f06_cv_auc")(lambda t, spark, sf: t.fits.cv_auc(t.fits.names))
+_model_query("f20_train_all")(lambda t, spark, sf: T.rounded_results(t.results))
+_model_query("a06_model_results")(lambda t, spark, sf: t.results)
+_model_query("f19_comparison_table")(lambda t, spark, sf: T.comparison_table(t.results))
+
+
+@_model_query("a06_model_results_json")
+def _results_json(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
+    path = IO.scratch_path(spark, "model-results")
+    IO.write_model_results(t.results, path)
+    return IO.read_model_results(spark, path)
+
+
+@_model_query("f10_best_model_by_f1")
+def _best_by_f1(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
     """The model of the highest test F1, by the final fits; only its own folds are fitted for its CV columns."""
-    t = trained(spark, sf)
     best = t.holdout.orderBy(F.col("test_f1").desc(), "model").limit(1)
     return t.fits.cv_auc([best.first()["model"]]).join(best, "model").select(
         "model", "cv_auc_mean", "cv_auc_std", "val_f1", "threshold", "test_auc", "test_precision", "test_recall", "test_f1")
 
 
-def _native(spark, sf) -> DataFrame:
-    t = trained(spark, sf)
+@_model_query("a08_model_roundtrip")
+def _models_roundtrip(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
+    """Save every model, load back only those present, score the test split with each."""
+    root = IO.scratch_path(spark, "models")
+    IO.save_models({name: m for (name, _), m in t.fits.models(t.fits.names).items()}, root)
+    test, out = t.fits.data.where(F.col("split") == "test"), None
+    for name, m in sorted(IO.load_models(spark, root).items()):
+        part = T.long_scores(m, test, name)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# ---------------------------------------------------------------- importances and attribution
+@_model_query("f14_native_importance")
+def _native(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
     t.fits.models(["gbt", "random_forest"])
     return (T.feature_importance(t.model("random_forest"), t.feature_cols, "Random Forest")
             .unionByName(T.feature_importance(t.model("gbt"), t.feature_cols, "Gradient Boosted Trees")))
 
 
-register("f14_native_importance")(_native)
-register("f17_logistic_coefficients")(
-    lambda spark, sf: T.logistic_coefficients(trained(spark, sf).model("logistic"), trained(spark, sf).feature_cols))
-
-
-def _tree_shap(spark, sf) -> DataFrame:
-    t = trained(spark, sf)
+@_model_query("f15_tree_shap")
+def _tree_shap(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
     return EX.tree_shap_mean_abs(t.model("gbt").stages[-1], t.features, t.feature_cols, "SHAP")
 
 
-register("f15_tree_shap")(_tree_shap)
-register("f15_linear_shap")(
-    lambda spark, sf: EX.linear_shap_mean_abs(trained(spark, sf).model("logistic"), trained(spark, sf).features,
-                                              trained(spark, sf).feature_cols))
-register("a07_importance_table")(lambda spark, sf: _native(spark, sf).unionByName(_tree_shap(spark, sf)))
-register("f18_top_shap_features")(lambda spark, sf: T.top_importance(_tree_shap(spark, sf), "SHAP"))
-
-
-register("g01_model_churn_probability")(
-    lambda spark, sf: trained(spark, sf).scored.select(K.ID_COL, "churn_probability", "scoring_model"))
-register("g05_model_score_all")(
-    lambda spark, sf: S.risk_rank(trained(spark, sf).scored.select(
-        K.ID_COL, "churn_probability", "churn_predicted", "revenue_at_risk", "segment_label"))
-    .select(K.ID_COL, "churn_probability", "churn_predicted", "revenue_at_risk", "risk_rank", "segment_label"))
-
-
-def _arrivals(spark, sf) -> DataFrame:
-    """New arrivals = the raw-shaped rows of the table, scored with frozen training constants."""
-    t = trained(spark, sf)
-    raw = L.raw(spark, sf).drop("Churn")
-    name, threshold = t.best
-    return SV.score_arrivals(raw, t.model(name), threshold, t.median_charge, t.feature_cols, name)
+_model_query("f15_linear_shap")(lambda t, spark, sf: EX.linear_shap_mean_abs(t.model("logistic"), t.features, t.feature_cols))
+_model_query("f17_logistic_coefficients")(lambda t, spark, sf: T.logistic_coefficients(t.model("logistic"), t.feature_cols))
+_model_query("f18_top_shap_features")(lambda t, spark, sf: T.top_importance(_tree_shap(t, spark, sf), "SHAP"))
 
 
-register("g25_score_new")(_arrivals)
+@_model_query("a07_importance_table")
+def _importance_table(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
+    """The importance blocks written as one table and read back."""
+    path = IO.scratch_path(spark, "importance")
+    IO.write_importance([_native(t, spark, sf), _tree_shap(t, spark, sf)], path)
+    return IO.read_importance(spark, path)
 
 
-def _model_test_scores(name):
-    def build(spark, sf):
-        return trained(spark, sf).fits.scores(name, "test")
-    return build
+# ---------------------------------------------------------------- scoring with the best model
+_model_query("g01_model_churn_probability")(lambda t, spark, sf: t.scored.select(K.ID_COL, "churn_probability", "scoring_model"))
 
 
-register("f03_logistic_test_scores")(_model_test_scores("logistic"))
-register("f04_random_forest_test_scores")(_model_test_scores("random_forest"))
-register("f05_gbt_test_scores")(_model_test_scores("gbt"))
+@_model_query("g05_model_score_all")
+def _score_all(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
+    own = [K.ID_COL, "churn_probability", "churn_predicted", "revenue_at_risk", "segment_label"]
+    return S.risk_rank(t.scored.select(own)).select(*own[:4], "risk_rank", "segment_label")
 
 
-def _results_json(spark, sf):
-    from lapse.sources import files as IO
-    path = IO.scratch_path(spark, "model-results")
-    IO.write_model_results(trained(spark, sf).results, path)
-    return IO.read_model_results(spark, path)
+@_model_query("g25_score_new")
+def _arrivals(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
+    """New arrivals = the raw-shaped rows of the table, scored with frozen training constants."""
+    name, threshold = t.best
+    return SV.score_arrivals(L.raw(spark, sf).drop("Churn"), t.model(name), threshold, t.median_charge, t.feature_cols, name)
 
 
-register("a06_model_results_json")(_results_json)
+@_model_query("g25_stream_score")
+def _stream(t: Trained, spark: SparkSession, sf: str) -> DataFrame:
+    """Arrivals written as Parquet files, scored by an availableNow stream into a Parquet sink."""
+    name, threshold = t.best
+    src = IO.scratch_path(spark, "arrivals")
+    L.raw(spark, sf).drop("Churn").write.parquet(src)
+    return score_backlog(spark, src, IO.scratch_path(spark, "scored-sink"), IO.scratch_path(spark, "stream-ckpt"),
+                         t.model(name), threshold, t.median_charge, t.feature_cols, name)
 
 
-def _models_roundtrip(spark, sf):
-    """Save every fitted model, load back only those present, score the test split with each."""
-    from lapse.sources import files as IO
-    t = trained(spark, sf)
-    root = IO.scratch_path(spark, "models")
-    IO.save_models({name: m for (name, _), m in t.fits.models(t.fits.names).items()}, root)
-    loaded = IO.load_models(spark, root)
-    test = t.fits.data.where(F.col("split") == "test")
-    out = None
-    for name, m in sorted(loaded.items()):
-        part = T.long_scores(m, test, name)
-        out = part if out is None else out.unionByName(part)
-    return out
+def _rounded(df: DataFrame) -> DataFrame:
+    """Doubles at nine digits: engines differ in the last bits of exp and of sums."""
+    return df.select(*(round_half_up(f.name, 9).alias(f.name) if isinstance(f.dataType, Ty.DoubleType) else F.col(f.name)
+                       for f in df.schema.fields))
 
 
-register("a08_model_roundtrip")(_models_roundtrip)
+_ORACLES = KM.oracles(QE._SPLIT, QE._CURVE, QE._AUC)
+for _name, _fn in _MODEL_QUERIES.items():
+    register(_name)(lambda spark, sf, fn=_fn: fn(trained(spark, sf), spark, sf))
+    register(f"known_{_name}", _ORACLES[_name])(lambda spark, sf, fn=_fn: _rounded(fn(known(spark, sf), spark, sf)))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lapse.config import ADOPTION_SERVICES
-from lapse.functions.columns import rate_pct, round_half_up, tenure_band_sql
+from lapse.functions.columns import rate_pct, round_half_up, rounded_mean, tenure_band_sql
 
 
 
@@ -27,7 +27,7 @@ def overall_churn(c: DataFrame) -> DataFrame:
 def revenue_at_risk_actual(c: DataFrame) -> DataFrame:
     churned = c.where(F.col("Churn") == "Yes")
     return churned.agg(round_half_up(F.sum("MonthlyCharges"), 2).alias("total_monthly_revenue_at_risk"),
-                       round_half_up(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges_churned"),
+                       rounded_mean("MonthlyCharges", 2).alias("avg_monthly_charges_churned"),
                        F.count(F.lit(1)).alias("churned_customers"))
 
 
@@ -49,8 +49,8 @@ def churn_by_tenure_band(c: DataFrame) -> DataFrame:
 def churned_vs_retained(c: DataFrame) -> DataFrame:
     return c.groupBy(F.col("Churn").alias("churn_status")).agg(
         F.count(F.lit(1)).alias("customers"),
-        round_half_up(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges"),
-        round_half_up(F.avg("TotalCharges"), 2).alias("avg_total_charges"),
+        rounded_mean("MonthlyCharges", 2).alias("avg_monthly_charges"),
+        rounded_mean("TotalCharges", 2).alias("avg_total_charges"),
         round_half_up(F.avg("tenure"), 1).alias("avg_tenure_months"))
 
 
@@ -85,7 +85,7 @@ def cohort_matrix(c: DataFrame) -> DataFrame:
 def clv_by_contract(c: DataFrame) -> DataFrame:
     return (c.where(F.col("Churn") == "No").groupBy("Contract")
             .agg(F.count(F.lit(1)).alias("customers"),
-                 round_half_up(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges"),
+                 rounded_mean("MonthlyCharges", 2).alias("avg_monthly_charges"),
                  round_half_up(F.avg("tenure"), 1).alias("avg_tenure"),
                  round_half_up(F.avg("MonthlyCharges") * 24, 2).alias("estimated_24mo_clv"))
             .orderBy(F.col("estimated_24mo_clv").desc()))
@@ -94,7 +94,7 @@ def clv_by_contract(c: DataFrame) -> DataFrame:
 def senior_comparison(c: DataFrame) -> DataFrame:
     return (c.groupBy("SeniorCitizen")
             .agg(F.count(F.lit(1)).alias("customers"),
-                 round_half_up(F.avg("MonthlyCharges"), 2).alias("avg_monthly_charges"),
+                 rounded_mean("MonthlyCharges", 2).alias("avg_monthly_charges"),
                  rate_pct(_churned(), F.count(F.lit(1)), 2).alias("churn_rate_pct"))
             .select(F.when(F.col("SeniorCitizen") == 1, "Senior").otherwise("Non-Senior").alias("segment"),
                     "customers", "avg_monthly_charges", "churn_rate_pct"))

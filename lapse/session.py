@@ -91,6 +91,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int | None = None, row_group_bytes: int | None = None) -> DataFrame:
+    """Write `df` as a catalog table in the shared folder, bucketed and sorted by `key`, and read it.
+
+    Tables of one key and number of buckets (by default the session's shuffle partitions) are joined on it without an
+    exchange; a lookup of keys reads their buckets alone, and in them, by sorted ranges and bloom filters, few row groups."""
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"lapse_{re.sub('[^a-z0-9]', '_', name.lower())}_{uuid.uuid4().hex}"
+    path = os.path.join(ensure_checkpoint_dir(spark), table)
+    writer = (df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key)
+              .option("path", path).option(f"parquet.bloom.filter.enabled#{key}", "true"))
+    if row_group_bytes:
+        writer = writer.option("parquet.block.size", row_group_bytes)
+    writer.saveAsTable(table)
+    scope = getattr(_SCOPE, "paths", None)
+    if scope is not None:
+        scope.append(path)
+    return spark.table(table)
+
+
 _SCOPE = threading.local()
 
 

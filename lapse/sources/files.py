@@ -11,11 +11,11 @@ from __future__ import annotations
 import os
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from lapse.config import MODEL_KEYS, RAW_SCHEMA, REQUIRED_RAW_COLS
-from lapse.session import ensure_checkpoint_dir
+from lapse.config import ID_COL, MODEL_KEYS, RAW_SCHEMA, REQUIRED_RAW_COLS
+from lapse.session import drop_tables, ensure_checkpoint_dir, materialize, table_exists
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -54,6 +54,38 @@ def write_layer(df: DataFrame, path: str, mode: str = "overwrite", partition_by:
     return path
 
 
+def counted(df: DataFrame, *conditions: tuple[str, Column]) -> tuple[DataFrame, Observation]:
+    """`df` as it is, and its number of rows (`rows`) and of those that meet each named condition, counted by whatever action
+    runs it; `Observation.get` has them afterwards."""
+    seen = Observation()
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in conditions]), seen
+
+
+def write_scored(df: DataFrame, path: str) -> str:
+    """The scored layer by segment, one folder each: a reader of one segment reads its folder alone."""
+    return write_layer(df, path, partition_by=["segment_label"])
+
+
+def update_scored(spark: SparkSession, path: str, rescored: DataFrame) -> list[str]:
+    """Replace customers of a scored layer by newly scored rows; returns the segments that were rewritten.
+
+    Only segments that a customer leaves or enters are read in full and rewritten, each at once (dynamic partition
+    overwrite); all others stay as they are. `rescored` has the layer's columns; a customer that the layer doesn't hold is new."""
+    new = materialize(rescored, "rescored")
+    layer = spark.read.parquet(path)
+    left = layer.select(ID_COL, "segment_label").join(new.select(ID_COL), ID_COL, "left_semi").select("segment_label")
+    touched = sorted(r[0] for r in left.unionByName(new.select("segment_label")).distinct().collect())  # of the segment dimension
+    stay = layer.where(F.col("segment_label").isin(touched)).join(new.select(ID_COL), ID_COL, "left_anti")
+    # Written aside first: a folder can't be read and replaced in one job.
+    whole = materialize(stay.select(*layer.columns).unionByName(new.select(*layer.columns)), "rescored-segments")
+    whole.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("segment_label").parquet(path)
+    kept = {r[0] for r in whole.select("segment_label").distinct().collect()}
+    # A segment that all its customers left has no rows that could replace it.
+    empty = [f"{path}/segment_label={s.replace(' ', '%20')}" for s in touched if s not in kept]
+    drop_tables(spark, [p if table_exists(spark, p) else p.replace("%20", " ") for p in empty])
+    return touched
+
+
 def read_layer(spark: SparkSession, path: str, produced_by: str = "the previous step") -> DataFrame:
     """Read a layer, failing with a clear message when it has not been produced yet."""
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -84,6 +116,10 @@ def write_importance(blocks: list[DataFrame], path: str) -> str:
     return path
 
 
+def read_importance(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("feature string, importance double, model string").option("header", True).csv(path)
+
+
 def save_models(models: dict, root: str) -> dict[str, str]:
     """Persist fitted PipelineModels (Spark ML format) under root/<name>."""
     paths = {}
@@ -115,7 +151,7 @@ def export_sorted(df: DataFrame, path: str, order: list, header: bool = True) ->
 
 
 def export_segment(scored: DataFrame, label: str, path: str) -> str:
-    """One segment's rows, highest revenue at risk first."""
+    """One segment's rows, highest revenue at risk first; of a layer written by segment, one folder is read."""
     seg = scored.where(F.col("segment_label") == label)
     return export_sorted(seg, path, [F.col("revenue_at_risk").desc(), F.col("customerID")])
 

@@ -163,3 +163,27 @@ def test_auc_and_ap_property(spark):
             assert abs(aps[m] - _ap_brute(g)) < 1e-9
 
     check()
+
+
+def test_running_sums_of_groups_across_partitions_and_batches(spark):
+    """Groups longer than partitions and batches, groups of one row, a null group; no job beyond the write."""
+    rng = np.random.default_rng(8)
+    rows, i = [], 0
+    for g, n in ((None, 9), ("a", 200), ("b", 1), ("c", 1), ("d", 75), ("e", 3), ("f", 120)):
+        for _ in range(n):
+            rows.append((g, i, float(rng.integers(-3, 9)), int(rng.integers(0, 5))))
+            i += 1
+    df = spark.createDataFrame(rows, "g string, i long, x double, k int")
+    pdf = df.toPandas()
+    pdf["gg"] = pdf["g"].fillna("")
+    want = pdf.assign(cx=pdf.groupby("gg")["x"].cumsum(), ck=pdf.groupby("gg")["k"].cumsum(), rk=pdf.groupby("gg").cumcount() + 1).set_index("i")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        for partitions in (1, 3, 40):
+            got = running_sums(df, [F.col("g"), F.col("i")], ["x", "k"], rank_col="rk", partitions=partitions, group_cols=["g"]).toPandas().set_index("i")
+            assert len(got) == len(want)
+            for name, c in (("cum_x", "cx"), ("cum_k", "ck"), ("rk", "rk")):
+                assert (got[name].sort_index() == want[c].sort_index()).all()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
