@@ -23,7 +23,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
@@ -35,7 +34,7 @@ from lapse.llm.common import batches_of, rows_of
 PROFILE = 400
 UNKNOWN = "und"
 #: Code units that a counting task gathers of a language before it counts them.
-GATHERED = 1 << 20
+GATHERED = 1 << 18
 
 #: A bound is the score that all but this share of a language's training rows of one length reach, less a margin.
 LOWEST, MARGIN = 0.001, 0.05
@@ -182,9 +181,11 @@ def identified(docs: DataFrame, training: DataFrame, n: int = PROFILE) -> DataFr
     shared = learned(training, n)
     bound = docs.sparkSession.sparkContext.broadcast(bounds(training, shared))
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([lang != UNKNOWN and score >= least(bound.value, lang, size) for lang, score, size in map(shared.value.judged, texts)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        parts = (texts.slice(at, 256).to_pylist() for at in range(0, len(texts), 256))  # so that long texts don't pile up
+        return pa.array([lang != UNKNOWN and score >= least(bound.value, lang, size)
+                         for part in parts for lang, score, size in map(shared.value.judged, part)], pa.bool_())
 
     return docs.where(known(docs["text"]))
 

@@ -65,7 +65,7 @@ def test_every_stage_takes_odd_rows_and_empty_tables(spark, folder):
 
 def test_registered():
     import __spark_entry__ as e
-    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [k.split("_")[0] for k in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(e.queries()) and set(ORACLES) <= set(e.oracle_sql())
 
 
