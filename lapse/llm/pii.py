@@ -9,6 +9,7 @@ beyond the base. Base spans always stay.
 The corpus is scanned once; the driver only takes counts by distinct pattern of
 votes and features, whose number is bounded by the labelers, not by the input.
 
+A text of any length is scanned whole in its task.
 Null text: as empty. Repeated rows: each has its own row. An empty table gives
 an empty result; only doc_id and text are read.
 """
@@ -38,19 +39,37 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_PHONE = re.compile(r"(?<![\w+.-])(?:\([0-9]{2,5}\)\x20?|[0-9]{2,5}[\x20./-])[0-9]{3,4}[\x20.-][0-9]{3,4}(?![\w-])")
 ACCOUNT = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,4})?(?!\w)")
-PERSON = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]+(?:\x20[A-ZÀ-Þ][a-zß-ÿ]+)?")
-
-#: Gazetteers: given names, and the words before a span that speak for its kind or against any.
-GIVEN = frozenset("anna maria peter thomas michael john mary james robert linda david hans klaus jean marie pierre carlos jose juan luis sofia emma paul laura".split())
+PERSON = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Miss|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Mlle|Señor|Señora|Sr|Sra)\.?\x20[A-ZÀ-Þ][a-zß-ÿ]+(?:\x20[A-ZÀ-Þ][a-zß-ÿ]+)?")
+
+# Gazetteers of given names, and of the words before a span that speak for its kind or against any.
+GIVEN = frozenset((
+    "alexander alice amelia andrew ann anna anne anthony barbara benjamin brian carol catherine charles charlotte christine christopher "
+    "daniel david deborah dorothy edward elizabeth emily emma george grace helen henry jack jacob james jane jennifer jessica john joseph "
+    "karen kevin laura linda margaret mark martin mary matthew michael nancy nicholas olivia oliver patricia paul peter rachel richard "
+    "robert ruth samuel sandra sarah sophia stephen susan thomas victoria william "
+    "andreas birgit claudia dieter felix frank gabriele hans heike heinz ingrid jan johannes jonas julia jürgen karl katharina klaus lena "
+    "lukas manfred maria markus max monika petra sabine sebastian stefan ursula uwe werner wolfgang "
+    "alain antoine camille céline claire denis françois françoise henri isabelle jacques jean julien léa louis lucie luc marie mathieu "
+    "michel nathalie nicolas olivier philippe pierre sophie sylvie thierry véronique "
+    "alejandro ana antonio carlos carmen cristina diego elena enrique fernando francisco gabriel isabel javier jorge josé juan lucía luis "
+    "manuel marta miguel pablo pedro pilar rafael ramón rosa sergio sofía teresa jose lucia sofia").split())
 CUES = {
-    "email": ("mail", "contact", "write", "reach", "@"), "ip": ("ip", "address", "host", "server", "login"),
-    "card": ("card", "visa", "payment", "credit", "karte", "carte", "tarjeta"),
-    "phone": ("call", "phone", "tel", "mobile", "fax", "contact"), "local_phone": ("call", "phone", "tel", "mobile", "fax", "contact"),
-    "account": ("iban", "account", "konto", "bank", "compte", "cuenta"), "person": ("name", "by", "dear", "contact", "regards"),
+    "email": ("mail", "email", "mailto", "contact", "write", "reach", "kontakt", "correo", "courriel", "@"),
+    "ip": ("ip", "address", "host", "server", "login", "adresse", "dirección"),
+    "card": ("card", "visa", "mastercard", "payment", "credit", "karte", "kreditkarte", "carte", "bancaire", "tarjeta"),
+    "phone": ("call", "phone", "tel", "telephone", "mobile", "fax", "contact", "telefon", "handy", "anruf", "téléphone", "portable", "teléfono", "móvil"),
+    "account": ("iban", "account", "konto", "bank", "compte", "cuenta", "bankkonto", "banque", "banco"),
+    "person": ("name", "by", "dear", "contact", "regards", "von", "par", "por"),
 }
-AGAINST = ("version", "isbn", "order", "no.", "page", "example", "fig", "$", "#")
+CUES["local_phone"] = CUES["phone"]
+AGAINST = ("version", "isbn", "order", "no", "page", "example", "fig", "$", "#")
+CONTEXT_WORDS = re.compile(r"[^\W\d_]+|[@$#]")
 #: Code points before a span that the context labelers read.
 CONTEXT = 40
+#: Fewer code points than these lie between a counter cue and its span.
+NEAR = 8
+#: Least score of a span that counts as personal data.
+THRESHOLD = 0.5
 LABELERS = ["form", "checksum", "gazetteer", "cue", "counter_cue", "alone"]
 
 
@@ -108,7 +127,10 @@ def votes(text: str, span: tuple[int, int, int]) -> list[int]:
     """A vote of each labeler: 1 for, -1 against, 0 nothing."""
     start, k, end = span
     kind, match = KINDS[k], text[start:end]
-    before = text[max(0, start - CONTEXT) : start].lower()
+    begin = max(0, start - CONTEXT)
+    while 0 < begin < start and text[begin - 1].isalnum():  # a word that the context cuts is no cue
+        begin += 1
+    words = [(m[0], start - begin - m.end()) for m in CONTEXT_WORDS.finditer(text[begin:start].lower())]
     number = digits(match)
     form = {"local_phone": 9 <= len(number) <= 12, "account": 15 <= len(match.replace(" ", "")) <= 34}.get(kind, True)
     check = 0
@@ -125,8 +147,8 @@ def votes(text: str, span: tuple[int, int, int]) -> list[int]:
         gazetteer = 1 if any(w.lower() in GIVEN for w in match.split()) else 0
     elif kind == "email":
         gazetteer = 1 if re.search(r"\.(com|org|net|edu|gov|de|fr|es|eu|io)$", match.lower()) else -1
-    cue = 1 if any(c in before for c in CUES[kind]) else 0
-    counter = -1 if any(c in before[-12:] for c in AGAINST) else 0
+    cue = 1 if any(w in CUES[kind] for w, _ in words) else 0
+    counter = -1 if any(w in AGAINST and away < NEAR for w, away in words) else 0
     lone = lambda c: not c or not (c.isalnum() or c in "_-/")
     alone = 1 if lone(text[start - 1 : start]) and lone(text[end : end + 1]) else -1
     return [1 if form else -1, check, gazetteer, cue, counter, alone]
@@ -211,7 +233,7 @@ def pattern_scores(found: DataFrame) -> DataFrame:
     return found.sparkSession.createDataFrame([(*r[:3], float(s)) for r, s in zip(rows, score, strict=True)], schema)
 
 
-def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+def pii_spans(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, spans): accepted spans (start, kind, end, score) of every document, by start, then kind."""
     found = materialize(labelled_candidates(docs).withColumn("row", F.monotonically_increasing_id()), "op8-candidates")
     scores = F.broadcast(pattern_scores(found))  # bounded by the labelers
@@ -223,9 +245,11 @@ def pii_spans(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def digests(found: DataFrame) -> DataFrame:
+    """The spans as digests; `personal`: whether the classifier takes one of them, of whatever kind, for personal data."""
     names = F.array(*(F.lit(k) for k in KINDS))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", F.get(names, x["kind"]), x["start"].cast("string"), x["end"].cast("string"))), ",")
     of_kind = lambda k: F.size(F.filter("spans", lambda x: x["kind"] == k)).cast("long")
     return found.select(
         "doc_id", *(of_kind(k).alias(f"n_{name}") for k, name in enumerate(BASE)),
-        F.sha2(joined(F.filter("spans", lambda x: x["kind"] < len(BASE))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+        F.sha2(joined(F.filter("spans", lambda x: x["kind"] < len(BASE))), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
+        F.exists("spans", lambda x: x["score"] >= THRESHOLD).alias("personal"))

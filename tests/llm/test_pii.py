@@ -91,3 +91,21 @@ def test_learned_kinds_are_added_and_noise_is_not(spark):
     rows = [(k, f"{soup(k, 20)} {good} a{k}@x.com, 10.0.0.{k % 200}") for k in range(60)] + [(100 + k, soup(k, 60)) for k in range(60)]
     got = {r["doc_id"]: r["spans"] for r in P.digests(P.pii_spans(docs(spark, rows))).collect()}
     assert "account" in got[1] and "local_phone" in got[1] and all(got[100 + k] == "" for k in range(60))
+
+
+def test_cues_are_whole_words():
+    at = lambda text, what: (text.index(what), P.KINDS.index("ip"), text.index(what) + len(what))
+    cue = P.LABELERS.index("cue")
+    for text, want in (("the ship 10.0.0.1 sails", 0), ("its IP: 10.0.0.1 here", 1), ("relationship 10.0.0.1", 0),
+                       ("x" * 39 + "ip 10.0.0.1", 0), ("the server (10.0.0.1)", 1)):
+        assert P.votes(text, at(text, "10.0.0.1"))[cue] == want
+    counter = P.LABELERS.index("counter_cue")
+    assert P.votes("version 10.0.0.1", at("version 10.0.0.1", "10.0.0.1"))[counter] == -1
+    assert P.votes("conversion 10.0.0.1", at("conversion 10.0.0.1", "10.0.0.1"))[counter] == 0
+
+
+def test_documents_with_personal_data_are_told(spark):
+    rows = [(i, f"{soup(i, 30)} please mail {soup(i, 1)}.{soup(i + 1, 1)}@example{i}.com or call +1 (212) 555-{1000 + i} now") for i in range(20)]
+    rows += [(100 + i, soup(200 + i, 60)) for i in range(20)]
+    got = {r["doc_id"]: r["personal"] for r in P.digests(P.pii_spans(docs(spark, rows))).collect()}
+    assert all(got[i] for i in range(20)) and not any(got[100 + i] for i in range(20))
