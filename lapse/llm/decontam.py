@@ -14,6 +14,7 @@ Each word is hashed once; windows are hashes of slices of word hashes, and are o
 benchmark says that a window may begin with this pair of words (it only rules out; the join decides). Texts of
 documents with a shared canonical window are read again, by a semi-join, to compare slots.
 
+A text of any length is one row: its words, their hashes and the windows that may match are arrays of that row.
 Null text: as empty; never contaminated. Null item text or one without words:
 matches nothing; one of too few literal words: only as it stands. Repeated rows (same id and text): each has its
 own row with the same verdict. Empty documents: an empty result; empty
@@ -48,9 +49,16 @@ TABLE_WORDS = 1 << 14
 BETWEEN = r"(?:[^\p{L}\p{N}.,\x02]|[.,](?![0-9])|(?<![0-9])[.,])+"
 #: Where a sentence begins with a capital, a mark keeps that word from counting as a name.
 SENTENCE = r"(^|[.!?:;\n][\s\"'(\[]{0,4})(?=\p{Lu})"
-UNITS = ["km", "m", "cm", "mm", "kg", "g", "mg", "lb", "lbs", "miles", "mile", "hours", "hour", "minutes", "minute", "seconds",
-         "days", "day", "weeks", "years", "percent", "dollars", "euros", "cents", "liters", "litres", "meters", "metres", "feet", "inches"]
-NUMBERS = ["one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "hundred", "thousand"]
+# Words that stand for units and numbers, in English, German, French and Spanish.
+UNITS = ("km m cm mm kg g mg lb lbs miles mile hours hour minutes minute seconds days day weeks years percent dollars euros cents liters litres "
+         "meters metres feet inches "
+         "stunden stunde minuten sekunden tage tag wochen jahre prozent dollar euro meter liter gramm kilo kilometer meilen "
+         "heures heure secondes jours jour semaines ans années mètres grammes kilomètres pourcent "
+         "horas hora minutos segundos días día semanas años metros litros gramos kilómetros dólares").split()
+NUMBERS = ("one two three four five six seven eight nine ten eleven twelve twenty thirty hundred thousand "
+           "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig hundert tausend "
+           "deux trois quatre cinq sept huit neuf dix onze douze vingt trente cent mille "
+           "dos tres cuatro cinco seis siete ocho nueve diez doce veinte treinta cien mil").split()
 NUMBER, NAME, UNIT = "\x02n", "\x02p", "\x02u"
 
 

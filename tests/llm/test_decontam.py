@@ -117,3 +117,15 @@ def test_a_window_found_both_ways_counts_once(spark):
     text = soup(41, 20)
     got = D.contaminated(docs(spark, [(1, text), (1, text)]), bench(spark, [(1, text)])).collect()
     assert [(r["n_windows"], r["coverage"]) for r in got] == [(13, 1.0)] * 2
+
+
+def test_numbers_and_units_of_four_languages(spark):
+    items = [(1, "wenn ein bauer zwei kühe und sieben schafe auf der weide hält und jede woche neun liter milch verkauft wie lange reicht es"),
+             (2, "si une femme achète trois pommes et quatre poires chaque semaine pendant huit jours combien de fruits mange toute la famille"),
+             (3, "si un hombre compra cinco libros y ocho plumas cada mes durante nueve años cuántas cosas tiene al final de todo esto")]
+    other = [items[0][1].replace("zwei", "drei").replace("sieben", "acht").replace("neun liter", "zehn gramm"),
+             items[1][1].replace("trois", "5").replace("quatre", "douze").replace("huit jours", "sept heures"),
+             items[2][1].replace("cinco", "12").replace("ocho", "diez").replace("nueve años", "seis semanas")]
+    rows = [(10 + i, f"{soup(60 + i, 20)} {t} {soup(70 + i, 20)}") for i, t in enumerate(other)]
+    got = {r["doc_id"]: r["item_ids"] for r in D.contaminated(docs(spark, rows), bench(spark, items)).collect()}
+    assert got == {10: [1], 11: [2], 12: [3]}
