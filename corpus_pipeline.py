@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lapse.llm import bpe, decontam, langid, line_dedup, near_dedup
-from lapse.llm.common import read
+from lapse.llm.common import read, short_batches
 from lapse.llm.queries import tokenizer_path
 from lapse.session import drop_tables, intermediate_scope, materialize
 
@@ -62,7 +62,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = read(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        with intermediate_scope() as written:
+        with intermediate_scope() as written, short_batches(spark):
             docs = materialize(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
         # The stage's table is written last; nothing reads its own tables, or the stage before it, any more.
         *inner, own = written

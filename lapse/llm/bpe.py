@@ -6,7 +6,7 @@ carry how many words they skip, so that a path's sum is the word's number and
 the number leads to its ids. Tasks memory-map the automaton; a piece that it
 does not hold is merged exactly by rank.
 
-Null text: the empty text, no ids. Repeated rows: each gives its own row.
+A text of any length is encoded whole in its task. Null text: the empty text, no ids. Repeated rows: each gives its own row.
 An empty table gives an empty result; columns beyond doc_id and text are ignored.
 """
 

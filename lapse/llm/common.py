@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -38,6 +39,19 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Jobs inside the block hand texts to Python workers in batches of so many rows: texts can be long, and a batch is held
+    on both sides. The session's own setting is back afterwards."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def rows_of(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
     """Rows of Arrow batches as tuples, converted a few hundred at a time, so that long texts don't pile up."""
     for batch in batches:

@@ -14,7 +14,7 @@ many pairs agree on are beginnings. Pieces that hold no copy are joined with
 their neighbours and aligned once more. Regions are dropped beforehand only if
 too few of the template's words are there for the coverage to be reached.
 
-Null or empty text: no license. Repeated rows: each has its own row. An empty
+A text of any length is scanned whole, as one list of words in its task. Null or empty text: no license. Repeated rows: each has its own row. An empty
 table gives an empty result; only doc_id and text are read.
 """
 

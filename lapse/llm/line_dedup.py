@@ -17,6 +17,7 @@ copy but the first of every maximal repeated run of `min_words` words is
 deleted, and each deleted line still stands at an earlier place.
 
 Order of copies: by doc_id (nulls first), then hash of the text, then line.
+A text of any length is cut into rows of lines; a run of repeated lines is an array of one row.
 Null text: as empty; it has one empty line and loses nothing. Rows of equal id
 and text are one document: they lose the same lines, and are no copies of each
 other. An empty table gives an empty result; extra columns are ignored.

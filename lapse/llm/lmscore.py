@@ -14,7 +14,7 @@ partition can be split. Losses are whole billionths: sums don't depend on order.
 With `n_words`, only so many of the most frequent words are told apart and all
 others share one entry.
 
-Null or empty text: no tokens, scores 0. A document without a label belongs to
+A text of any length is one list of tokens in its task. Null or empty text: no tokens, scores 0. A document without a label belongs to
 the background; one labelled more than once is good if its worst label is.
 Repeated rows count and score each; an empty table gives an empty result. Only
 doc_id and text are read.

@@ -19,7 +19,7 @@ members outside the largest component with all, in blocks of bounded size, on
 full sets. Members that are already connected are never compared, and no pair is
 written but those.
 
-Null or empty text: no shingles, linked with nothing. A row whose doc_id is null
+A text of any length is one set of shingles in its task. Null or empty text: no shingles, linked with nothing. A row whose doc_id is null
 isn't compared. Repeated rows share a class, and a component. Ties don't arise:
 the smallest id names a component. An empty table gives an empty result; only
 doc_id and text are read.

@@ -5,6 +5,7 @@ one failure bit a rule. Policies (versions with a mask of rules, and how many
 further rules may fail) and ablations read the bits alone, by bitwise
 expressions and one aggregation over distinct masks.
 
+A text of any length is one row, its words and windows arrays of that row.
 Null text: as empty. Empty text: fails the length rules. Repeated rows: each
 has its own row. An empty table gives an empty ledger; columns of `docs` beyond
 doc_id and text are ignored.

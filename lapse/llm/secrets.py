@@ -8,6 +8,7 @@ the corpus shows its value as a live-looking credential, i.e. the same value
 stands as a base span somewhere, or it mixes character classes and has one
 owner. Base spans always stay; the frequency only labels them.
 
+A text of any length is scanned whole; its matches are one array, and work follows their number.
 Null text: as empty. A null source counts as one owner of its own. Repeated
 rows: each has its own row (their candidates count once, by distinct owners).
 An empty table gives an empty result. Only doc_id, text, source and lang are

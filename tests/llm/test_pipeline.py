@@ -73,7 +73,8 @@ def test_registered():
 def test_oracles(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    for table in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     cur = con.execute(ORACLES[name])
     columns = [d[0] for d in cur.description]
     got = QUERIES[name](spark, SF).select(*columns).collect()
