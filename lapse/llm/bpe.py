@@ -40,7 +40,7 @@ _MARKS = frozenset(".,;:!?")
 #: Most words in the automaton, and so its size (some 3 MB) and the rows that the driver takes.
 LEXICON_WORDS = 100_000
 #: Most entries of one generation of a worker's memo.
-MEMO = 350_000
+MEMO = 250_000
 #: Most beginnings of words whose place in the automaton a worker remembers.
 JUMPS = 30_000
 #: Distinct pieces that a counting task holds before it hands them on.

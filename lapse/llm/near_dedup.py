@@ -48,7 +48,7 @@ SHORT, BLOCK = 32, 256
 #: Most classes whose ids are broadcast to find their texts again; beyond it, the join shuffles.
 BROADCAST_IDS = 2_000_000
 #: Words whose hashes a worker remembers.
-MEMO = 150_000
+MEMO = 50_000
 
 
 class _WordHashes(dict):
