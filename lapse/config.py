@@ -96,7 +96,6 @@ LOGISTIC_C = 0.5
 LOGISTIC_MAX_ITER = 2000
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 400, 10, 8
 GBT_ROUNDS, GBT_DEPTH, GBT_STEP, GBT_SUBSAMPLE, GBT_COLSAMPLE, GBT_MIN_CHILD = 400, 4, 0.04, 0.8, 0.8, 5
-SHAP_SAMPLE = 500
 TOP_FEATURES = 15
 # ---------------------------------------------------------------------------
 

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from lapse.functions.columns import round_half_up, rounded_mean
 from lapse.operators.quantile import with_median
 
+#: Most columns of a pivot over a column without a listed vocabulary.
+PIVOT_COLUMNS = 1_000
+
 
 def _status():
     return F.when(F.col("Churn") == 1, "Churned").otherwise("Retained")
@@ -72,8 +75,11 @@ def _values(df: DataFrame, col: str) -> list[str]:
         return ONE_HOT[col]
     if col == "tenure_band":
         return TENURE_LABELS
-    # data-driven vocabulary: the distinct keys of one column (bounded by the domain)
-    return [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().orderBy(col).collect()]
+    # data-driven vocabulary: the distinct keys of one column, as many as a pivot may have and one to tell more
+    found = [r[0] for r in df.select(col).where(F.col(col).isNotNull()).distinct().limit(PIVOT_COLUMNS + 1).collect()]
+    if len(found) > PIVOT_COLUMNS:
+        raise ValueError(f"{col} has more than {PIVOT_COLUMNS} values: too many columns for a pivot")
+    return sorted(found)
 
 
 def churn_heatmap(df: DataFrame, col_x: str, col_y: str, digits: int | None = None) -> DataFrame:

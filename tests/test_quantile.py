@@ -56,3 +56,14 @@ def test_reports_use_it_and_agree_with_median(spark):
         want = {r[0]: r[1] for r in df.groupBy(by).agg(F.median(col)).collect()}
         assert {r[by]: r[name] for r in got.collect()} == want
         assert "median" not in got._jdf.queryExecution().optimizedPlan().toString().replace(name, "")
+
+
+def test_a_pivot_over_too_many_values_is_refused(spark):
+    df = L.analysis(spark, SF_SMALL).withColumn("many", F.monotonically_increasing_id())
+    with pytest.raises(ValueError, match="more than 20 values"):
+        limit, CO.PIVOT_COLUMNS = CO.PIVOT_COLUMNS, 20
+        try:
+            CO.churn_heatmap(df, "many", "tenure_band")
+        finally:
+            CO.PIVOT_COLUMNS = limit
+    assert CO.churn_heatmap(df.withColumn("few", F.col("tenure") % 3), "few", "tenure_band").columns == ["tenure_band", "0", "1", "2"]
