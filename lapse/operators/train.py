@@ -170,7 +170,9 @@ class Fits:
         part = f"{path}-{uuid.uuid4().hex}"  # a run that dies while it writes leaves no half model under the name
         fitted.write().save(part)
         rename_table(self.spark, part, path)
-        return fitted
+        # Read back: a fitted model holds its training summary, and by that the session, which doesn't go to tasks once
+        # the session has observed a write.
+        return PipelineModel.load(path)
 
     def models(self, names: Iterable[str], folds: Iterable[int | None] = (None,)) -> dict[tuple[str, int | None], PipelineModel]:
         """Fits made concurrently from driver threads, the longest first; each is a series of Spark jobs."""

@@ -77,3 +77,14 @@ def test_a_coefficient_query_fits_no_tree(spark):
     assert sorted(t.fits.made) == [("gbt", None), ("logistic", None)]
     QM._MODEL_QUERIES["g01_model_churn_probability"](t, spark, SF_SMALL).collect()
     assert all(fold is None for _, fold in t.fits.made) and len(t.fits.made) == 3
+
+
+def test_fitted_models_score_in_a_session_that_has_observed_a_write(parts, spark):
+    from lapse.sources import files as IO
+    df, seen = IO.counted(spark.range(5).toDF("n"))
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"rows": 5}
+    fits = T.Fits(*parts, profile())
+    for name in fits.names:
+        assert fits.scores(name, "test").count() > 0
+    assert len(fits.made) == 3
