@@ -100,14 +100,28 @@ def leaves(tree: Tree) -> list[Leaf]:
 
 def shap_matrix(forest: list[tuple[float, list[Leaf]]], xs: np.ndarray) -> np.ndarray:
     """SHAP values (rows x features) of a weighted ensemble: each leaf looks its values up by which of its intervals
-    a row meets, for all rows at once."""
-    phi = np.zeros(xs.shape)
+    a row meets, for all rows at once. Features are rows of the working arrays, and each of the ensemble's few thresholds
+    is compared with its feature once."""
+    columns, phi = np.ascontiguousarray(xs.T), np.zeros(xs.shape[::-1])
+    above: dict[tuple[int, float], np.ndarray] = {}
+    below: dict[tuple[int, float], np.ndarray] = {}
+    found = np.empty(len(xs))
+
+    def meets(f: int, low: float, high: float) -> np.ndarray:
+        if (f, low) not in above:
+            above[f, low] = columns[f] > low
+        if (f, high) not in below:
+            below[f, high] = columns[f] <= high
+        return below[f, high] if low == -np.inf else above[f, low] if high == np.inf else above[f, low] & below[f, high]
+
     for weight, own in forest:
         for leaf in own:
-            x = xs[:, leaf.features]
-            met = ((x > leaf.low) & (x <= leaf.high)) @ leaf.bits
-            phi[:, leaf.features] += weight * leaf.phi[met]
-    return phi
+            met = np.zeros(len(xs), dtype=np.intp)
+            for bit, f, low, high in zip(leaf.bits, leaf.features, leaf.low, leaf.high, strict=True):
+                met += meets(f, low, high) * bit
+            for f, values in zip(leaf.features, (weight * leaf.phi).T, strict=True):
+                phi[f] += np.take(values, met, out=found, mode="clip")  # `met` is in range; other modes buffer
+    return np.ascontiguousarray(phi.T)
 
 
 def ensemble_trees(model, spark: SparkSession) -> tuple[list[Tree], list[float]]:
