@@ -46,7 +46,7 @@ BROADCAST_KEYS = 2_000_000
 TABLE_WORDS = 1 << 14
 
 #: Separators: all but letters and digits; a point or comma between digits belongs to the number.
-BETWEEN = r"(?:[^\p{L}\p{N}.,\x02]|[.,](?![0-9])|(?<![0-9])[.,])+"
+BETWEEN = r"(?:[^\p{L}\p{N}.,\x02]|[.,](?:(?![0-9])|(?<![0-9][.,])))+"
 #: Where a sentence begins with a capital, a mark keeps that word from counting as a name.
 SENTENCE = r"(^|[.!?:;\n][\s\"'(\[]{0,4})(?=\p{Lu})"
 # Words that stand for units and numbers, in English, German, French and Spanish.
@@ -69,9 +69,14 @@ def raw_words(text: Column) -> Column:
 
 def canonical(word: Column) -> Column:
     """Placeholder of a number, name or unit; any other word in lower case, unmarked."""
-    low = F.lower(word)
+    return _canonical(word, F.lower(word))
+
+
+def _canonical(word: Column, low: Column) -> Column:
     digit = (word >= "0") & (word < ":")  # begins with one
-    return (F.when(low == word, F.when(digit | word.isin(NUMBERS), NUMBER).when(word.isin(UNITS), UNIT).otherwise(word))
+    # Most words are neither: one lookup tells.
+    listed = F.when(word.isin(NUMBERS), NUMBER).otherwise(UNIT)
+    return (F.when(low == word, F.when(digit, NUMBER).when(word.isin(NUMBERS + UNITS), listed).otherwise(word))
             .when(word.startswith("\x02"), F.substring(low, 2, 1 << 30))
             .when(word.rlike(r"^\p{Lu}\p{Ll}"), NAME).otherwise(low))
 
@@ -87,8 +92,10 @@ def _key(doc_id: Column, text: Column) -> Column:
 
 def hashed(words: DataFrame, key: list[str]) -> DataFrame:
     """(key, cs, vs): hashes of the canonical words of `ws`, and of the words as they stand."""
-    return words.select(*key, F.transform("ws", lambda w: F.xxhash64(canonical(w))).alias("cs"),
-                        F.transform("ws", lambda w: F.xxhash64(F.lit(1), as_stands(w))).alias("vs"))
+    lower = words.select(*key, "ws", F.transform("ws", lambda w: F.lower(w)).alias("ls"))  # once a word, for both
+    bare = lambda w, low: F.when(w.contains("\x02"), as_stands(w)).otherwise(low)  # noqa: E731  marked words are few
+    return lower.select(*key, F.zip_with("ws", "ls", lambda w, low: F.xxhash64(_canonical(w, low))).alias("cs"),
+                        F.zip_with("ws", "ls", lambda w, low: F.xxhash64(F.lit(1), bare(w, low))).alias("vs"))
 
 
 def windows(words: DataFrame, lengths: list[int], key: list[str], begins: list[int]) -> DataFrame:
@@ -109,12 +116,10 @@ def windows(words: DataFrame, lengths: list[int], key: list[str], begins: list[i
 _WINDOW = "array<struct<place:int,length:int,hash:bigint,as_is:boolean>>"
 
 
-def _places(form: str, n: int) -> Column:
-    return F.when(F.size(form) >= n, F.sequence(F.lit(1), F.greatest(F.size(form) - n + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-
-
 def _starts(form: str, n: int, table: Column) -> Column:
-    return F.filter(_places(form, n), lambda i: _may_begin(table, F.get(form, i - 1), None if n == 1 else F.get(form, i)))
+    """Places, from 1, of the word hashes that may begin a window of `n` words; the last word has no second one."""
+    mixed = F.col(form) if n == 1 else F.zip_with(form, F.slice(form, 2, 1 << 30), _mixed)
+    return F.array_compact(F.transform(mixed, lambda x, i: F.when(_may_begin(table, x), i + 1)))
 
 
 def _windows_of(starts: str, n: int, form: str) -> Column:
@@ -122,22 +127,25 @@ def _windows_of(starts: str, n: int, form: str) -> Column:
         i.alias("place"), F.lit(n).alias("length"), F.xxhash64(F.slice(form, i, n)).alias("hash"), F.lit(form == "vs").alias("as_is")))
 
 
-def _bit(first: Column, second: Column | None) -> tuple[Column, Column]:
-    """Word of the bit table and bit in it of a pair of word hashes, or of a single one; cheap, as hashes are mixed already."""
-    x = first if second is None else F.shiftleft(first, 1).bitwiseXOR(second)
-    return F.shiftright(x, 6).bitwiseAND(F.lit(TABLE_WORDS - 1)).cast("int"), x.bitwiseAND(F.lit(63)).cast("int")
+def _mixed(first: Column, second: Column) -> Column:
+    """One hash of a pair of word hashes; cheap, as these are mixed already."""
+    return F.shiftleft(first, 1).bitwiseXOR(second)
+
+
+def _bit(mixed: Column) -> tuple[Column, Column]:
+    """Word of the bit table, by the highest bits, and bit in it, by the lowest."""
+    return F.shiftrightunsigned(mixed, 65 - TABLE_WORDS.bit_length()).cast("int"), mixed.bitwiseAND(F.lit(63)).cast("int")
 
 
-def _may_begin(table: Column, first: Column, second: Column | None) -> Column:
-    at, bit = _bit(first, second)
+def _may_begin(table: Column, mixed: Column) -> Column:
+    at, bit = _bit(mixed)
     return F.call_function("shiftright", F.get(table, at), bit).bitwiseAND(F.lit(1)) != 0
 
 
 def bit_table(items: DataFrame) -> list[int]:
     """TABLE_WORDS words of 64 bits: which pairs of word hashes (or single ones) begin a window of `items`."""
-    places = [_bit(F.get("begin", F.lit(0)), None if n == 1 else F.get("begin", F.lit(1))) for n in (1, 2)]
-    one = F.size("begin") == 1
-    at, bit = (F.when(one, x).otherwise(y) for x, y in zip(*places, strict=True))
+    first, second = (F.get("begin", F.lit(k)) for k in (0, 1))
+    at, bit = _bit(F.when(F.size("begin") == 1, first).otherwise(_mixed(first, second)))
     bits = items.select(at.alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), bit).alias("b"))
     table = [0] * TABLE_WORDS
     for r in bits.groupBy("at").agg(F.bit_or("b").alias("b")).collect():  # TABLE_WORDS rows at most
