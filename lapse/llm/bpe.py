@@ -19,7 +19,7 @@ import struct
 import tempfile
 from array import array
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import regex
@@ -54,63 +54,69 @@ def byte_characters() -> dict[int, str]:
     return {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+#: No merge: above every rank.
+NEVER = 1 << 29
+
+
 def load_vocabulary(path: str) -> dict:
-    """Merges by pair of ids, ids of single bytes, bytes of ids and special tokens, from a tokenizer file."""
+    """Ranks of merges by left and then right id, the id that each rank makes, ids of single bytes, ranks of pairs of
+    bytes, bytes of ids and special tokens, from a tokenizer file."""
     with open(path, encoding="utf-8") as f:
         whole = json.load(f)
     vocab = whole["model"]["vocab"]
     byte_of = {c: b for b, c in byte_characters().items()}
-    merges = {}
+    none: dict[int, int] = {}  # of all ids that begin no merge
+    ranks, made = [none] * (max(vocab.values()) + 1), []
     for rank, pair in enumerate(whole["model"]["merges"]):
         a, b = pair if isinstance(pair, list) else pair.split(" ")
-        merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
+        if ranks[vocab[a]] is none:
+            ranks[vocab[a]] = {}
+        ranks[vocab[a]][vocab[b]] = rank
+        made.append(vocab[a + b])
+    single = [vocab[c] for _, c in sorted(byte_characters().items())]
+    first = [[ranks[a].get(b, NEVER) for b in single] for a in single]
     specials = {t["content"]: t["id"] for t in whole["added_tokens"]}
     spelled = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items()} | {i: t.encode() for t, i in specials.items()}
-    return {"merges": merges, "single": [vocab[c] for _, c in sorted(byte_characters().items())], "bytes": spelled,
-            "specials": specials}
-
-
-#: No merge.
-NEVER = 1 << 62
+    return {"ranks": ranks, "made": made, "single": single, "first": first, "bytes": spelled, "specials": specials}
 
 
 def merge(piece: bytes, vocabulary: dict) -> list[int]:
     """Ids of a piece: the adjacent pair of lowest rank, leftmost first, is merged until none is left."""
-    single, found = vocabulary["single"], vocabulary["merges"].get
+    single, of, made, first = vocabulary["single"], vocabulary["ranks"], vocabulary["made"], vocabulary["first"]
     ids = [single[b] for b in piece]
     if len(ids) > 64:
-        return _merge_long(ids, found)
-    ranks = [found(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
-    while ranks:
-        least = min(ranks)
-        if least == NEVER:
-            break
-        i = ranks.index(least)
-        ids[i : i + 2] = [new] = [least & 0xFFFFFFFF]
-        del ranks[i]
-        if i < len(ranks):
-            ranks[i] = found(new << 32 | ids[i + 1], NEVER)
+        return _merge_long(ids, of, made)
+    ranks = [first[a][b] for a, b in zip(piece, piece[1:], strict=False)]
+    ranks.append(NEVER)  # of the last id: no pair
+    index = ranks.index
+    while (least := min(ranks)) != NEVER:
+        i = index(least)
+        j = i + 1
+        ids[i] = new = made[least]
+        del ids[j], ranks[i]
+        if j < len(ids):
+            ranks[i] = of[new].get(ids[j], NEVER)
         if i:
-            ranks[i - 1] = found(ids[i - 1] << 32 | new, NEVER)
+            ranks[i - 1] = of[ids[i - 1]].get(new, NEVER)
     return ids
 
 
-def _merge_long(ids: list[int], found: Callable) -> list[int]:
+def _merge_long(ids: list[int], of: list[dict[int, int]], made: list[int]) -> list[int]:
     """The same by a heap over a linked list: O(n log n)."""
     n = len(ids)
     left, right, alive = list(range(-1, n - 1)), [*range(1, n), -1], [True] * n
-    heap = [(least, i, ids[i], ids[i + 1]) for i in range(n - 1) if (least := found(ids[i] << 32 | ids[i + 1], NEVER)) != NEVER]
+    heap = [(least, i, ids[i], ids[i + 1]) for i in range(n - 1) if (least := of[ids[i]].get(ids[i + 1], NEVER)) != NEVER]
     heapq.heapify(heap)
     while heap:
         least, i, a, b = heapq.heappop(heap)
         j = right[i]
         if not alive[i] or j < 0 or ids[i] != a or ids[j] != b:
             continue
-        ids[i], alive[j], right[i] = least & 0xFFFFFFFF, False, right[j]
+        ids[i], alive[j], right[i] = made[least], False, right[j]
         if right[j] >= 0:
             left[right[j]] = i
         for x, y in ((left[i], i), (i, right[i])):
-            if x >= 0 and y >= 0 and (least := found(ids[x] << 32 | ids[y], NEVER)) != NEVER:
+            if x >= 0 and y >= 0 and (least := of[ids[x]].get(ids[y], NEVER)) != NEVER:
                 heapq.heappush(heap, (least, x, ids[x], ids[y]))
     return [x for x, here in zip(ids, alive, strict=True) if here]
 
@@ -252,8 +258,8 @@ def pieces(span: str) -> list[str]:
 class Codec:
     """Encodes and decodes as the tokenizers library does, special tokens in a text included."""
 
-    def __init__(self, vocabulary: dict, block: bytes) -> None:
-        self.vocabulary, self.lexicon = vocabulary, Lexicon(block)
+    def __init__(self, vocabulary: dict, block: bytes, memo: int = MEMO) -> None:
+        self.vocabulary, self.lexicon, self._most = vocabulary, Lexicon(block), memo
         self._special = regex.compile("|".join(f"({regex.escape(s)})" for s in sorted(vocabulary["specials"], key=len, reverse=True)) or r"(?!)")
         self._bytes = [vocabulary["bytes"].get(i, b"") for i in range(max(vocabulary["bytes"]) + 1)]
         self._marks = {m: struct.pack("<I", vocabulary["single"][ord(m)]) for m in _MARKS}
@@ -284,7 +290,7 @@ class Codec:
         if (got := self._pieces.get(piece)) is None:
             got = self._ids(piece)
             if len(piece) <= 100:
-                if len(self._pieces) >= MEMO // 4:
+                if len(self._pieces) >= self._most // 4:
                     self._pieces.clear()
                 self._pieces[piece] = got
         return got
@@ -296,7 +302,7 @@ class Codec:
 
     def _remember(self, span: str, ids: bytes) -> bytes:
         if len(span) <= 100:
-            if len(self._new) >= MEMO:
+            if len(self._new) >= self._most:
                 self._old, self._new = self._new, {}
             self._new[span] = ids
         return ids
@@ -371,23 +377,24 @@ def build_lexicon(docs: DataFrame, vocabulary: dict, n: int = LEXICON_WORDS) ->
     return compile_lexicon((w, merge(w, vocabulary)) for w in sorted(frequent(counts, n)))
 
 
-def _codec(key: str, vocabulary, block) -> Codec:
+def _codec(key: str, vocabulary, block, memo: int) -> Codec:
     """One codec per worker process."""
     if key not in _CODECS:
         _CODECS.clear()
-        _CODECS[key] = Codec(vocabulary.value, block.value)
+        _CODECS[key] = Codec(vocabulary.value, block.value, memo)
     return _CODECS[key]
 
 
-def round_trip(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, and the text decoded from them."""
+def round_trip(docs: DataFrame, vocabulary_path: str, lexicon_words: int = LEXICON_WORDS, memo: int = MEMO) -> DataFrame:
+    """(doc_id, ids, decoded): ids as little-endian unsigned 32-bit integers, and the text decoded from them. `memo` bounds
+    what a worker remembers: fewer entries take less memory and more time, with the same rows."""
     vocabulary = load_vocabulary(vocabulary_path)
     block = build_lexicon(docs, vocabulary, lexicon_words)
-    sc, key = docs.sparkSession.sparkContext, str(hash((vocabulary_path, block)))
+    sc, key = docs.sparkSession.sparkContext, str(hash((vocabulary_path, block, memo)))
     shared = sc.broadcast(vocabulary), sc.broadcast(block)  # bounded by the vocabulary and by lexicon_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(key, *shared)
+        codec = _codec(key, *shared, memo)
         rows = ((i, ids := codec.encode(text), codec.decode(ids)) for i, text in rows_of(batches, "doc_id", "text"))
         yield from batches_of(rows, pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())]))
 

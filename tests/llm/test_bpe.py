@@ -89,3 +89,28 @@ def test_counts_and_round_trip(spark, library):
     assert counts == {"a": 2, " b": 3, " a": 1, " ": 1}
     n = bpe.frequent(bpe.piece_counts(df), 40)
     assert 0 < len(n) <= 40
+
+
+def test_merge_looks_up_two_pairs_a_merge(library):
+    """Pairs of bytes come from a table; each merge then asks for its two new neighbours, by small keys."""
+    v, asked = bpe.load_vocabulary(PATH), []
+
+    class Asked(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    v["ranks"] = [Asked(x) for x in v["ranks"]]
+    for word in ("a", " the", " retention", " unforeseeable", " zxqv", "日本語"):
+        asked.clear()
+        ids = bpe.merge(word.encode(), v)
+        assert ids == library.encode(word, add_special_tokens=False).ids
+        assert len(asked) <= 2 * (len(word.encode()) - len(ids)) and all(k < len(v["ranks"]) for k in asked)
+
+
+def test_a_small_memo_gives_the_same_ids(library):
+    v = bpe.load_vocabulary(PATH)
+    small = bpe.Codec(v, bpe.compile_lexicon([]), memo=40)
+    for k in range(20):
+        same(small, library, soup(k, 200) + " a.b-c 12 x7, y!")
+        assert len(small._new) <= 40 and len(small._old) <= 40 and len(small._pieces) <= 10
