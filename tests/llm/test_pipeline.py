@@ -5,6 +5,7 @@ import pytest
 from edge import SF, docs, odd_rows, soup
 
 import corpus_pipeline
+from lapse.llm import bpe
 from lapse.llm.queries import ORACLES, QUERIES, tokenizer_path
 
 PASSAGE = soup(77, 70)
@@ -79,3 +80,16 @@ def test_oracles(spark, name):
     columns = [d[0] for d in cur.description]
     got = QUERIES[name](spark, SF).select(*columns).collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, cur.fetchall()))
+
+
+def test_encoding_runs_on_short_batches_and_a_small_memo(spark, folder, monkeypatch):
+    name, inner, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", bpe.round_trip, []
+
+    def spy(df, path, *args, **kwargs):
+        seen.append((int(spark.conf.get(name)), kwargs.get("memo", bpe.MEMO)))
+        return inner(df, path, *args, **kwargs)
+
+    monkeypatch.setattr(bpe, "round_trip", spy)
+    out = corpus_pipeline.STAGES[-1][1](spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert seen and seen[0][0] <= 1_000 and seen[0][1] <= 100_000
+    assert "MapInArrow" not in out._jdf.queryExecution().toString()  # written while batches are short, not left to the reader
