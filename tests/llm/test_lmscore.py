@@ -1,9 +1,12 @@
 import math
+import random
 from collections import Counter
+from pathlib import Path
 
 from edge import docs, odd_rows, soup
 
 from lapse.llm import lmscore as M
+from lapse.session import intermediate_scope
 
 
 def labels(spark, rows):
@@ -61,3 +64,23 @@ def test_every_word_is_told_apart(spark):
     assert len({w for _, t in rows for w in t.split()}) > 1_500
     got = M.scores(docs(spark, rows), labels(spark, lab)).collect()
     assert sorted((r["doc_id"], r["n_tokens"], round(r["target_loss"], 4), round(r["background_loss"], 4)) for r in got) == brute(rows, lab, 10**9)
+
+
+def test_scores_do_not_depend_on_chunks_and_buckets(spark, monkeypatch):
+    rows = [(k, soup(k % 9, 40) + " The the THE") for k in range(40)] + [(r[0], r[1]) for r in odd_rows() if r[0] != 4]
+    lab = [(k, 1, 0) for k in range(0, 40, 3)]
+    whole = sorted(map(str, M.scores(docs(spark, rows), labels(spark, lab)).collect()))
+    monkeypatch.setattr(M, "CHUNK", 50)
+    monkeypatch.setattr(M, "BUCKET", 20)
+    got = M.scores(docs(spark, rows).repartition(3), labels(spark, lab)).collect()
+    assert sorted(map(str, got)) == whole
+    assert sorted((r["doc_id"] or -1, r["n_tokens"], round(r["target_loss"], 4), round(r["background_loss"], 4)) for r in got) == brute(rows, lab, 10**9)
+
+
+def test_written_tables_are_a_few_bytes_a_token(spark):
+    rng = random.Random(9)
+    rows = [(k, " ".join(f"w{int(rng.paretovariate(0.3))}" for _ in range(1_000))) for k in range(300)]
+    with intermediate_scope() as paths:
+        out = M.scores(docs(spark, rows), labels(spark, [(k, 1, 0) for k in range(0, 300, 2)]))
+    assert out.agg(M.F.sum("n_tokens")).first()[0] == 300_000
+    assert sum(f.stat().st_size for p in paths for f in Path(p.removeprefix("file:")).rglob("*.parquet")) < 5 * 300_000
