@@ -10,7 +10,7 @@ The vocabulary is every word of the corpus. Words are 64-bit hashes. Texts are
 read once and written as chunks of documents, their tokens numbered within the
 chunk. Each chunk sends its own counts of bigrams and of words to buckets of
 their keys; a bucket adds them up over all chunks and sends each chunk the totals
-of what it sent, in the order in which it came, so that no key travels twice. A
+of what it sent, in the order in which it came, so that they need no keys. A
 chunk holds a key once: hot words and bigrams are not skewed. Losses are whole
 billionths: sums don't depend on order. With `n_words`, only so many of the most
 frequent words are told apart and all others share one entry.
